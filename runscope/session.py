@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ def local_session(cores: int | str = "*", app: str = "runscope", **conf: str) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **conf,
     }
@@ -23,6 +25,11 @@ def local_session(cores: int | str = "*", app: str = "runscope", **conf: str) ->
     return builder.getOrCreate()
 
 
+@cache
+def _folder_of_local_session(application: str) -> str:
+    return tempfile.mkdtemp(prefix="runscope-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -34,9 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="runscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _folder_of_local_session(spark.sparkContext.applicationId)
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:

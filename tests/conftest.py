@@ -5,8 +5,8 @@ from runscope.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, "runscope-tests")
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(8, "runscope-tests", **{"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

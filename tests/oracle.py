@@ -40,7 +40,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     """Empty when equal, else what differs."""
     frame = query(spark, sf_dir).toArrow()
     got_names, got = _rows(frame.column_names, zip(*[c.to_pylist() for c in frame.columns]))
-    twin = con.execute(sql).fetch_arrow_table()
+    twin = con.execute(sql).to_arrow_table()
     want_names, want = _rows(twin.column_names, zip(*[c.to_pylist() for c in twin.columns]))
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
