@@ -20,8 +20,21 @@ def counter_final(samples: DataFrame, hz: float = CLOCK_HZ) -> DataFrame:
 
 
 def uart_last_wins(tokens: DataFrame) -> DataFrame:
-    """A2: last value of each log metric."""
-    return tokens.groupBy("run_id", "name").agg(F.max_by("value", "pos").alias("value"))
+    """A2: last value of each log metric.
+
+    Tokens read from files also have a ``block``: first the last value within each block, then
+    that of the last block. Both steps order by one BIGINT and so stay hash aggregations, and
+    the first has reduced a block to a row per metric before anything is shuffled.
+    """
+    last = F.max_by("value", "pos").alias("value")
+    if "block" not in tokens.columns:
+        return tokens.groupBy("run_id", "name").agg(last)
+    return (
+        tokens.groupBy("run_id", "name", "block")
+        .agg(last)
+        .groupBy("run_id", "name")
+        .agg(F.max_by("value", "block").alias("value"))
+    )
 
 
 def metric_merge(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def with_previous(samples: DataFrame, block: int = BLOCK_SAMPLES, contiguous: bo
     its number; ``contiguous=False`` finds it by aggregation and admits gaps.
     """
     idx = F.col("sample_idx")
-    own = F.floor(idx / F.lit(block))
+    own = F.expr(f"sample_idx div {block}")
     if contiguous:
         last_of_block = idx % block == block - 1
         blocks = F.when(last_of_block, F.array(own, own + 1)).otherwise(F.array(own))
@@ -114,14 +114,18 @@ def mpki_series(
 
 def delta_table(
     samples: DataFrame,
-    instructions: DataFrame,
+    runs: DataFrame,
     counters: Sequence[str] = MPKI_COUNTERS,
     hz: float = CLOCK_HZ,
+    how: str = "left",
     **blocks,
 ) -> DataFrame:
     """Deltas of all counters and of their MPKI series: ``(run_id, sample_idx, seconds, counter, delta)``.
 
-    Counter and ratio come from the same predecessor, hence from one shuffle.
+    ``runs`` has one row per run with ``instructions``; its other columns are passed on. Counter
+    and ratio come from the same predecessor, hence from one shuffle. All that is known per run
+    arrives in one join, because the adaptive skew join splits a hot run only in a join whose
+    distribution nothing above it relies on.
     """
     value, previous, total = F.col("value"), F.col("previous"), F.col("instructions")
     step = F.when(F.col("counter") == CYCLES, value.cast("double")).otherwise(
@@ -134,16 +138,18 @@ def delta_table(
     name = _ratio_names(counters)
     plain = F.struct(F.col("counter"), step.alias("delta"))
     derived = F.struct(name.alias("counter"), ratio_step.alias("delta"))
+    passed_on = [c for c in runs.columns if c not in ("run_id", "instructions")]
     return (
         with_previous(samples, **blocks)
-        .join(instructions, "run_id", "left")
+        .join(runs, "run_id", how)
         .select(
             "run_id",
             "sample_idx",
             cycles_to_seconds(F.col("cycles"), hz).alias("seconds"),
             F.explode_outer(F.when(name.isNull(), F.array(plain)).otherwise(F.array(plain, derived))).alias("d"),
+            *passed_on,
         )
-        .select("run_id", "sample_idx", "seconds", "d.counter", "d.delta")
+        .select("run_id", "sample_idx", "seconds", "d.counter", "d.delta", *passed_on)
     )
 
 

@@ -20,7 +20,7 @@ from runscope.operators.runs import run_enrich
 from runscope.operators.series import delta_table, raw_table, warmup_drop
 from runscope.sinks.results import with_labels, write_deltas, write_raw, write_results
 from runscope.sources.counters import read_counter_samples
-from runscope.sources.logs import read_log_lines, uart_scan
+from runscope.sources.logs import read_log_tokens
 
 
 def merged_metrics(tokens: DataFrame, samples: DataFrame) -> DataFrame:
@@ -56,11 +56,11 @@ def analyse(
     ``names`` lists the metrics of the result row. The side tables are those of
     :func:`runscope.operators.runs.run_enrich`; ``labels`` also has ``series``.
     """
-    tokens = uart_scan(read_log_lines(spark, f"{run_dirs}/{LOG_FILE}"), order=("block", "line"))
+    tokens = read_log_tokens(spark, f"{run_dirs}/{LOG_FILE}")
     samples = warmup_drop(read_counter_samples(spark, f"{run_dirs}/{COUNTER_FILE}"))
     places = labels.select("run_id", "series", "name", "config")
     enriched = run_enrich(run_results(tokens, samples, names), timing, labels, artifacts, descriptions)
     write_results(enriched.join(labels.select("run_id", "series"), "run_id"), f"{results_root}/results")
     write_raw(with_labels(raw_table(samples), places), f"{results_root}/raw")
-    instructions = instruction_counts(uart_last_wins(tokens))
-    write_deltas(with_labels(delta_table(samples, instructions), places), f"{results_root}/deltas")
+    per_run = places.join(instruction_counts(uart_last_wins(tokens)), "run_id", "left")
+    write_deltas(delta_table(samples, per_run, how="inner"), f"{results_root}/deltas")

@@ -106,8 +106,9 @@ def raw_series_sink(spark, d):
 
 
 def delta_series_sink(spark, d):
-    deltas = series.delta_table(_samples(spark, d), _instructions(spark, d))
-    table = sink.with_labels(deltas, fx.document_labels(spark, d))
+    labels = fx.document_labels(spark, d).select("run_id", *sink.TREE)
+    per_run = labels.join(_instructions(spark, d), "run_id", "left")
+    table = series.delta_table(_samples(spark, d), per_run, how="inner")
     root = fresh_path(spark, "deltas")
     sink.write_deltas(table, root)
     return sink.read_tree(spark, root, table)

@@ -34,7 +34,10 @@ def write_results(df: DataFrame, root: str, fmt: str = "parquet") -> None:
 
 
 def with_labels(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add the tree's columns from ``labels(run_id, series, name, config)``, one row per run."""
+    """Add the tree's columns from ``labels(run_id, series, name, config)``, one row per run.
+
+    Runs without labels have no place in the tree and are left out.
+    """
     return table.join(labels.select("run_id", *TREE), "run_id")
 
 

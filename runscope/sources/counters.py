@@ -121,7 +121,8 @@ def counter_scan_lines(
 
     ``lines`` must come straight from the text reader, whose tasks hold each split's lines in
     order. A line's number is then its place within the split plus the lines of the splits
-    before it: the lines themselves are never shuffled for it, only one row per split is.
+    before it. Lines meet their split's offset by (path, block): with a broadcast if the offsets
+    are small, else evenly distributed, as no split is larger than the reader's limit.
     """
     # The id is taken above the filter, so it counts the non-blank lines only.
     placed = lines.where(~_blank(F.col("value"))).withColumn("seq", F.monotonically_increasing_id())

@@ -13,7 +13,7 @@ _RUN_DIR = r"(?:\A|/)([^/]*?)(\d{4}-\d\d-\d\d)-?(\d{6})(?:/|\z)"
 
 
 def read_artifacts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Artifact files as ``(artifact_id, content)``; the id is the path."""
+    """Artifact files as ``(artifact_id, content)``; the id is the path. Spark skips empty files."""
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("artifact_id"), "content")
 
 
@@ -28,7 +28,7 @@ def artifact_md5(files: DataFrame) -> DataFrame:
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
     """Listing of all files below ``root``: ``(path, length, modificationTime)``.
 
-    Contents are not selected, hence not read.
+    Contents are not selected, hence not read. Spark skips empty files.
     """
     return (
         spark.read.format("binaryFile")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runscope.formats import (
     LOG_TOKEN_PATTERN,
@@ -23,21 +23,21 @@ from runscope.functions.text import ascii_digits, strip_whitespace
 RUN_DIRECTORY = r"/([^/]+)/[^/]+\z"
 
 
-def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of all logs: ``(run_id, block, line, value)``.
-
-    Files are read line by line and split, so one huge log is spread over many tasks.
-    ``(block, line)`` orders the lines of one file: the byte offset of the split they came
-    from, then the ascending id within that split's task.
-    """
-    return spark.read.text(paths).select(
-        F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
+def _token_array(text: str) -> Column:
+    """Tokens of a text; the prefix test spares texts without any from the regex."""
+    return F.when(
+        F.col(text).contains(LOG_TOKEN_PREFIX),
+        F.regexp_extract_all(text, F.lit(LOG_TOKEN_PATTERN), F.lit(0)),
     )
 
 
+def _name_and_value(name_mode: str) -> list[Column]:
+    return [
+        metric_name(F.substring_index("token", "=", 1), name_mode).alias("name"),
+        ascii_digits(F.substring_index("token", "=", -1)).cast("double").alias("value"),
+    ]
+
+
 def uart_scan(files: DataFrame, order: Sequence[str] = (), name_mode: str = "token") -> DataFrame:
     """All metric tokens of ``files(run_id, value)`` → ``(run_id, pos, name, value)``.
 
@@ -46,31 +46,45 @@ def uart_scan(files: DataFrame, order: Sequence[str] = (), name_mode: str = "tok
     names the columns that order the lines, and ``pos`` is a struct of them and the number
     within the line. Either way ``pos`` sorts in log order.
     """
-    found = (
-        files.where(F.col("value").contains(LOG_TOKEN_PREFIX))
-        # the outer form keeps the optimizer from running the regex a second time in a filter
+    # The outer form: otherwise the optimizer adds a filter that runs the regex a second time.
+    found = files.select(
+        "run_id", *order, F.posexplode_outer(_token_array("value")).alias("nth", "token")
+    ).where(F.col("token").isNotNull())
+    pos = F.struct(*order, "nth") if order else F.col("nth").cast("bigint")
+    return found.select("run_id", pos.alias("pos"), *_name_and_value(name_mode))
+
+
+def read_log_tokens(
+    spark: SparkSession, paths: str | Sequence[str], name_mode: str = "token"
+) -> DataFrame:
+    """S1 on files: ``(run_id, block, pos, name, value)`` of all logs below ``paths``.
+
+    Logs are read by line and split, so one huge log is spread over many tasks, and nothing is
+    shuffled to number its tokens. ``(block, pos)`` sorts in log order within a file: the byte
+    offset of the split a token came from, then an ascending id within that split's task.
+    """
+    return (
+        spark.read.text(paths)
         .select(
-            "run_id",
-            *order,
-            F.posexplode_outer(
-                F.regexp_extract_all("value", F.lit(LOG_TOKEN_PATTERN), F.lit(0))
-            ).alias("nth", "token"),
+            F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.explode_outer(_token_array("value")).alias("token"),
         )
         .where(F.col("token").isNotNull())
-    )
-    pos = F.struct(*order, "nth") if order else F.col("nth").cast("bigint")
-    return found.select(
-        "run_id",
-        pos.alias("pos"),
-        metric_name(F.substring_index("token", "=", 1), name_mode).alias("name"),
-        ascii_digits(F.substring_index("token", "=", -1)).cast("double").alias("value"),
+        .select("run_id", "block", F.monotonically_increasing_id().alias("pos"), *_name_and_value(name_mode))
     )
 
 
 def read_descriptions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Description files as ``(config_id, value)``."""
-    return spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("config_id"), "value"
+    """Description files as ``(config_id, value)``.
+
+    These small files are read as an RDD because DataFrame readers leave out empty files,
+    which must be told apart from missing ones here.
+    """
+    joined = paths if isinstance(paths, str) else ",".join(paths)
+    pairs = spark.sparkContext.wholeTextFiles(joined)
+    return spark.createDataFrame(pairs, "path string, value string").select(
+        F.regexp_extract("path", RUN_DIRECTORY, 1).alias("config_id"), "value"
     )
 
 
