@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runscope.formats import RUN_RULES, Rule
 from runscope.functions.labels import is_interactive
+from runscope.joins import join_per_key
 
 
 def config_overlay(
@@ -74,4 +75,4 @@ def config_complete(manifest: DataFrame, rules: Sequence[Rule] = RUN_RULES) -> D
 def batch_eligible(runs: DataFrame, complete: DataFrame, cmd: str = "cmd") -> DataFrame:
     """runs with a command whose configuration is complete."""
     passing = complete.where("complete").select("config_id")
-    return runs.where(~is_interactive(F.col(cmd))).join(passing, "config_id", "left_semi")
+    return join_per_key(runs.where(~is_interactive(F.col(cmd))), passing, "config_id", "left_semi")

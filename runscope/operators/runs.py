@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from runscope.formats import NIL_RUN_ID, UNKNOWN_DESCRIPTION
 from runscope.functions.labels import hue_compose, hue_split, run_stamp
 from runscope.functions.rates import host_walltime
+from runscope.joins import join_per_key
 from runscope.session import checkpointed
 
 
@@ -23,13 +24,13 @@ def run_enrich(
 
     ``timing(run_id, started_at, ended_at)``, ``labels(run_id, name, command, config, dir,
     config_id, artifact_id)``, ``artifacts(artifact_id, md5)``, ``descriptions(config_id,
-    description)``. The joins on run_id come first and share one distribution.
+    description)``. The joins on run_id come first and share one distribution; many runs may
+    have the same artifact or configuration.
     """
+    labelled = results.join(timing, "run_id", "left").join(labels, "run_id", "left")
+    hashed = join_per_key(labelled, artifacts, "artifact_id", "left")
     return (
-        results.join(timing, "run_id", "left")
-        .join(labels, "run_id", "left")
-        .join(artifacts, "artifact_id", "left")
-        .join(descriptions, "config_id", "left")
+        join_per_key(hashed, descriptions, "config_id", "left")
         .select(
             *[results[f"`{c}`"] for c in results.columns],
             host_walltime(F.col("started_at"), F.col("ended_at")).alias("host_walltime"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runscope.formats import CLOCK_HZ, CYCLES, MPKI_COUNTERS, UNBOUNDED_CYCLE, WARMUP_SAMPLES
 from runscope.functions.rates import cycles_to_seconds, per_kilo
+from runscope.joins import join_per_key
 
 BLOCK_SAMPLES = 65_536
 _SERIES = ("run_id", "counter")
@@ -23,17 +24,19 @@ def warmup_drop(samples: DataFrame, n: int = WARMUP_SAMPLES) -> DataFrame:
     return samples.where(F.col("sample_idx") >= n).withColumn("sample_idx", F.col("sample_idx") - n)
 
 
-def cycle_window(samples: DataFrame, bounds: DataFrame) -> DataFrame:
+def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_rows: int = 0) -> DataFrame:
     """samples within ``bounds(run_id, start, end)``, both ends included, -1 = unbounded.
 
-    Runs without bounds give no samples. The bounds are one row per run: they are broadcast
-    when small, and a hot run's partition is split by the adaptive skew join otherwise.
+    Runs without bounds give no samples. On ``broadcast_rows`` see :func:`join_per_key`.
     """
     start, end = F.col("start"), F.col("end")
     inside = ((start == UNBOUNDED_CYCLE) | (F.col("cycles") >= start)) & (
         (end == UNBOUNDED_CYCLE) | (F.col("cycles") <= end)
     )
-    return samples.join(bounds.select("run_id", "start", "end"), "run_id").where(inside).drop("start", "end")
+    bounded = join_per_key(
+        samples, bounds.select("run_id", "start", "end"), "run_id", broadcast_rows=broadcast_rows
+    )
+    return bounded.where(inside).drop("start", "end")
 
 
 def with_previous(samples: DataFrame, block: int = BLOCK_SAMPLES, contiguous: bool = True) -> DataFrame:
@@ -96,15 +99,18 @@ def _ratio_names(counters: Sequence[str]) -> Column:
 
 
 def mpki_series(
-    samples: DataFrame, instructions: DataFrame, counters: Sequence[str] = MPKI_COUNTERS
+    samples: DataFrame,
+    instructions: DataFrame,
+    counters: Sequence[str] = MPKI_COUNTERS,
+    broadcast_rows: int = 0,
 ) -> DataFrame:
     """Cumulative misses per thousand instructions of the *whole* run, per sample.
 
-    ``instructions(run_id, instructions)`` has one row per run; see :func:`cycle_window` on
-    the join. NULL where the run has no instructions.
+    ``instructions(run_id, instructions)`` has one row per run. NULL where the run has no
+    instructions.
     """
     misses = samples.where(F.col("counter").isin(*[f"{c}_miss" for c in counters]))
-    return misses.join(instructions, "run_id", "left").select(
+    return join_per_key(misses, instructions, "run_id", "left", broadcast_rows).select(
         "run_id",
         "sample_idx",
         _ratio_names(counters).alias("counter"),
@@ -118,6 +124,7 @@ def delta_table(
     counters: Sequence[str] = MPKI_COUNTERS,
     hz: float = CLOCK_HZ,
     how: str = "left",
+    broadcast_rows: int = 0,
     **blocks,
 ) -> DataFrame:
     """Deltas of all counters and of their MPKI series: ``(run_id, sample_idx, seconds, counter, delta)``.
@@ -140,8 +147,7 @@ def delta_table(
     derived = F.struct(name.alias("counter"), ratio_step.alias("delta"))
     passed_on = [c for c in runs.columns if c not in ("run_id", "instructions")]
     return (
-        with_previous(samples, **blocks)
-        .join(runs, "run_id", how)
+        join_per_key(with_previous(samples, **blocks), runs, "run_id", how, broadcast_rows)
         .select(
             "run_id",
             "sample_idx",

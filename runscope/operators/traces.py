@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runscope.joins import join_per_key
 from runscope.session import checkpointed
 
 KEYS_PER_TASK = 1_000_000
@@ -19,8 +20,7 @@ def roi_slice(events: DataFrame, is_start: Column, is_end: Column, order: str) -
     position = F.col(order)
     starts = events.where(is_start).groupBy("run_id").agg(F.min(position).alias("roi_start"))
     ends = (
-        events.where(is_end)
-        .join(starts, "run_id")
+        join_per_key(events.where(is_end), starts, "run_id")
         .where(position > F.col("roi_start"))
         .groupBy("run_id")
         .agg(F.min(position).alias("roi_end"))
@@ -29,7 +29,7 @@ def roi_slice(events: DataFrame, is_start: Column, is_end: Column, order: str) -
     inside = (position >= F.col("roi_start")) & (
         F.col("roi_end").isNull() | (position <= F.col("roi_end"))
     )
-    return events.join(bounds, "run_id").where(inside).drop("roi_start", "roi_end")
+    return join_per_key(events, bounds, "run_id").where(inside).drop("roi_start", "roi_end")
 
 
 def trace_histogram(trace: DataFrame, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
@@ -49,8 +49,8 @@ def trace_histogram(trace: DataFrame, keys_per_task: int = KEYS_PER_TASK) -> Dat
 
     if large.isEmpty():
         return ranked(counts)
-    return ranked(counts.join(large, "run_id", "left_anti")).unionByName(
-        _rank_large(counts.join(large, "run_id", "left_semi"))
+    return ranked(join_per_key(counts, large, "run_id", "left_anti")).unionByName(
+        _rank_large(join_per_key(counts, large, "run_id", "left_semi"))
     )
 
 

@@ -23,6 +23,10 @@ from runscope.sources.counters import read_counter_samples
 from runscope.sources.logs import read_log_tokens
 
 
+# Tables of one row per run are broadcast up to this many rows, some hundred MB.
+BROADCAST_RUNS = 2_000_000
+
+
 def merged_metrics(tokens: DataFrame, samples: DataFrame) -> DataFrame:
     """Metrics per run from log tokens and from samples past the warm-up; counters win."""
     return metric_merge(uart_last_wins(tokens), counter_final(samples))
@@ -61,6 +65,7 @@ def analyse(
     places = labels.select("run_id", "series", "name", "config")
     enriched = run_enrich(run_results(tokens, samples, names), timing, labels, artifacts, descriptions)
     write_results(enriched.join(labels.select("run_id", "series"), "run_id"), f"{results_root}/results")
-    write_raw(with_labels(raw_table(samples), places), f"{results_root}/raw")
+    write_raw(with_labels(raw_table(samples), places, BROADCAST_RUNS), f"{results_root}/raw")
     per_run = places.join(instruction_counts(uart_last_wins(tokens)), "run_id", "left")
-    write_deltas(delta_table(samples, per_run, how="inner"), f"{results_root}/deltas")
+    deltas = delta_table(samples, per_run, how="inner", broadcast_rows=BROADCAST_RUNS)
+    write_deltas(deltas, f"{results_root}/deltas")
