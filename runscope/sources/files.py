@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runscope.functions.labels import parse_stamp
 
 # directory "<run name><stamp>", the stamp with or without a dash before the time of day
-_RUN_DIR = r"(?:\A|/)([^/]*?)(\d{4}-\d\d-\d\d)-?(\d{6})(?:/|\z)"
+_STAMP = r"(\d{4}-\d\d-\d\d-?\d{6})(?:/|\z)"
 
 
 def read_artifacts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -43,11 +43,19 @@ def run_catalog(files: DataFrame) -> DataFrame:
 
     Files outside a stamped directory are no part of a run and are left out.
     """
-    stamp = F.concat(F.regexp_extract("path", _RUN_DIR, 2), F.regexp_extract("path", _RUN_DIR, 3))
-    return files.where(F.col("path").rlike(_RUN_DIR)).select(
+    found = files.withColumn("stamp_at", F.regexp_instr("path", F.lit(_STAMP))).where("stamp_at > 0")
+    # the stamp's length tells whether it has the optional dash
+    stamp = F.regexp_extract("path", _STAMP, 1)
+    before = F.substring(F.col("path"), F.lit(1), F.col("stamp_at") - 1)
+    return found.select(
+        "path", F.substring_index(before, "/", -1).alias("run_name"), stamp.alias("stamp"), "length", "modificationTime"
+    ).select(
         "path",
-        F.regexp_extract("path", _RUN_DIR, 1).alias("run_name"),
-        parse_stamp(stamp, "run").alias("stamped_at"),
+        "run_name",
+        F.coalesce(
+            F.when(F.length("stamp") == 16, parse_stamp(F.col("stamp"), "run")),
+            F.when(F.length("stamp") == 17, parse_stamp(F.col("stamp"), "report")),
+        ).alias("stamped_at"),
         "length",
         F.col("modificationTime").alias("modified_at"),
     )
