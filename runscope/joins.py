@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from runscope.session import checkpointed
 
 
 def join_per_key(
-    rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner", broadcast_rows: int = 0
+    rows: DataFrame,
+    per_key: DataFrame,
+    key: str | Sequence[str],
+    how: str = "inner",
+    broadcast_rows: int = 0,
 ) -> DataFrame:
     """``rows.join(per_key, key, how)`` where any share of ``rows`` may have the same key.
 
@@ -18,8 +24,9 @@ def join_per_key(
     fresh exchange below both sides, which a side that was just grouped by the key would not
     get; hence the small side is first distributed by something else.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if broadcast_rows:
         per_key = checkpointed(per_key)
         if per_key.count() <= broadcast_rows:
-            return rows.join(F.broadcast(per_key), key, how)
-    return rows.join(per_key.repartition(F.xxhash64(key)), key, how)
+            return rows.join(F.broadcast(per_key), keys, how)
+    return rows.join(per_key.repartition(F.xxhash64(*keys)), keys, how)

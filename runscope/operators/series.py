@@ -161,9 +161,7 @@ def delta_table(
 
 def raw_table(samples: DataFrame, hz: float = CLOCK_HZ) -> DataFrame:
     """The raw samples with their ``seconds``."""
-    return samples.select(
-        "run_id", "sample_idx", cycles_to_seconds(F.col("cycles"), hz).alias("seconds"), "counter", "value"
-    )
+    return samples.withColumn("seconds", cycles_to_seconds(F.col("cycles"), hz))
 
 
 def plot_series(deltas: DataFrame) -> DataFrame:

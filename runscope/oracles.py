@@ -210,7 +210,7 @@ ORACLES: dict[str, str] = {
         FROM results r JOIN places p ON r.run_id = p.run_id""",
     "raw_series_sink": f"""
         WITH {_SAMPLES}, {_PLACES}
-        SELECT s.run_id, sample_idx, cycles / 1e9 AS seconds, counter, value, series, name, config
+        SELECT s.run_id, sample_idx, cycles, counter, value, cycles / 1e9 AS seconds, series, name, config
         FROM samples s JOIN places p ON s.run_id = p.run_id""",
     "delta_series_sink": f"""
         WITH {_DELTAS}, {_PLACES}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runscope.formats import COUNTER_FILE, CYCLES, LOG_FILE, MPKI_COUNTERS
 from runscope.functions.rates import cycles_to_seconds
+from runscope.joins import join_per_key
 from runscope.operators.metrics import (
     counter_final,
     instruction_counts,
@@ -18,7 +19,8 @@ from runscope.operators.metrics import (
 )
 from runscope.operators.runs import run_enrich
 from runscope.operators.series import delta_table, raw_table, warmup_drop
-from runscope.sinks.results import with_labels, write_deltas, write_raw, write_results
+from runscope.session import checkpointed
+from runscope.sinks.results import TREE, read_tree, with_labels, write_deltas, write_raw, write_results
 from runscope.sources.counters import read_counter_samples
 from runscope.sources.logs import read_log_tokens
 
@@ -27,21 +29,21 @@ from runscope.sources.logs import read_log_tokens
 BROADCAST_RUNS = 2_000_000
 
 
-def merged_metrics(tokens: DataFrame, samples: DataFrame) -> DataFrame:
-    """Metrics per run from log tokens and from samples past the warm-up; counters win."""
-    return metric_merge(uart_last_wins(tokens), counter_final(samples))
+def merged_metrics(log_metrics: DataFrame, samples: DataFrame) -> DataFrame:
+    """Metrics per run from the log and from samples past the warm-up; counters win."""
+    return metric_merge(log_metrics, counter_final(samples))
 
 
 def mpki_report(tokens: DataFrame, samples: DataFrame) -> DataFrame:
     """Misses per thousand instructions per run, from raw samples and log tokens."""
-    return mpki_final(merged_metrics(tokens, warmup_drop(samples)))
+    return mpki_final(merged_metrics(uart_last_wins(tokens), warmup_drop(samples)))
 
 
 def run_results(
-    tokens: DataFrame, samples: DataFrame, names: Sequence[str], counters: Sequence[str] = MPKI_COUNTERS
+    log_metrics: DataFrame, samples: DataFrame, names: Sequence[str], counters: Sequence[str] = MPKI_COUNTERS
 ) -> DataFrame:
     """One wide row per run: the listed metrics, the ratios and the simulated seconds."""
-    wide = results_pivot(merged_metrics(tokens, samples), [*names, CYCLES], counters)
+    wide = results_pivot(merged_metrics(log_metrics, samples), [*names, CYCLES], counters)
     return wide.withColumn("sim_seconds", cycles_to_seconds(F.col(f"`{CYCLES}`")))
 
 
@@ -58,14 +60,25 @@ def analyse(
     """Read the runs below ``run_dirs`` (a glob) and write results, raw and delta tables.
 
     ``names`` lists the metrics of the result row. The side tables are those of
-    :func:`runscope.operators.runs.run_enrich`; ``labels`` also has ``series``.
+    :func:`runscope.operators.runs.run_enrich`; ``labels`` also has ``series``, and runs without
+    labels are left out. Every log and counter file is parsed once: what follows reads the
+    last metrics from the shared folder and the samples from the raw table just written.
     """
-    tokens = read_log_tokens(spark, f"{run_dirs}/{LOG_FILE}")
-    samples = warmup_drop(read_counter_samples(spark, f"{run_dirs}/{COUNTER_FILE}"))
-    places = labels.select("run_id", "series", "name", "config")
-    enriched = run_enrich(run_results(tokens, samples, names), timing, labels, artifacts, descriptions)
+    places = labels.select("run_id", *TREE)
+    log_metrics = checkpointed(uart_last_wins(read_log_tokens(spark, f"{run_dirs}/{LOG_FILE}")))
+
+    parsed = warmup_drop(read_counter_samples(spark, f"{run_dirs}/{COUNTER_FILE}"))
+    raw = with_labels(raw_table(parsed), places, BROADCAST_RUNS)
+    write_raw(raw, f"{results_root}/raw")
+    # The tree may hold other configurations; those of this job it has replaced as a whole.
+    written = read_tree(spark, f"{results_root}/raw", raw)
+    samples = join_per_key(
+        written, places.select(*TREE).distinct(), TREE, "left_semi", BROADCAST_RUNS
+    ).drop("seconds", *TREE)
+
+    enriched = run_enrich(run_results(log_metrics, samples, names), timing, labels, artifacts, descriptions)
     write_results(enriched.join(labels.select("run_id", "series"), "run_id"), f"{results_root}/results")
-    write_raw(with_labels(raw_table(samples), places, BROADCAST_RUNS), f"{results_root}/raw")
-    per_run = places.join(instruction_counts(uart_last_wins(tokens)), "run_id", "left")
+
+    per_run = places.join(instruction_counts(log_metrics), "run_id", "left")
     deltas = delta_table(samples, per_run, how="inner", broadcast_rows=BROADCAST_RUNS)
     write_deltas(deltas, f"{results_root}/deltas")

@@ -37,11 +37,11 @@ def _instructions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return postrun.merged_metrics(_tokens(spark, d), _samples(spark, d))
+    return postrun.merged_metrics(_log_metrics(spark, d), _samples(spark, d))
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    return postrun.run_results(_tokens(spark, d), _samples(spark, d), fx.LOG_METRICS + fx.COUNTERS[:4])
+    return postrun.run_results(_log_metrics(spark, d), _samples(spark, d), fx.LOG_METRICS + fx.COUNTERS[:4])
 
 
 def _plain(df: DataFrame) -> DataFrame:

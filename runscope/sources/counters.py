@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runscope.formats import CYCLES, DATA_LINE, DROPPED_COLUMNS, HEADER_LINE
+from runscope.session import fresh_path
 from runscope.sources.logs import RUN_DIRECTORY
 
 # Files up to this size are parsed whole, without any shuffle; larger ones are split by line.
@@ -122,42 +123,41 @@ def counter_scan_lines(
     cycles: str = CYCLES,
     strict: bool = False,
 ) -> DataFrame:
-    """The same for files too large for one row: ``lines(path, run_id, block, value)``.
+    """The same for files too large for one row: ``lines(path, run_id, block, seq, value)``.
 
-    ``lines`` must come straight from the text reader, whose tasks hold each split's lines in
-    order. A line's number is then its place within the split plus the lines of the splits
-    before it. Lines meet their split's offset by (path, block): with a broadcast if the offsets
-    are small, else evenly distributed, as no split is larger than the reader's limit.
+    ``(block, seq)`` orders the lines of a file: the split they came from and their order in it.
+    ``lines`` is read more than once and must not change in between, so pass a written table.
+    A line's number is its place within the split plus the lines of the splits before it. All
+    lines are distributed by (path, block), which no file size makes uneven.
     """
-    # The id is taken above the filter, so it counts the non-blank lines only.
-    placed = lines.where(~_blank(F.col("value"))).withColumn("seq", F.monotonically_increasing_id())
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        placed.groupBy("path", "block")
-        .agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
-        .withColumn("lines_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    filled = ~_blank(F.col("value"))
+    in_split = (
+        Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     )
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("path").orderBy("block", "seq")
-    preamble = (
-        lines.withColumn("seq", F.monotonically_increasing_id())
-        .withColumn("line_no", F.row_number().over(in_file) - 1)
-        .where(F.col("line_no") < max(data_line, header_line + 1))
+    first_lines = (
+        lines.withColumn("nth", F.row_number().over(in_file))
+        .where(F.col("nth") <= max(data_line, header_line + 1))
         .groupBy("path")
         .agg(
-            F.max(F.when(F.col("line_no") == header_line, F.col("value"))).alias("header_text"),
-            F.count_if((F.col("line_no") < data_line) & ~_blank(F.col("value"))).alias("not_samples"),
+            F.max(F.when(F.col("nth") == header_line + 1, F.col("value"))).alias("header_text"),
+            F.count_if((F.col("nth") <= data_line) & filled).alias("not_samples"),
         )
         .select("path", "not_samples", _header_names(F.col("header_text")).alias("header"))
     )
-    offsets = splits.join(preamble, "path").select(
-        "path",
-        "block",
-        "header",
-        (F.col("lines_before") - F.col("not_samples") - F.col("first_seq")).alias("shift"),
+    offsets = (
+        lines.groupBy("path", "block")
+        .agg(F.count_if(filled).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(first_lines, "path")
+        .select("path", "block", "header", (F.col("before") - F.col("not_samples") - 1).alias("shift"))
     )
     records = (
-        placed.join(offsets, ["path", "block"])
-        .select("run_id", (F.col("seq") + F.col("shift")).alias("sample_idx"), "header", F.col("value").alias("line"))
+        lines.withColumn("place", F.count_if(filled).over(in_split))
+        .where(filled)
+        .join(offsets, ["path", "block"])
+        .select("run_id", (F.col("place") + F.col("shift")).alias("sample_idx"), "header", F.col("value").alias("line"))
         .where(F.col("sample_idx") >= 0)
     )
     return _samples(records, drop, cycles, strict)
@@ -172,21 +172,25 @@ def read_counter_samples(
     """Samples of all counter files below ``paths``; the run is the file's directory.
 
     File size decides the way each file is parsed; both filters prune the file listing, so
-    no file is read by both.
+    no file is read by both. The lines of large files are first written to the shared folder:
+    where a file is split may depend on the cores there are when a scan starts, hence only one
+    scan may tell.
     """
     run_id = F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id")
     size = F.col("_metadata.file_size")
     small = (
         spark.read.text(paths, wholetext=True).where(size <= whole_file_bytes).select(run_id, "value")
     )
-    large = (
-        spark.read.text(paths)
-        .where(size > whole_file_bytes)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            run_id,
-            F.col("_metadata.file_block_start").alias("block"),
-            "value",
-        )
-    )
-    return counter_scan(small, **options).unionByName(counter_scan_lines(large, **options))
+    samples = counter_scan(small, **options)
+    large = spark.read.text(paths).where(size > whole_file_bytes)
+    if large.isEmpty():
+        return samples
+    table = fresh_path(spark, "counter-lines")
+    large.select(
+        F.col("_metadata.file_path").alias("path"),
+        run_id,
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    ).write.parquet(table)
+    return samples.unionByName(counter_scan_lines(spark.read.parquet(table), **options))

@@ -147,6 +147,24 @@ def test_split_files_equal_whole_files(spark, counter_tree):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_only_the_first_lines_are_shuffled_for_the_header(spark):
+    lines = spark.createDataFrame([], "path string, run_id string, block bigint, seq bigint, value string")
+    plan = counter_scan_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [path" in plan and "row_number(), 7, Partial" in plan
+
+
+def test_file_size_prunes_the_listing(spark, counter_tree):
+    size = F.col("_metadata.file_size")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for whole, wanted, files in ((True, size <= 1000, 2), (False, size > 1000, 2)):
+            plan = spark.read.text(counter_tree, wholetext=whole).where(wanted)._jdf.queryExecution().executedPlan()
+            plan.executeCollect()
+            assert plan.collectLeaves().head().metrics().apply("numFiles").value() == files
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_last_log_token_across_splits(spark, tmp_path):
     for run in ("run-a", "run-b"):
         folder = tmp_path / run
