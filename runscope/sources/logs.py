@@ -54,27 +54,36 @@ def uart_scan(files: DataFrame, order: Sequence[str] = (), name_mode: str = "tok
     return found.select("run_id", pos.alias("pos"), *_name_and_value(name_mode))
 
 
-def read_log_tokens(
-    spark: SparkSession, paths: str | Sequence[str], name_mode: str = "token"
-) -> DataFrame:
-    """S1 on files: ``(run_id, block, pos, name, value)`` of all logs below ``paths``.
+def scan_log_lines(lines: DataFrame, name_mode: str = "token") -> DataFrame:
+    """S1 on ``lines(run_id, block, value)`` that come straight from the text reader.
 
-    Logs are read by line and split, so one huge log is spread over many tasks, and nothing is
-    shuffled to number its tokens. ``(block, pos)`` sorts in log order within a file: the byte
-    offset of the split a token came from, then an ascending id within that split's task.
+    The result, ``(run_id, block, pos, name, value)``, sorts in log order by ``(block, pos)``: the
+    byte offset of the split a token came from, then an ascending id within that split's task.
+    So one huge log is spread over many tasks, and nothing is shuffled to number its tokens.
     """
     return (
-        spark.read.text(paths)
-        .select(
-            F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.explode_outer(_token_array("value")).alias("token"),
-        )
+        lines.select("run_id", "block", F.explode_outer(_token_array("value")).alias("token"))
         .where(F.col("token").isNotNull())
         .select("run_id", "block", F.monotonically_increasing_id().alias("pos"), *_name_and_value(name_mode))
     )
 
 
+def log_line_columns() -> list[Column]:
+    """What :func:`scan_log_lines` needs, as columns of a text reader's DataFrame."""
+    return [
+        F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value"),
+    ]
+
+
+def read_log_tokens(
+    spark: SparkSession, paths: str | Sequence[str], name_mode: str = "token"
+) -> DataFrame:
+    """All tokens of all logs below ``paths``; the run is the file's directory."""
+    return scan_log_lines(spark.read.text(paths).select(*log_line_columns()), name_mode)
+
+
 def read_descriptions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Description files as ``(config_id, value)``.
 
