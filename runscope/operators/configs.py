@@ -48,7 +48,9 @@ def _holds(rule: Rule) -> Column:
         if getattr(rule, access):
             wanted.append(F.col(access))
     if rule.suffix is not None:
-        wanted.append(F.col("file_name").endswith(rule.suffix))
+        base = F.substring_index("file_name", "/", -1)
+        # a name that is nothing but the suffix is a hidden file without one
+        wanted.append(base.endswith(rule.suffix) & (base != rule.suffix))
     held = wanted[0]
     for condition in wanted[1:]:
         held = held & condition

@@ -293,11 +293,11 @@ ORACLES: dict[str, str] = {
     "config_overlay": f"""
         WITH {_MANIFEST}
         SELECT m.* REPLACE (
-                 CASE WHEN run_id % 6 = 0 THEN 'cli' ELSE runtime END AS runtime,
-                 CASE WHEN run_id % 10 = 0 THEN '' ELSE cmd END AS cmd),
+                 CASE WHEN run_id % 3 = 0 THEN 'cli' ELSE runtime END AS runtime,
+                 CASE WHEN run_id % 5 = 0 THEN '' ELSE cmd END AS cmd),
                run_id % 4 <> 0 AS dry_run, CASE WHEN run_id % 6 = 0 THEN 0 ELSE 2 END AS verbosity,
-               CASE WHEN run_id % 14 = 0 THEN 'partition_flag,nodelist_flag'
-                    WHEN run_id % 2 = 0 THEN 'nodelist_flag'  ELSE '' END AS ignored
+               concat_ws(',', CASE WHEN run_id % 7 = 0 THEN 'partition_flag' END,
+                         CASE WHEN run_id % 2 = 0 THEN 'nodelist_flag' END) AS ignored
         FROM manifest m""",
     "run_enrich": f"WITH {_ENRICHED} SELECT * FROM enriched",
     "sweep_grid": f"""

@@ -76,7 +76,9 @@ def analyse(
         written, places.select(*TREE).distinct(), TREE, "left_semi", BROADCAST_RUNS
     ).drop("seconds", *TREE)
 
-    enriched = run_enrich(run_results(log_metrics, samples, names), timing, labels, artifacts, descriptions)
+    # a run that left neither metrics nor samples has a row all the same
+    results = labels.select("run_id").join(run_results(log_metrics, samples, names), "run_id", "left")
+    enriched = run_enrich(results, timing, labels, artifacts, descriptions)
     write_results(enriched.join(labels.select("run_id", "series"), "run_id"), f"{results_root}/results")
 
     per_run = places.join(instruction_counts(log_metrics), "run_id", "left")

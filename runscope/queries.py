@@ -268,14 +268,14 @@ def metric_merge(spark, d):
 def config_overlay(spark, d):
     base = fx.run_manifest(spark, d).withColumn("dry_run", F.lit(True)).withColumn("verbosity", F.lit(2))
     key = F.col("run_id")
-    override = base.where(key % 2 == 0).select(
+    override = base.select(
         "run_id",
         F.when(key % 3 == 0, "cli").alias("runtime"),
         F.when(key % 5 == 0, "").alias("cmd"),
         F.when(key % 4 == 0, False).alias("dry_run"),
         F.when(key % 6 == 0, 0).alias("verbosity"),
         F.when(key % 7 == 0, "fast").alias("partition_flag"),
-        F.lit("node").alias("nodelist_flag"),
+        F.when(key % 2 == 0, "node").alias("nodelist_flag"),
     )
     return configs.config_overlay(base, override).withColumn("ignored", F.array_join("ignored", ","))
 

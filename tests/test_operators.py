@@ -311,9 +311,10 @@ def test_complete_configurations(spark):
     }
     rows = [("ok", m, k, n, True, True, True) for m, (k, n) in good.items()]
     rows += [("raw", m, k, n.replace(".img", ".raw"), True, m != "results_dir", m != "driver") for m, (k, n) in good.items()]
+    rows += [("hidden", m, k, "/x/.img", True, True, True) for m, (k, n) in good.items()]
     rows += [("none", "driver", "file", "d", None, True, True)]
     got = {r.config_id: (r.complete, r.failed) for r in configs.config_complete(spark.createDataFrame(rows, MEMBER), BATCH_RULES).collect()}
-    assert got == {"ok": (True, []), "raw": (False, ["driver", "image", "results_dir"]), "none": (False, list(good))}
+    assert got == {"ok": (True, []), "raw": (False, ["driver", "image", "results_dir"]), "hidden": (False, ["image"]), "none": (False, list(good))}
 
 
 def test_any_matching_row_satisfies_a_rule(spark):

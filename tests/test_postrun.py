@@ -18,11 +18,12 @@ NAMES = ["instructions", "error", "l1_htlb_miss"]
 
 @pytest.fixture
 def run_tree(tmp_path):
-    """Three finished runs: complete, too short for samples, without instructions."""
+    """Finished runs: complete, too short for samples, without instructions, without anything."""
     for run, rows, log in (
         ("a2024-01-01120000", 9, "x YUKON_INSTRUCTIONS=1000 YUKON_ERROR_A=3\nYUKON_ERROR_B=4 YUKON_INSTRUCTIONS=2000\n"),
         ("b2024-01-01130000", 5, "YUKON_INSTRUCTIONS=1000\n"),
         ("c2024-01-01140000", 8, "nothing here\nYUKON_ERROR=1\n"),
+        ("d2024-01-01150000", 0, ""),
     ):
         folder = tmp_path / "logs" / run
         folder.mkdir(parents=True)
@@ -42,7 +43,7 @@ def side_tables(spark, root):
     artifacts = artifact_md5(read_artifacts(spark, f"{root}/lib"))
     lib = artifacts.first().artifact_id
     start = dt.datetime(2024, 1, 1, 12)
-    ids = ["a2024-01-01120000", "b2024-01-01130000", "c2024-01-01140000"]
+    ids = ["a2024-01-01120000", "b2024-01-01130000", "c2024-01-01140000", "d2024-01-01150000"]
     timing = spark.createDataFrame(
         [(ids[0], start, start + dt.timedelta(seconds=2.5))], "run_id string, started_at timestamp_ntz, ended_at timestamp_ntz"
     )
@@ -58,7 +59,8 @@ def test_results_tree_of_finished_runs(spark, run_tree):
     out = str(run_tree / "results")
     analyse(spark, f"{run_tree}/logs/*", out, NAMES, *side_tables(spark, run_tree))
     rows = {r.run_id[0]: r for r in spark.read.parquet(f"{out}/results").collect()}
-    a, b, c = rows["a"], rows["b"], rows["c"]
+    a, b, c, d = (rows[x] for x in "abcd")
+    assert (d.instructions, d.l1_htlb_miss, d.command) == (None, None, "ls")
     assert (a.instructions, a.error, a.l1_htlb_miss, a.l1_htlb_mpki, a.l2_tlb_mpki) == (2000.0, 4.0, 640.0, 320.0, None)
     assert (a.host_walltime, a.sim_seconds, a.date) == (2.5, 0.9, "2024-01-01-120000")
     assert (a.bitstream_info, b.bitstream_info, c.bitstream_info) == ("first", "second", "Unk.")
