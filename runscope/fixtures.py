@@ -31,7 +31,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents")
         .select(
             F.col("doc_id").alias("run_id"),
-            F.posexplode_outer(F.split("text", "[.]")).alias("nth", "sentence"),
+            F.posexplode_outer(F.split("text", r"\.")).alias("nth", "sentence"),
         )
         .where(F.col("sentence").isNotNull())
         .select("run_id", F.col("nth").cast("bigint").alias("sample_idx"), F.length("sentence").cast("bigint").alias("n"))
@@ -83,7 +83,7 @@ def counter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(line, F.when(n % 5 == 0, "\n\n").when(n % 5 == 1, "\r\n").otherwise("\n"))
 
     head = f'a\nb\nc\ndescription,{CYCLES},l1_htlb_miss,l2_htlb_miss,l1_tlb_miss,l2_tlb_miss,"click, all"\nt\nw\naw\n'
-    body = F.array_join(F.transform(F.split("text", "[.]"), sample_lines), "")
+    body = F.array_join(F.transform(F.split("text", r"\."), sample_lines), "")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("run_id"), F.concat(F.lit(head), body).alias("value")
     )
@@ -105,7 +105,7 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         second = F.when(n % 7 == 0, F.concat(F.lit(" YUKON_VIEW_Y="), n.cast("string"), F.lit("!"))).otherwise("")
         return F.concat(F.lit("boot YUKON_"), name, F.lit("="), value.cast("string"), F.lit(" tail"), second)
 
-    text = F.array_join(F.transform(F.split("text", "[.]"), log_line), "\n")
+    text = F.array_join(F.transform(F.split("text", r"\."), log_line), "\n")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), text.alias("value"))
 
 

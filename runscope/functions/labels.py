@@ -17,7 +17,7 @@ _STAMP_SHAPES = {
 
 def hue_split(hue: Column) -> list[Column]:
     """``program.runtime.run_config.fpga`` as four columns; a missing part is NULL."""
-    parts = F.split(hue, "[.]")
+    parts = F.split(hue, r"\.")
     return [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(LABEL_PARTS)]
 
 

@@ -114,6 +114,7 @@ def description_scan(files: DataFrame, configs: DataFrame | None = None) -> Data
 def submission_parse(log: DataFrame) -> DataFrame:
     """Job id in ``log(run_id, stdout)``, -1 where the text is no success message."""
     digits = ascii_digits(F.regexp_extract("stdout", SUBMITTED_PATTERN, 1))
+    job_id = F.when(digits != "", digits.try_cast("bigint"))  # a failing cast is slow
     return log.select(
-        "run_id", F.coalesce(digits.try_cast("bigint"), F.lit(NO_JOB_ID).cast("bigint")).alias("job_id")
+        "run_id", F.coalesce(job_id, F.lit(NO_JOB_ID).cast("bigint")).alias("job_id")
     )
