@@ -15,7 +15,8 @@ WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 _INTEGER = r"\A[ \t]*[+-]?[0-9]+[ \t]*\z"
 _NUMBER = r"\A[ \t]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z"
-_COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
+# a comma and the cell after it: plain characters and quoted stretches, in linear time
+_CELL = r',([^",]*+(?:"[^"]*+(?:"|\z)[^",]*+)*+)'
 
 
 def _blank(line: Column) -> Column:
@@ -27,24 +28,38 @@ def _blank(line: Column) -> Column:
 def _cells(line: Column) -> Column:
     """Cells of one CSV record; quotes may enclose commas, doubled quotes stand for one."""
     quoted = F.transform(
-        F.split(line, _COMMA_OUTSIDE_QUOTES),
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)),
         lambda c: F.replace(F.regexp_replace(c, r'(?s)\A"(.*)"\z', "$1"), F.lit('""'), F.lit('"')),
     )
     return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
-def _header_names(line: Column) -> Column:
-    """Column names; a repeated name gets ``.1``, ``.2``, …, an empty one its position."""
-    named = F.transform(
+def _column_names(line: Column) -> Column:
+    """Names in a header line; an empty one gets its position."""
+    return F.transform(
         _cells(line),
         lambda c, i: F.when(c == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(c),
     )
 
-    def numbered(name: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(named, F.lit(1), i), lambda other: other == name))
-        return F.when(earlier == 0, name).otherwise(F.concat(name, F.lit("."), earlier.cast("string")))
 
-    return F.transform(named, numbered)
+def _unique_names(names: str) -> Column:
+    """An array column's names, a repeated one with ``.1``, ``.2``, … appended.
+
+    Numbers whose name the header already has are passed over.
+    """
+
+    def unique(name: Column, i: Column) -> Column:
+        repeat = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
+        free = F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.size(names) * 2),
+                lambda n: F.concat(name, F.lit("."), n.cast("string")),
+            ),
+            lambda candidate: ~F.array_contains(names, candidate),
+        )
+        return F.when(repeat == 0, name).otherwise(F.get(free, repeat - 1))
+
+    return F.transform(names, unique)
 
 
 def _count(cell: Column) -> Column:
@@ -103,11 +118,12 @@ def counter_scan(
         files.select("run_id", lines.alias("lines"))
         .select(
             "run_id",
-            _header_names(F.get("lines", F.lit(header_line))).alias("header"),
+            _column_names(F.get("lines", F.lit(header_line))).alias("names"),
             F.filter(
                 F.slice("lines", F.lit(data_line + 1), F.size("lines")), lambda line: ~_blank(line)
             ).alias("body"),
         )
+        .select("run_id", _unique_names("names").alias("header"), "body")
         .select("run_id", "header", F.posexplode_outer("body").alias("nth", "line"))
         .where(F.col("line").isNotNull())
         .select("run_id", F.col("nth").cast("bigint").alias("sample_idx"), "header", "line")
@@ -144,7 +160,8 @@ def counter_scan_lines(
             F.max(F.when(F.col("nth") == header_line + 1, F.col("value"))).alias("header_text"),
             F.count_if((F.col("nth") <= data_line) & filled).alias("not_samples"),
         )
-        .select("path", "not_samples", _header_names(F.col("header_text")).alias("header"))
+        .select("path", "not_samples", _column_names(F.col("header_text")).alias("names"))
+        .select("path", "not_samples", _unique_names("names").alias("header"))
     )
     offsets = (
         lines.groupBy("path", "block")

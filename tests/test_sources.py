@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runscope.formats import CYCLES
 from runscope.functions.labels import metric_name
 from runscope.operators.metrics import uart_last_wins
-from runscope.sources.counters import counter_scan, counter_scan_lines, read_counter_samples
+from runscope.sources.counters import _cells, counter_scan, counter_scan_lines, read_counter_samples
 from runscope.sources.files import artifact_md5, read_artifacts, read_run_files, run_catalog
 from runscope.sources.logs import (
     description_scan,
@@ -102,6 +102,29 @@ def test_counter_cells(spark):
     assert len(got) == 30
 
 
+@pytest.mark.parametrize(
+    "line, cells",
+    [
+        ('"a"', ["a"]),
+        (',"",b,', ["", "", "b", ""]),
+        ('"a,b","c ""d"", e",f', ["a,b", 'c "d", e', "f"]),
+        ('x"y,z"w,"', ['x"y,z"w', '"']),
+        ('"' + "a," * 50_000 + '",b', ["a," * 50_000, "b"]),
+        ('""' + "," * 20_000, [""] * 20_001),
+    ],
+)
+def test_quoted_cells(spark, line, cells):
+    frame = spark.createDataFrame([(line,)], "line string")
+    assert frame.select(_cells(F.col("line"))).first()[0] == cells
+
+
+def test_long_runs_of_white_space(spark):
+    text = " a" + " \n" * 100_000 + "b" + " " * 100_000
+    files = spark.createDataFrame([("c", text), ("d", " " * 100_000)], "config_id string, value string")
+    got = {r.config_id: r.description for r in description_scan(files).collect()}
+    assert got == {"c": text.strip(), "d": ""}
+
+
 def test_strict_counter_cells_raise(spark):
     text = HEAD.format(header=f"description,{CYCLES}") + "d,1\nd,n/a\n"
     assert samples(spark, text)[(CYCLES, 1)] is None
