@@ -28,6 +28,13 @@ COUNTER_FILE = "AUTOCOUNTERFILE0.csv"
 DESCRIPTION_FILE = "description.txt"
 UNKNOWN_DESCRIPTION = "Unk."
 
+# --- fixed values: fields of a configuration record -----------------------------------
+CONFIG_FIELDS = (
+    "overlay_path string, config_dir string, sim_config string, sim_img string, sim_prog string,"
+    " log_dir string, results_dir string, partitions array<string>, nodelist array<string>,"
+    " verbosity int, dry_run boolean"
+)
+
 # --- fixed values: job records --------------------------------------------------------
 NO_JOB_ID = -1
 NIL_RUN_ID = "00000000-0000-0000-0000-000000000000"

@@ -27,7 +27,9 @@ def warmup_drop(samples: DataFrame, n: int = WARMUP_SAMPLES) -> DataFrame:
 def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_rows: int = 0) -> DataFrame:
     """samples within ``bounds(run_id, start, end)``, both ends included, -1 = unbounded.
 
-    Runs without bounds give no samples. On ``broadcast_rows`` see :func:`join_per_key`.
+    Runs without bounds give no samples, nor do records without a cycle count; as the latter
+    may leave gaps, follow with ``counter_delta(…, contiguous=False)``. On ``broadcast_rows`` see
+    :func:`join_per_key`.
     """
     start, end = F.col("start"), F.col("end")
     inside = ((start == UNBOUNDED_CYCLE) | (F.col("cycles") >= start)) & (

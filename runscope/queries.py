@@ -13,7 +13,7 @@ from runscope.functions.rates import cycles_to_seconds, host_walltime
 from runscope.functions.text import run_name_valid
 from runscope.operators import configs, metrics, runs, series, traces
 from runscope.plans import postrun
-from runscope.session import fresh_path
+from runscope.session import checkpointed, fresh_path
 from runscope.sinks import results as sink
 from runscope.sources import counters, files, logs
 
@@ -90,7 +90,7 @@ def _labelled_results(spark, d):
 
 
 def results_sink(spark, d):
-    table = _labelled_results(spark, d)
+    table = checkpointed(_labelled_results(spark, d))  # written twice, computed once
     root = fresh_path(spark, "results")
     sink.write_results(table, root)
     # one series runs again: only its partitions are replaced

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from runscope.formats import BATCH_RULES, CYCLES, NIL_RUN_ID, Rule
+from runscope.formats import BATCH_RULES, CONFIG_FIELDS, CYCLES, NIL_RUN_ID, Rule
 from runscope.functions import labels as lab
 from runscope.functions.rates import host_walltime
 from runscope.functions.text import run_name_valid
@@ -301,6 +301,21 @@ def test_overlay_of_listed_fields_only(spark):
     assert tuple(configs.config_overlay(base, override, ["n"]).first()) == (1, "a", 5, ["name"])
 
 
+def test_overlay_of_a_configuration_record(spark):
+    """Flags that are no fields of the record change nothing and are listed."""
+    record = ("overlay", "configs", "latest", "root.img", "kernel.bin", "logs", "results", ["p1"], ["n1"], 0, False)
+    base = spark.createDataFrame([("r", *record)], f"run_id string, {CONFIG_FIELDS}")
+    flags = spark.createDataFrame(
+        [("r", "other.img", None, 2, True, "p2", "n2", -1)],
+        "run_id string, sim_img string, log_dir string, verbosity int, dry_run boolean,"
+        " partition_flag string, nodelist_flag string, print_start int",
+    )
+    got = configs.config_overlay(base, flags).first().asDict()
+    changed = {k: v for k, v in got.items() if k in base.columns and v != base.first()[k]}
+    assert changed == {"sim_img": "other.img", "verbosity": 2, "dry_run": True}
+    assert got["ignored"] == ["partition_flag", "nodelist_flag", "print_start"]
+
+
 MEMBER = "config_id string, member string, kind string, file_name string, readable boolean, writable boolean, executable boolean"
 
 

@@ -92,6 +92,32 @@ def test_writing_a_configuration_again_replaces_only_its_partition(spark, tmp_pa
     assert sorted(tuple(r) for r in read_tree(spark, root, frame).collect()) == [(2, "s", "n", "a", 9.0), (3, "s", "n", "007", 3.0)]
 
 
+def test_rebalance_is_planned_and_splits_a_hot_partition(spark, tmp_path):
+    changed = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+    }
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        n = F.col("id")
+        frame = spark.range(0, 90_000, 1, 12).select(
+            n.alias("run_id"),
+            F.lit("s").alias("series"),
+            F.lit("n").alias("name"),
+            F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), n % 20)).alias("config"),
+            F.rand(1).alias("v"),
+        )
+        root = tmp_path / "tree"
+        write_results(frame, str(root))
+        files = {d.name: len(list(d.glob("*.parquet"))) for d in (root / "series=s" / "name=n").iterdir()}
+        assert files["config=hot"] > 3
+        assert read_tree(spark, str(root), frame).count() == 90_000
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+
+
 def test_csv_results_have_the_usual_column_names(spark, tmp_path):
     root = str(tmp_path / "csv")
     frame = spark.createDataFrame(
