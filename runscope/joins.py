@@ -3,30 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, functions as F
 
 from runscope.session import checkpointed
 
+# What a job broadcasts at most, by the size it has counted.
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of a materialised table: its values as text, and 16 more for each."""
+    values = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns]
+    return df.agg(F.sum(reduce(add, values).cast("bigint"))).first()[0] or 0
+
 
 def join_per_key(
     rows: DataFrame,
     per_key: DataFrame,
     key: str | Sequence[str],
     how: str = "inner",
-    broadcast_rows: int = 0,
+    broadcast_bytes: int = 0,
 ) -> DataFrame:
     """``rows.join(per_key, key, how)`` where any share of ``rows`` may have the same key.
 
-    With ``broadcast_rows`` the small side is materialised and counted, and broadcast if it has
-    no more rows than that; ``rows`` is not shuffled then. Otherwise Spark plans the join. If it
-    shuffles, the adaptive skew join cuts a hot key's partition into pieces. That rule wants a
-    fresh exchange below both sides, which a side that was just grouped by the key would not
-    get; hence the small side is first distributed by something else.
+    With ``broadcast_bytes`` the small side is materialised and measured at once, and broadcast if
+    it is no larger; ``rows`` is not shuffled then. (Left alone, Spark sees the small size only
+    after it has started to shuffle both sides.) Otherwise Spark plans the join. If it shuffles,
+    the adaptive skew join cuts a hot key's partition into pieces. That rule wants a fresh
+    exchange below both sides, which a side that was just grouped by the key would not get;
+    hence the small side is first distributed by something else.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if broadcast_rows:
+    if broadcast_bytes:
         per_key = checkpointed(per_key)
-        if per_key.count() <= broadcast_rows:
+        if _size(per_key) <= broadcast_bytes:
             return rows.join(F.broadcast(per_key), keys, how)
     return rows.join(per_key.repartition(F.xxhash64(*keys)), keys, how)

@@ -24,11 +24,11 @@ def warmup_drop(samples: DataFrame, n: int = WARMUP_SAMPLES) -> DataFrame:
     return samples.where(F.col("sample_idx") >= n).withColumn("sample_idx", F.col("sample_idx") - n)
 
 
-def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_rows: int = 0) -> DataFrame:
+def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_bytes: int = 0) -> DataFrame:
     """samples within ``bounds(run_id, start, end)``, both ends included, -1 = unbounded.
 
     Runs without bounds give no samples, nor do records without a cycle count; as the latter
-    may leave gaps, follow with ``counter_delta(…, contiguous=False)``. On ``broadcast_rows`` see
+    may leave gaps, follow with ``counter_delta(…, contiguous=False)``. On ``broadcast_bytes`` see
     :func:`join_per_key`.
     """
     start, end = F.col("start"), F.col("end")
@@ -36,7 +36,7 @@ def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_rows: int = 0)
         (end == UNBOUNDED_CYCLE) | (F.col("cycles") <= end)
     )
     bounded = join_per_key(
-        samples, bounds.select("run_id", "start", "end"), "run_id", broadcast_rows=broadcast_rows
+        samples, bounds.select("run_id", "start", "end"), "run_id", broadcast_bytes=broadcast_bytes
     )
     return bounded.where(inside).drop("start", "end")
 
@@ -104,7 +104,7 @@ def mpki_series(
     samples: DataFrame,
     instructions: DataFrame,
     counters: Sequence[str] = MPKI_COUNTERS,
-    broadcast_rows: int = 0,
+    broadcast_bytes: int = 0,
 ) -> DataFrame:
     """Cumulative misses per thousand instructions of the *whole* run, per sample.
 
@@ -112,7 +112,7 @@ def mpki_series(
     instructions.
     """
     misses = samples.where(F.col("counter").isin(*[f"{c}_miss" for c in counters]))
-    return join_per_key(misses, instructions, "run_id", "left", broadcast_rows).select(
+    return join_per_key(misses, instructions, "run_id", "left", broadcast_bytes).select(
         "run_id",
         "sample_idx",
         _ratio_names(counters).alias("counter"),
@@ -126,7 +126,7 @@ def delta_table(
     counters: Sequence[str] = MPKI_COUNTERS,
     hz: float = CLOCK_HZ,
     how: str = "left",
-    broadcast_rows: int = 0,
+    broadcast_bytes: int = 0,
     **blocks,
 ) -> DataFrame:
     """Deltas of all counters and of their MPKI series: ``(run_id, sample_idx, seconds, counter, delta)``.
@@ -149,7 +149,7 @@ def delta_table(
     derived = F.struct(name.alias("counter"), ratio_step.alias("delta"))
     passed_on = [c for c in runs.columns if c not in ("run_id", "instructions")]
     return (
-        join_per_key(with_previous(samples, **blocks), runs, "run_id", how, broadcast_rows)
+        join_per_key(with_previous(samples, **blocks), runs, "run_id", how, broadcast_bytes)
         .select(
             "run_id",
             "sample_idx",

@@ -10,17 +10,22 @@ from runscope.session import checkpointed
 KEYS_PER_TASK = 1_000_000
 
 
-def roi_slice(events: DataFrame, is_start: Column, is_end: Column, order: str) -> DataFrame:
+def roi_slice(
+    events: DataFrame, is_start: Column, is_end: Column, order: str, broadcast_bytes: int = 0
+) -> DataFrame:
     """events of a run from its first start marker to the first later end marker.
 
     Both markers belong to the slice. No start gives nothing; no end, all to the end of the
     run. Only marker rows are aggregated, and the events meet one row of bounds per run:
-    no sort of a run, and nothing of it gathered in a task.
+    no sort of a run, and nothing of it gathered in a task. On ``broadcast_bytes`` see
+    :func:`join_per_key`.
     """
     position = F.col(order)
     starts = events.where(is_start).groupBy("run_id").agg(F.min(position).alias("roi_start"))
+    if broadcast_bytes:
+        starts = checkpointed(starts)  # used twice
     ends = (
-        join_per_key(events.where(is_end), starts, "run_id")
+        join_per_key(events.where(is_end), starts, "run_id", broadcast_bytes=broadcast_bytes)
         .where(position > F.col("roi_start"))
         .groupBy("run_id")
         .agg(F.min(position).alias("roi_end"))
@@ -29,7 +34,8 @@ def roi_slice(events: DataFrame, is_start: Column, is_end: Column, order: str) -
     inside = (position >= F.col("roi_start")) & (
         F.col("roi_end").isNull() | (position <= F.col("roi_end"))
     )
-    return join_per_key(events, bounds, "run_id").where(inside).drop("roi_start", "roi_end")
+    bounded = join_per_key(events, bounds, "run_id", broadcast_bytes=broadcast_bytes)
+    return bounded.where(inside).drop("roi_start", "roi_end")
 
 
 def trace_histogram(trace: DataFrame, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runscope.formats import COUNTER_FILE, CYCLES, LOG_FILE, MPKI_COUNTERS
 from runscope.functions.rates import cycles_to_seconds
-from runscope.joins import join_per_key
+from runscope.joins import BROADCAST_BYTES, join_per_key
 from runscope.operators.metrics import (
     counter_final,
     instruction_counts,
@@ -25,10 +25,6 @@ from runscope.sources.counters import read_counter_samples
 from runscope.sources.logs import read_log_tokens
 
 
-# Tables of one row per run are broadcast up to this many rows, some hundred MB.
-BROADCAST_RUNS = 2_000_000
-
-
 def merged_metrics(log_metrics: DataFrame, samples: DataFrame) -> DataFrame:
     """Metrics per run from the log and from samples past the warm-up; counters win."""
     return metric_merge(log_metrics, counter_final(samples))
@@ -68,12 +64,12 @@ def analyse(
     log_metrics = checkpointed(uart_last_wins(read_log_tokens(spark, f"{run_dirs}/{LOG_FILE}")))
 
     parsed = warmup_drop(read_counter_samples(spark, f"{run_dirs}/{COUNTER_FILE}"))
-    raw = with_labels(raw_table(parsed), places, BROADCAST_RUNS)
+    raw = with_labels(raw_table(parsed), places, BROADCAST_BYTES)
     write_raw(raw, f"{results_root}/raw")
     # The tree may hold other configurations; those of this job it has replaced as a whole.
     written = read_tree(spark, f"{results_root}/raw", raw)
     samples = join_per_key(
-        written, places.select(*TREE).distinct(), TREE, "left_semi", BROADCAST_RUNS
+        written, places.select(*TREE).distinct(), TREE, "left_semi", BROADCAST_BYTES
     ).drop("seconds", *TREE)
 
     # a run that left neither metrics nor samples has a row all the same
@@ -82,5 +78,5 @@ def analyse(
     write_results(enriched.join(labels.select("run_id", "series"), "run_id"), f"{results_root}/results")
 
     per_run = places.join(instruction_counts(log_metrics), "run_id", "left")
-    deltas = delta_table(samples, per_run, how="inner", broadcast_rows=BROADCAST_RUNS)
+    deltas = delta_table(samples, per_run, how="inner", broadcast_bytes=BROADCAST_BYTES)
     write_deltas(deltas, f"{results_root}/deltas")

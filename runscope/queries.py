@@ -11,6 +11,7 @@ from runscope.formats import CYCLES
 from runscope.functions import labels as lab
 from runscope.functions.rates import cycles_to_seconds, host_walltime
 from runscope.functions.text import run_name_valid
+from runscope.joins import BROADCAST_BYTES
 from runscope.operators import configs, metrics, runs, series, traces
 from runscope.plans import postrun
 from runscope.session import checkpointed, fresh_path
@@ -99,7 +100,7 @@ def results_sink(spark, d):
 
 
 def raw_series_sink(spark, d):
-    table = sink.with_labels(series.raw_table(_samples(spark, d)), fx.document_labels(spark, d))
+    table = sink.with_labels(series.raw_table(_samples(spark, d)), fx.document_labels(spark, d), BROADCAST_BYTES)
     root = fresh_path(spark, "raw")
     sink.write_raw(table, root)
     return sink.read_tree(spark, root, table)
@@ -108,7 +109,7 @@ def raw_series_sink(spark, d):
 def delta_series_sink(spark, d):
     labels = fx.document_labels(spark, d).select("run_id", *sink.TREE)
     per_run = labels.join(_instructions(spark, d), "run_id", "left")
-    table = series.delta_table(_samples(spark, d), per_run, how="inner")
+    table = series.delta_table(_samples(spark, d), per_run, how="inner", broadcast_bytes=BROADCAST_BYTES)
     root = fresh_path(spark, "deltas")
     sink.write_deltas(table, root)
     return sink.read_tree(spark, root, table)
@@ -150,7 +151,9 @@ def mpki_final(spark, d):
 
 
 def mpki_series(spark, d):
-    return series.mpki_series(_samples(spark, d), _instructions(spark, d))
+    return series.mpki_series(
+        _samples(spark, d), _instructions(spark, d), broadcast_bytes=BROADCAST_BYTES
+    )
 
 
 def host_walltime_(spark, d):
@@ -248,7 +251,7 @@ def cycle_window(spark, d):
         F.when(key % 3 == 0, -1).otherwise(key % 10 * 200_000_000).cast("bigint").alias("start"),
         F.when(key % 4 == 0, -1).otherwise(1_500_000_000 + key % 7 * 100_000_000).cast("bigint").alias("end"),
     )
-    return series.cycle_window(_samples(spark, d), bounds)
+    return series.cycle_window(_samples(spark, d), bounds, BROADCAST_BYTES)
 
 
 def roi_slice(spark, d):
@@ -256,7 +259,7 @@ def roi_slice(spark, d):
         F.col("user_id").alias("run_id"), "event_id", "event_type", "value"
     )
     kind = F.col("event_type")
-    return traces.roi_slice(events, kind == "signup", kind == "purchase", "event_id")
+    return traces.roi_slice(events, kind == "signup", kind == "purchase", "event_id", BROADCAST_BYTES)
 
 
 # --- joins ----------------------------------------------------------------------------
@@ -335,7 +338,10 @@ def config_menu(spark, d):
 
 
 def plot_series(spark, d):
-    return series.plot_series(series.delta_table(_samples(spark, d), _instructions(spark, d)))
+    deltas = series.delta_table(
+        _samples(spark, d), _instructions(spark, d), broadcast_bytes=BROADCAST_BYTES
+    )
+    return series.plot_series(deltas)
 
 
 def mpki_report(spark, d):

@@ -34,12 +34,12 @@ def write_results(df: DataFrame, root: str, fmt: str = "parquet") -> None:
     _write(df, root, fmt)
 
 
-def with_labels(table: DataFrame, labels: DataFrame, broadcast_rows: int = 0) -> DataFrame:
+def with_labels(table: DataFrame, labels: DataFrame, broadcast_bytes: int = 0) -> DataFrame:
     """Add the tree's columns from ``labels(run_id, series, name, config)``, one row per run.
 
     Runs without labels have no place in the tree and are left out.
     """
-    return join_per_key(table, labels.select("run_id", *TREE), "run_id", broadcast_rows=broadcast_rows)
+    return join_per_key(table, labels.select("run_id", *TREE), "run_id", broadcast_bytes=broadcast_bytes)
 
 
 def write_raw(samples: DataFrame, root: str, fmt: str = "parquet") -> None:

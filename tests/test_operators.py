@@ -406,8 +406,8 @@ def test_checked_broadcast(spark):
     per_run = spark.range(5).select(F.col("id").alias("run_id"), F.lit(1).alias("x"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for limit, hinted in ((5, True), (4, False), (0, False)):
-            joined = join_per_key(rows, per_run, "run_id", "left", broadcast_rows=limit)
+        for limit, hinted in ((5 * 34, True), (5 * 34 - 1, False), (0, False)):
+            joined = join_per_key(rows, per_run, "run_id", "left", broadcast_bytes=limit)
             plan = joined._jdf.queryExecution().executedPlan().toString()
             assert ("BroadcastHashJoin" in plan) is hinted
             assert joined.count() == 100 and joined.where("x = 1").count() == 72

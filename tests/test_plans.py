@@ -2,7 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from runscope import fixtures as fx
+from runscope.operators.traces import roi_slice
 
 SF_DIR = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "EvalPython", "MapInPandas", "FlatMapGroups")
@@ -26,7 +30,7 @@ def test_no_plan_gathers_crosses_or_leaves_the_jvm(spark, name):
         ("config_menu", "TakeOrderedAndProject(limit=15"),
         ("counter_final", "partial_max_by"),
         ("config_complete", "partial_max"),
-        ("roi_slice", "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,signup)"),
+        ("roi_slice", "BroadcastHashJoin"),
         ("host_walltime", "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>"),
         ("config_complete", "l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_tax:double,l_returnflag:string,l_linestatus:string"),
     ],
@@ -38,6 +42,15 @@ def test_plan_has(spark, name, part):
     assert part in plan
 
 
+def test_marker_filters_reach_the_scan(spark):
+    events = fx.table(spark, SF_DIR, "events").withColumnRenamed("user_id", "run_id")
+    kind = F.col("event_type")
+    frame = roi_slice(events, kind == "signup", kind == "purchase", "event_id")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = frame._jdf.queryExecution().explainString(mode)
+    assert "EqualTo(event_type,signup)" in plan and "EqualTo(event_type,purchase)" in plan
+
+
 @pytest.mark.parametrize("name", ["uart_scan", "counter_scan", "warmup_drop", "artifact_md5", "run_catalog", "submission_parse", "hue_split"])
 def test_row_local_queries_do_not_shuffle(spark, name):
     assert "Exchange" not in plan_of(spark, name)
