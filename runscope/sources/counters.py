@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runscope.formats import CYCLES, DATA_LINE, DROPPED_COLUMNS, HEADER_LINE
 from runscope.session import fresh_path
-from runscope.sources.logs import RUN_DIRECTORY
+from runscope.sources.logs import line_columns, run_of
 
 # Files up to this size are parsed whole, without any shuffle; larger ones are split by line.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -139,7 +139,7 @@ def counter_scan_lines(
     cycles: str = CYCLES,
     strict: bool = False,
 ) -> DataFrame:
-    """The same for files too large for one row: ``lines(path, run_id, block, seq, value)``.
+    """The same for files too large for one row: ``lines(path, block, seq, value)``.
 
     ``(block, seq)`` orders the lines of a file: the split they came from and their order in it.
     ``lines`` is read more than once and must not change in between, so pass a written table.
@@ -168,7 +168,7 @@ def counter_scan_lines(
         .agg(F.count_if(filled).alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(first_lines, "path")
-        .select("path", "block", "header", (F.col("before") - F.col("not_samples") - 1).alias("shift"))
+        .select("path", "block", run_of("path"), "header", (F.col("before") - F.col("not_samples") - 1).alias("shift"))
     )
     records = (
         lines.withColumn("place", F.count_if(filled).over(in_split))
@@ -193,21 +193,16 @@ def read_counter_samples(
     where a file is split may depend on the cores there are when a scan starts, hence only one
     scan may tell.
     """
-    run_id = F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id")
     size = F.col("_metadata.file_size")
     small = (
-        spark.read.text(paths, wholetext=True).where(size <= whole_file_bytes).select(run_id, "value")
+        spark.read.text(paths, wholetext=True)
+        .where(size <= whole_file_bytes)
+        .select(run_of("_metadata.file_path"), "value")
     )
     samples = counter_scan(small, **options)
     large = spark.read.text(paths).where(size > whole_file_bytes)
     if large.isEmpty():
         return samples
     table = fresh_path(spark, "counter-lines")
-    large.select(
-        F.col("_metadata.file_path").alias("path"),
-        run_id,
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        "value",
-    ).write.parquet(table)
+    large.select(*line_columns(), F.monotonically_increasing_id().alias("seq")).write.parquet(table)
     return samples.unionByName(counter_scan_lines(spark.read.parquet(table), **options))

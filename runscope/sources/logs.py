@@ -19,8 +19,13 @@ from runscope.formats import (
 from runscope.functions.labels import metric_name
 from runscope.functions.text import ascii_digits, strip_whitespace
 
-# the run directory is the last directory of a file's path
-RUN_DIRECTORY = r"/([^/]+)/[^/]+\z"
+# the last directory of a file's path
+_DIRECTORY = r"/([^/]+)/[^/]+\z"
+
+
+def run_of(path: str, name: str = "run_id") -> Column:
+    """The run (or configuration) a file belongs to: its directory's name."""
+    return F.regexp_extract(path, _DIRECTORY, 1).alias(name)
 
 
 def _token_array(text: str) -> Column:
@@ -55,23 +60,25 @@ def uart_scan(files: DataFrame, order: Sequence[str] = (), name_mode: str = "tok
 
 
 def scan_log_lines(lines: DataFrame, name_mode: str = "token") -> DataFrame:
-    """S1 on ``lines(run_id, block, value)`` that come straight from the text reader.
+    """S1 on ``lines(path, block, value)`` that come straight from the text reader.
 
     The result, ``(run_id, block, pos, name, value)``, sorts in log order by ``(block, pos)``: the
     byte offset of the split a token came from, then an ascending id within that split's task.
     So one huge log is spread over many tasks, and nothing is shuffled to number its tokens.
     """
     return (
-        lines.select("run_id", "block", F.explode_outer(_token_array("value")).alias("token"))
+        lines.select("path", "block", F.explode_outer(_token_array("value")).alias("token"))
         .where(F.col("token").isNotNull())
-        .select("run_id", "block", F.monotonically_increasing_id().alias("pos"), *_name_and_value(name_mode))
+        .select(
+            run_of("path"), "block", F.monotonically_increasing_id().alias("pos"), *_name_and_value(name_mode)
+        )
     )
 
 
-def log_line_columns() -> list[Column]:
-    """What :func:`scan_log_lines` needs, as columns of a text reader's DataFrame."""
+def line_columns() -> list[Column]:
+    """A text reader's lines as ``(path, block, value)``; the block is their split's byte offset."""
     return [
-        F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value"),
     ]
@@ -81,7 +88,7 @@ def read_log_tokens(
     spark: SparkSession, paths: str | Sequence[str], name_mode: str = "token"
 ) -> DataFrame:
     """All tokens of all logs below ``paths``; the run is the file's directory."""
-    return scan_log_lines(spark.read.text(paths).select(*log_line_columns()), name_mode)
+    return scan_log_lines(spark.read.text(paths).select(*line_columns()), name_mode)
 
 
 def read_descriptions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -93,7 +100,7 @@ def read_descriptions(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     joined = paths if isinstance(paths, str) else ",".join(paths)
     pairs = spark.sparkContext.wholeTextFiles(joined)
     return spark.createDataFrame(pairs, "path string, value string").select(
-        F.regexp_extract("path", RUN_DIRECTORY, 1).alias("config_id"), "value"
+        run_of("path", "config_id"), "value"
     )
 
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from runscope.formats import COUNTER_FILE, LOG_FILE
 from runscope.operators.metrics import uart_last_wins
 from runscope.operators.series import warmup_drop
 from runscope.sources.counters import counter_scan
-from runscope.sources.logs import RUN_DIRECTORY, log_line_columns, scan_log_lines
+from runscope.sources.logs import line_columns, run_of, scan_log_lines
 
 
 def _drain(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
@@ -37,7 +37,7 @@ def collect_log_metrics(spark: SparkSession, run_dirs: str, target: str, checkpo
 
     A file belongs to one batch with all its lines, so a batch's last value is the run's.
     """
-    lines = spark.readStream.text(f"{run_dirs}/{LOG_FILE}").select(*log_line_columns())
+    lines = spark.readStream.text(f"{run_dirs}/{LOG_FILE}").select(*line_columns())
     _drain(lines, lambda batch: uart_last_wins(scan_log_lines(batch)), target, checkpoint)
 
 
@@ -48,6 +48,6 @@ def collect_samples(spark: SparkSession, run_dirs: str, target: str, checkpoint:
     :func:`runscope.sources.counters.read_counter_samples`.
     """
     texts = spark.readStream.text(f"{run_dirs}/{COUNTER_FILE}", wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", RUN_DIRECTORY, 1).alias("run_id"), "value"
+        run_of("_metadata.file_path"), "value"
     )
     _drain(texts, lambda batch: warmup_drop(counter_scan(batch)), target, checkpoint)

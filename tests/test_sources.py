@@ -171,7 +171,7 @@ def test_split_files_equal_whole_files(spark, counter_tree):
 
 
 def test_only_the_first_lines_are_shuffled_for_the_header(spark):
-    lines = spark.createDataFrame([], "path string, run_id string, block bigint, seq bigint, value string")
+    lines = spark.createDataFrame([], "path string, block bigint, seq bigint, value string")
     plan = counter_scan_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit [path" in plan and "row_number(), 7, Partial" in plan
 
