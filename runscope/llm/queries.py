@@ -7,7 +7,7 @@ from os import environ
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runscope.llm import op6_sentencepiece
+from runscope.llm import op2_language, op6_sentencepiece, op7_repetition, op10_toxicity
 from runscope.llm.common import read
 
 
@@ -22,6 +22,21 @@ def op6_sentencepiece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_sentencepiece.token_digests(read(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_language.identify(read(spark, sf_dir, "documents"))
+
+
+def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_repetition.repetition_rules(read(spark, sf_dir, "documents")).drop("covered_chars", "longest_repeat")
+
+
+def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op6_sentencepiece": op6_sentencepiece_digests,
+    "op7_repetition_rules": op7_repetition_rules,
+    "op10_toxicity": op10_toxicity_scores,
 }
