@@ -1,3 +1,28 @@
 """SQL twins of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: Largest page of a payload of at least 1000 bytes is the response.
+OP1_WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+k AS (SELECT html, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN kept IS NULL OR kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k ON p.html = k.html
+"""
+
+OP5_CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### : </turn>') + 1 + length(regexp_replace(role, '\\|###|</turn>|:', 'x\0', 'g'))
+    + length(regexp_replace(text, '\\|###|</turn>', 'x\0', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1_WARC, "op5_chat_format": OP5_CHAT}

@@ -7,7 +7,7 @@ from os import environ
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runscope.llm import op2_language, op6_sentencepiece, op7_repetition, op10_toxicity
+from runscope.llm import op1_warc, op2_language, op5_chat, op6_sentencepiece, op7_repetition, op10_toxicity
 from runscope.llm.common import read
 
 
@@ -22,6 +22,14 @@ def op6_sentencepiece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_sentencepiece.token_digests(read(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_warc.archive_round_trip(spark, read(spark, sf_dir, "pages"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_chat.formatted_digests(read(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_language.identify(read(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc_round_trip,
+    "op5_chat_format": op5_chat_format,
     "op2_language_id": op2_language_id,
     "op6_sentencepiece": op6_sentencepiece_digests,
     "op7_repetition_rules": op7_repetition_rules,
