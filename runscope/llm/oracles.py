@@ -25,4 +25,72 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_WARC, "op5_chat_format": OP5_CHAT}
+OP4_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+b AS (
+  SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+m(mask, ks) AS (VALUES (0, [0,1,2,4,7,9,10,11]), (1, [0,1,3,4,6,8,10,11]), (2, [0,2,3,5,6,7,9,11])),
+dw AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 12)) AS i FROM d WHERE len(w) >= 12),
+bw AS (SELECT item_id, w AS bw, unnest(generate_series(0, len(w) - 12)) AS j FROM b WHERE len(w) >= 12),
+ds AS (SELECT dw.*, mask, list_transform(ks, lambda k: w[i + k + 1]) AS seed FROM dw, m),
+bs AS (SELECT bw.*, mask, list_transform(ks, lambda k: bw[j + k + 1]) AS seed FROM bw, m),
+hits AS (SELECT DISTINCT doc_id, item_id, i - j AS diagonal, w, bw FROM ds JOIN bs USING (mask, seed)),
+cells AS (
+  SELECT doc_id, item_id, diagonal, w, pos, CASE WHEN w[pos + diagonal + 1] = bw[pos + 1] THEN 2 ELSE -3 END AS s
+  FROM (SELECT *, unnest(generate_series(greatest(0, -diagonal), least(len(bw), len(w) - diagonal) - 1)) AS pos FROM hits)),
+sums AS (
+  SELECT *, sum(s) OVER (PARTITION BY doc_id, item_id, diagonal, w ORDER BY pos) AS upto FROM cells),
+best AS (
+  SELECT *, upto - least(0, min(upto) OVER (PARTITION BY doc_id, item_id, diagonal, w ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS score FROM sums)
+SELECT doc_id, item_id, CAST(max(coalesce(score, s)) AS INTEGER) AS score
+FROM best GROUP BY doc_id, item_id HAVING max(coalesce(score, s)) >= 24
+"""
+
+#: Leaves with a template of their own, then templates on lines of 20 documents or more.
+OP8_LINES = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(text, chr(0)) AS text, unnest(string_split(text, chr(10))) AS raw,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+t AS (
+  SELECT doc_id, text, line_no, list_transform(string_split_regex(trim(raw, e' \t\x0b\f\r'), '[ \t\x0B\f\r]+'),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l),
+line AS (
+  SELECT *, {'n': len(tokens), 'first': tokens[1:3]} AS leaf FROM t WHERE tokens[1] <> ''),
+kinds AS (SELECT leaf, tokens, count(*) AS weight FROM line GROUP BY leaf, tokens),
+leaves AS (SELECT leaf, sum(weight) AS total FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(weight) >= 20),
+places AS (
+  SELECT k.leaf, k.tokens, weight, total, unnest(k.tokens) AS token, generate_subscripts(k.tokens, 1) AS place
+  FROM kinds k JOIN leaves USING (leaf)),
+counted AS (SELECT leaf, place, token, any_value(total) AS total, sum(weight) AS n FROM places GROUP BY leaf, place, token),
+constant AS (
+  SELECT leaf, place, token FROM counted
+  QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1 AND n * 2 >= total AND token <> '<*>'),
+following AS (
+  SELECT p.leaf, p.tokens FROM places p LEFT JOIN constant c USING (leaf, place, token)
+  GROUP BY p.leaf, p.tokens
+  HAVING count(c.place) > 0 AND (count(c.place) + count(*) FILTER (p.token = '<*>')) * 100 >= len(p.tokens) * 70),
+own AS (
+  SELECT doc_id, text, line_no, {'leaf': line.leaf, 'tokens': CASE WHEN f.leaf IS NULL THEN line.tokens END} AS template
+  FROM line LEFT JOIN following f ON line.leaf = f.leaf AND line.tokens = f.tokens),
+recurring AS (SELECT template, min((doc_id, line_no)) AS first FROM own GROUP BY template HAVING count(DISTINCT doc_id) >= 20),
+gone AS (
+  SELECT DISTINCT doc_id, text, line_no FROM own JOIN recurring ON own.template = recurring.template
+  WHERE (doc_id, line_no) <> first),
+per AS (SELECT doc_id, text, list(line_no) AS dropped FROM gone GROUP BY doc_id, text)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+  sha256(CASE WHEN dropped IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(
+    list_zip(string_split(d.text, chr(10)), range(len(string_split(d.text, chr(10))))), lambda x: NOT list_contains(dropped, x[2])), lambda x: x[1]), chr(10)) END) AS kept_sha256
+FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id AND d.text = per.text
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_WARC,
+    "op4_decontamination": OP4_DECONTAMINATION,
+    "op5_chat_format": OP5_CHAT,
+    "op8_line_templates": OP8_LINES,
+}

@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from os import environ
 
-from pyspark.sql import DataFrame, SparkSession
-
-from runscope.llm import op1_warc, op2_language, op5_chat, op6_sentencepiece, op7_repetition, op10_toxicity
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from runscope.llm import (
+    op1_warc,
+    op2_language,
+    op4_decontaminate,
+    op5_chat,
+    op6_sentencepiece,
+    op7_repetition,
+    op8_line_dedup,
+    op10_toxicity,
+)
 from runscope.llm.common import read
 
 
@@ -26,6 +35,17 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_warc.archive_round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all benchmark items."""
+    found = op4_decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score")
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op8_line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_chat.formatted_digests(read(spark, sf_dir, "conversations"))
 
@@ -46,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc_round_trip,
     "op5_chat_format": op5_chat_format,
     "op2_language_id": op2_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op8_line_templates": op8_line_templates,
     "op6_sentencepiece": op6_sentencepiece_digests,
     "op7_repetition_rules": op7_repetition_rules,
     "op10_toxicity": op10_toxicity_scores,
