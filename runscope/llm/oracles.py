@@ -88,8 +88,64 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
 FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id AND d.text = per.text
 """
 
+#: Words that a 13-word window covers which also starts in a smaller document.
+OP3_PASSAGES = r"""
+WITH d AS (
+  SELECT DISTINCT coalesce(doc_id, 9223372036854775807) AS doc, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc, text, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+win AS (SELECT doc, text, i, array_to_string(w[i:i + 12], ' ') AS win FROM n),
+least_doc AS (SELECT win, min(doc) AS first FROM win GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc, text, unnest(generate_series(i, i + 12)) AS spot
+  FROM win JOIN least_doc ON win.win = least_doc.win AND first < doc),
+per AS (SELECT doc, text, list(spot) AS gone FROM gone GROUP BY doc, text),
+r AS (
+  SELECT doc_id, coalesce(regexp_extract_all(x.text, '[^\x20\x09-\x0D]+'), []) AS w, coalesce(gone, []) AS gone
+  FROM documents x LEFT JOIN per ON coalesce(doc_id, 9223372036854775807) = doc AND x.text = per.text)
+SELECT doc_id, len(w) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
+    lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]), ' '), '')) AS kept_sha256
+FROM r
+"""
+
+#: Coverage by repeated substrings of 6 words or more is coverage by repeated 6-word windows; a repeat
+#: is longer than n words exactly if a window of n + 1 words repeats.
+OP7_REPETITION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT *, len(w) AS n_words, greatest(50, (30 * len(w)) // 100) + 1 AS long FROM d),
+k AS (SELECT r, w, n_words, unnest([3, 6, long]) AS k, unnest(['rep', 'cov', 'long']) AS what FROM p),
+win AS (
+  SELECT r, what, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, n_words - k + 1)) AS i FROM k WHERE n_words >= k)),
+twice AS (SELECT * FROM win QUALIFY count(*) OVER (PARTITION BY r, what, win) > 1),
+spots AS (SELECT DISTINCT r, what, unnest(generate_series(i, i + k - 1)) AS spot FROM twice WHERE what <> 'long'),
+per AS (
+  SELECT s.r, count(*) FILTER (what = 'rep') AS n_repeat,
+    coalesce(sum(length(w[spot])) FILTER (what = 'cov'), 0) AS covered FROM spots s JOIN d ON d.r = s.r GROUP BY s.r),
+long AS (SELECT DISTINCT r FROM twice WHERE what = 'long'),
+line AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (
+  SELECT doc_id, n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat, 0) AS n_repeat_words, coalesce(covered, 0) AS covered, long.r IS NOT NULL AS too_long
+  FROM p LEFT JOIN per ON p.r = per.r LEFT JOIN long ON p.r = long.r LEFT JOIN line ON p.r = line.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * covered > 50 * word_chars OR too_long) AS kept
+FROM c
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_WARC,
+    "op3_repeated_passages": OP3_PASSAGES,
+    "op7_repetition_rules": OP7_REPETITION,
     "op4_decontamination": OP4_DECONTAMINATION,
     "op5_chat_format": OP5_CHAT,
     "op8_line_templates": OP8_LINES,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runscope.llm import (
     op1_warc,
     op2_language,
+    op3_substring_dedup,
     op4_decontaminate,
     op5_chat,
     op6_sentencepiece,
@@ -35,6 +36,10 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_warc.archive_round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_substring_dedup.remove_repeats_digest(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of all documents with all benchmark items."""
     found = op4_decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc_round_trip,
     "op5_chat_format": op5_chat_format,
     "op2_language_id": op2_language_id,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_decontamination": op4_decontamination,
     "op8_line_templates": op8_line_templates,
     "op6_sentencepiece": op6_sentencepiece_digests,
