@@ -142,11 +142,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
+#: All pairs of distinct sets that share a shingle, then the smallest document reachable.
+OP9_JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) END AS x FROM d),
+c AS (SELECT list_sort(x) AS x, min(doc_id) AS node, len(any_value(x)) AS n FROM s WHERE len(x) > 0 AND doc_id IS NOT NULL GROUP BY list_sort(x)),
+t AS (SELECT node, n, unnest(x) AS g FROM c),
+l AS (
+  SELECT a.node AS a, b.node AS b FROM t a JOIN t b ON a.g = b.g AND a.node < b.node
+    AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(node, root) AS (
+  SELECT DISTINCT node, node FROM c UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node),
+comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles,
+  CASE WHEN doc_id IS NOT NULL THEN coalesce(root, doc_id) END AS component_id
+FROM s LEFT JOIN c ON list_sort(s.x) = c.x LEFT JOIN comp ON comp.node = c.node
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_WARC,
     "op3_repeated_passages": OP3_PASSAGES,
     "op7_repetition_rules": OP7_REPETITION,
     "op4_decontamination": OP4_DECONTAMINATION,
     "op5_chat_format": OP5_CHAT,
+    "op9_near_duplicates": OP9_JACCARD,
     "op8_line_templates": OP8_LINES,
 }

@@ -16,6 +16,7 @@ from runscope.llm import (
     op6_sentencepiece,
     op7_repetition,
     op8_line_dedup,
+    op9_jaccard_join,
     op10_toxicity,
 )
 from runscope.llm.common import read
@@ -63,6 +64,10 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_repetition.repetition_rules(read(spark, sf_dir, "documents")).drop("covered_chars", "longest_repeat")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -76,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_templates": op8_line_templates,
     "op6_sentencepiece": op6_sentencepiece_digests,
     "op7_repetition_rules": op7_repetition_rules,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity_scores,
 }
