@@ -197,6 +197,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: fl
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without rows that score ``threshold`` or more."""
+    model = fit(learnable(docs), labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, limit=PIECE_BYTES):
+            if shared.value:
+                scores = score_texts([t or "" for t in piece.column("text").to_pylist()], *shared.value)
+                piece = piece.filter(pa.array(scores < threshold))
+            yield piece
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """Documents of the two folds of three that labels are learned from."""
     return docs.where(fold("doc_id", 3) != 1)

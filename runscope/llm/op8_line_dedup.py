@@ -96,7 +96,6 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     own = lines.join(following, "line", "left").withColumn("template", F.coalesce("template", "line")).drop("leaf", "line")
     recurring = measured(_distinct_docs(own, "template").where(F.col("docs") >= min_docs).select("template"), "recurring")
     found = own.join(recurring, "template")
-    # order of documents and lines in one number each, so that the aggregation hashes
     first = found.groupBy("template").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no")).alias("first")
     )
@@ -107,21 +106,31 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return later.select("row", "line_no").distinct().groupBy("row").agg(F.collect_list("line_no").alias("dropped"))
 
 
+_ROW, _DROPPED = "__line_dedup_row", "__line_dedup_dropped"
+
+
+def _with_dropped(docs: DataFrame, min_docs: int) -> DataFrame:
+    dropped = dropped_lines(docs, min_docs).select(F.col("row").alias(_ROW), F.col("dropped").alias(_DROPPED))
+    return docs.withColumn(_ROW, _row_key()).join(dropped, _ROW, "left")
+
+
+def _kept_text() -> Column:
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col(_DROPPED), i))
+    return F.when(F.col(_DROPPED).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``n_lines`` and ``n_dropped`` added and ``text`` without its recurring lines."""
-    dropped = dropped_lines(docs, min_docs)
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    key, gone_key = "__line_dedup_row", "__line_dedup_dropped"
-    joined = docs.withColumn(key, _row_key()).join(
-        dropped.select(F.col("row").alias(key), F.col("dropped").alias(gone_key)), key, "left"
-    )
-    gone = F.coalesce(F.col(gone_key), F.array().cast("array<int>"))
-    return joined.select(
-        *columns,
-        F.when(
-            F.col(gone_key).isNotNull(),
-            F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n"),
-        ).otherwise(F.col("text")).alias("text"),
+    """All rows and columns of ``docs``, ``text`` without its recurring lines."""
+    columns = [_kept_text().alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return _with_dropped(docs, min_docs).select(*columns)
+
+
+def line_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(doc_id, n_lines, n_dropped, text)``, a row per row; ``text`` is what is kept."""
+    return _with_dropped(docs.select("doc_id", "text"), min_docs).select(
+        "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
-    )
+        F.coalesce(F.size(_DROPPED), F.lit(0)).cast("long").alias("n_dropped"),
+        _kept_text().alias("text"),
+    )
