@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from runscope.llm.common import pieces, words_of
 from runscope.llm.grams import grams, letters
@@ -162,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
         .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     )
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).drop("nth")
+    # each task keeps its smallest by hash of each label
+    first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    chosen = first[0].unionByName(first[1])
     # at most 2 * sample rows, of which each holds the features of one document
     rows = (
         docs.select("doc_id", "text")
