@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runscope.llm.common import pieces
 from runscope.llm.grams import grams, has_letter, letters
@@ -102,9 +102,13 @@ def fit(learnable: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
     learnable = learnable.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     total, found = document_frequencies(learnable)
     idf = (np.log((1 + total) / (1 + found)) + 1).astype(np.float32)
-    # the documents with the smallest hash of each language, found without moving any text
-    order = F.row_number().over(_per_language().orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = learnable.select("doc_id", "lang").withColumn("nth", order).where(F.col("nth") <= sample)
+    # the documents with the smallest hash of each language: first those below a bound that about
+    # twice the sample is expected to be below, so that no more than that is ranked
+    ids = learnable.select("doc_id", "lang", (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("place"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    near = ids.join(F.broadcast(sizes), "lang").where(F.col("place") * F.col("n") <= 2 * sample + 50)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = near.withColumn("nth", order).where(F.col("nth") <= sample)
     chosen = chosen.select("doc_id").distinct()
     texts = learnable.join(F.broadcast(chosen), "doc_id", "left_semi")
 
@@ -128,12 +132,6 @@ def fit(learnable: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
     }
 
 
-def _per_language():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang")
-
-
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs(doc_id, text)`` → ``(doc_id, lang_pred, score, rejected)``, a row per row.
 
