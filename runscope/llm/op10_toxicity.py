@@ -28,8 +28,8 @@ from runscope.llm.op2_language import fold
 SAMPLE = 3000
 #: Buckets of features, as a power of two. Those count whose share differs between the labels by so
 #: many standard errors, the clearest first, and no more than so many.
-BITS, MIN_ERRORS, MAX_FEATURES = 18, 5.0, 2000
-L2, SWAP_PENALTY, STEPS, RATE = 1e-5, 1.0, 800, 0.05
+BITS, MIN_ERRORS, MAX_FEATURES = 18, 4.0, 2000
+L2, SWAP_PENALTY, STEPS, RATE = 1e-4, 1.0, 800, 0.05
 THRESHOLD = 0.7
 PIECE_BYTES = 2 << 20
 #: Terms that name a group, by kind; within a kind any may stand for any other.

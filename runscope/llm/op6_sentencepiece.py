@@ -179,6 +179,8 @@ class PrefixTableBpe:
         The table has a cell per character, and is filled by place in the part: all first
         characters, then all second ones, and so on; a long part only has more places.
         """
+        if not parts:
+            return []
         text = "".join(parts)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         stop = np.cumsum(size)
@@ -210,7 +212,7 @@ class PrefixTableBpe:
             at = at - self.size[np.minimum(last[at], len(self.pieces))]
             on = at >= first
             at, first = at[on], first[on]
-        ends = np.cumsum(is_token)[stop - 1] if len(parts) else stop
+        ends = np.cumsum(is_token)[stop - 1]
         return self._spelled(last[is_token], ends)
 
     def _spelled(self, tokens: np.ndarray, ends: np.ndarray) -> list[bytes]:
