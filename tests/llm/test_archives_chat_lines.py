@@ -1,0 +1,293 @@
+"""Archives, chat formatting, line templates and decontamination; the SQL twins; the pipeline."""
+
+import gzip
+import hashlib
+import io
+import random
+import struct
+import zipfile
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import __spark_entry__ as entry
+from runscope.llm import op1_warc as op1, op4_decontaminate as op4, op5_chat as op5, op6_sentencepiece as op6
+from runscope.llm import op8_line_dedup as op8, op9_jaccard_join as op9, op10_toxicity as op10
+from runscope.llm.common import read
+from runscope.llm.oracles import ORACLES
+from runscope.llm.queries import tokenizer_model
+from runscope.session import fresh_path
+from tests.oracle import compare, connect
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, con, name):
+    assert compare(spark, con, entry.queries()[name], ORACLES[name], SMALL) == ""
+
+
+# ---- archives
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, payload string, keeper string, digest string")
+
+
+def row(page_id, url, html):
+    return (page_id, url, html, "clash", "clash", "clash")
+
+
+def test_records_round_trip(spark):
+    long, small = "é" * 500, "x" * 999
+    data = [
+        row(1, "http://a/", long), row(5, "http://b/", long), (row(3, "http://c/", long)), row(4, "http://d/", small), row(6, None, small),
+        row(7, "http://e/\r\nX: y", None), row(8, "http://f/", ""), row(None, "http://g/", long), row(9, "u", "<p>\r\n\r\nWARC/1.1\r\n</p>" * 90_000),
+        row(5, "http://b/", long),
+    ]
+    archives = op1.write_archives(pages(spark, data).repartition(3), fresh_path(spark, "warc"))
+    got = sorted((r.asDict() for r in op1.read_records(archives).collect()), key=lambda r: (r["page_id"] or 0, r["url"]))
+    assert len(got) == len(data)
+    for r in got:
+        source = next(d for d in data if d[0] == r["page_id"])
+        payload = (source[2] or "").encode()
+        assert r["payload_bytes"] == len(payload) and r["payload_digest"] == hashlib.sha1(payload).hexdigest()
+        revisit = source[2] == long and r["page_id"] != 5
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 5) if revisit else ("response", None))
+        assert r["payload"] == (None if revisit else payload)
+
+
+def test_many_archives_and_no_pages(spark, monkeypatch):
+    monkeypatch.setattr(op1, "ARCHIVE_BYTES", 300)
+    empty = pages(spark, [])
+    assert op1.archive_round_trip(spark, empty).collect() == []
+    frame = pages(spark, [row(i, "u", f"page {i}") for i in range(20)])
+    archives = op1.write_archives(frame.coalesce(1), fresh_path(spark, "warc"))
+    assert {r.page_id for r in op1.read_records(archives).collect()} == set(range(20))
+
+
+def in_memory(data: bytes):
+    return pa.BufferReader(data)
+
+
+def test_members_of_archives_of_other_writers():
+    plain = io.BytesIO()
+    with zipfile.ZipFile(plain, "w", zipfile.ZIP_STORED) as z:
+        z.comment = b"with a comment PK\5\6 that looks like an end"
+        z.writestr("a", b"first")
+        z.writestr("dir/b", b"second" * 100)
+        z.writestr(zipfile.ZipInfo("packed"), b"z" * 100, zipfile.ZIP_DEFLATED)
+    found = op1.members(in_memory(plain.getvalue()))
+    read_ = {k: plain.getvalue()[at : at + n] for k, (at, n) in found.items()}
+    assert read_ == {"a": b"first", "dir/b": b"second" * 100}
+
+
+def test_zip64_directory():
+    """The end record says only that a 64-bit one holds the numbers, and the entry's sizes are 64-bit too."""
+    name, body = b"x", b"payload"
+    local = b"PK\3\4" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 1, 20) + name
+    local += struct.pack("<HHQQ", 1, 16, len(body), len(body)) + body
+    entry_ = b"PK\1\2" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, 1, 28, 0, 0, 0, 0, 0xFFFFFFFF)
+    entry_ += name + struct.pack("<HHQQQ", 1, 24, len(body), len(body), 0)
+    end64 = b"PK\6\6" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 1, 1, len(entry_), len(local))
+    locator = b"PK\6\7" + struct.pack("<IQI", 0, len(local) + len(entry_), 1)
+    end = b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    data = local + entry_ + end64 + locator + end
+    at, n = op1.members(in_memory(data))["x"]
+    assert data[at : at + n] == body
+
+
+@pytest.mark.parametrize("data", [b"", b"PK", b"not a zip file at all" * 10])
+def test_what_is_no_archive_is_refused(data):
+    with pytest.raises(ValueError):
+        op1.members(in_memory(data))
+
+
+def test_a_damaged_payload_is_noticed():
+    _, data = op1.record(1, "u", b"payload", None)
+    with pytest.raises(ValueError):
+        op1.parse_record(data.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
+    assert gzip.decompress(gzip.compress(data, 1, mtime=0)) == data
+
+
+# ---- chat
+
+
+def test_texts_come_back_whatever_they_hold(spark):
+    rng = random.Random(5)
+    bits = ["\\", "###", "### ", "</turn>", "\n", ": ", "é", "assistant", "<", "#", "", "\x00"]
+    rows = []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 9)):
+            text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+            rows.append((conv, turn, rng.choice(["user", "assistant", "a:b</turn>"]), text or None, "clash"))
+    rows += [(None, 0, None, None, "c"), (100, None, "user", "first", "c"), (100, 3, "assistant", "second", "c"), (100, 3, "assistant", "second", "c")]
+    want = {}
+    for conv, turn, role, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(conv, []).append((role or "", text or ""))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, spans string").repartition(4)
+    out = op5.format_conversations(frame)
+    got = out.collect()
+    assert {r.conv_id: op5.read_back(r.formatted, [s.asDict() for s in r.spans]) for r in got} == want
+    assert all(r.rewritten_at is None and r.formatted == op5.marked_turns(want[r.conv_id]) for r in got)
+    for r in op5.digests(out).collect():
+        loss = "".join(t for role, t in want[r.conv_id] if role == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(want[r.conv_id]), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert op5.format_conversations(frame.limit(0)).collect() == []
+
+
+def test_templates_that_rewrite_history_are_found():
+    def forgetful(turns):
+        """Shortens every assistant turn but the last."""
+        return "".join(f"[{r}]{t[:3] if r == 'assistant' and i + 1 < len(turns) else t}\n" for i, (r, t) in enumerate(turns))
+
+    text, spans, rewritten = op5.locate([("user", "question"), ("assistant", "a long answer"), ("user", "more")], forgetful)
+    assert rewritten == 2 and len(spans) == 2 and text.endswith("[user]more\n")
+    assert op5.locate([("user", "q"), ("assistant", "abc"), ("user", "m")], forgetful)[2] is None
+
+
+def test_spans_of_an_unknown_template():
+    template = lambda turns: "<s>" + "".join(f"<{r}> {t} </{r}>" for r, t in turns)
+    text, spans, _ = op5.locate([("user", "aab"), ("assistant", "")], template)
+    assert [(text[b:e], text[tb:te]) for b, e, tb, te in spans] == [("<s><user> aab </user>", "aab"), ("<assistant>  </assistant>", "")]
+
+
+# ---- lines
+
+
+def test_lines_of_recurring_templates_go_but_the_first(spark):
+    docs = [(i, f"{'abcdefghij'[i]}one {'abcdefghij'[i]}two {'abcdefghij'[i]}three\nVisit 1{i} pages at 10:0{i}\n\nposted by user {'uvwxyzabcdefghij'[i % 16]} today in news", None) for i in range(10)]
+    docs += [(90, None, None), (91, "", None), (92, "  \n\t", None), (None, "Visit 77 pages at 1:2", None), (9, docs[9][1], None), (93, "word " * 50_000, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n_lines string").repartition(3)
+    got = {}
+    for r in op8.line_report(frame, min_docs=5).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert got[0][0].text == docs[0][1] and got[0][0].n_dropped == 0
+    for i in range(1, 10):  # the fields with digits, and the name, vary
+        assert got[i][0].text == docs[i][1].split("\n")[0] + "\n" and got[i][0].n_dropped == 2
+    assert len(got[9]) == 2 and got[9][0] == got[9][1]
+    assert [(got[i][0].text, got[i][0].n_lines) for i in (90, 91, 92)] == [(None, 0), ("", 1), ("  \n\t", 2)]
+    assert got[None][0].text == "" and got[93][0].text == docs[-1][1]
+    whole = op8.line_dedup(frame, min_docs=5)
+    assert whole.columns == frame.columns and whole.count() == len(docs)
+    assert op8.line_dedup(frame, min_docs=50).where("n_lines is null").count() == len(docs)
+    assert op8.line_report(frame.limit(0)).collect() == []
+
+
+def test_unlike_lines_of_one_leaf_stay(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = [(i, "it is the " + " ".join(word() for _ in range(7))) for i in range(40)]
+    out = op8.line_report(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert out.agg(F.sum("n_dropped")).first()[0] == 0
+
+
+# ---- decontamination
+
+
+def test_overlaps_survive_substitutions(spark):
+    rng = random.Random(2)
+    item = [f"w{i}" for i in range(40)]
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    changed = [*item]
+    for i in range(6, 40, 9):
+        changed[i] = "other"
+    docs = [
+        (1, " ".join([*noise(30), *item, *noise(30)]), "c"), (2, " , ".join([*noise(3), *changed]).upper(), "c"),
+        (3, " ".join([*noise(9), *item[10:24], *noise(9)]), "c"), (4, " ".join([*noise(20), *item[:9], *noise(20)]), "c"),
+        (5, " ".join(noise(100)), "c"), (6, None, "c"), (7, "", "c"), (8, "w1 w2", "c"), (None, " ".join(item), "c"),
+        (1, " ".join([*noise(30), *item, *noise(30)]), "c"), (9, " ".join([*noise(20_000), *item]), "c"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, words string")
+    bench = spark.createDataFrame([(70, " ".join(item)), (71, None), (72, "w1 w2 w3"), (None, "x"), (70, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in op4.overlaps(frame, bench).collect()}
+    assert set(got) == {(d, 70) for d in (1, 2, 3, 9)}
+    assert got[1, 70].score == 80 and (got[1, 70].begin, got[1, 70].end) == (30, 70)
+    assert got[2, 70].score == 2 * 36 - 3 * 4
+    kept = op4.decontaminate(frame, bench)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [4, 5, 6, 7, 8, None]
+    assert op4.overlaps(frame.limit(0), bench).collect() == [] and op4.overlaps(frame, bench.limit(0)).collect() == []
+
+
+def test_the_plan_without_broadcast_gives_the_same(spark, monkeypatch):
+    import runscope.llm.tables as tables
+
+    docs, bench = read(spark, SMALL, "documents"), read(spark, SMALL, "benchmark")
+    want = sorted(op4.overlaps(docs, bench).collect())
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    assert want and sorted(op4.overlaps(docs, bench).collect()) == want
+
+
+def test_native_operators_run_no_python(spark):
+    docs, bench = read(spark, SMALL, "documents"), read(spark, SMALL, "benchmark")
+    for frame in (op4.overlaps(docs, bench), op8.line_dedup(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExternalRDD"))
+
+
+# ---- pipeline
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage on what the one before kept, against plain Python on collected rows."""
+    from tests.llm.test_op3_op9 import brute_components
+
+    docs = read(spark, SMALL, "documents")
+    outputs = {}
+    for name, stage in corpus_pipeline.STAGES:
+        outputs[name] = before, after = docs, stage(spark, docs, SMALL)
+        if name != "sentencepiece":
+            assert after.dtypes == before.dtypes
+        docs = spark.createDataFrame(after.toArrow()) if name != "sentencepiece" else after
+
+    def ids(frame):
+        return {r.doc_id for r in frame.select("doc_id").collect()}
+
+    before, after = outputs["toxicity"]
+    scored = op10.scores(before, read(spark, SMALL, "labels")).collect()
+    assert ids(after) == {r.doc_id for r in scored if not r.predicted}
+
+    before, after = outputs["line dedup"]
+    text = {r.doc_id: r for r in after.collect()}
+    reported = {r.doc_id: r.text for r in op8.line_report(before).collect()}
+    assert {d: r.text for d, r in text.items()} == reported and all(r.n_chars == len(r.text) for r in text.values())
+
+    before, after = outputs["near duplicates"]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    assert ids(after) == {d for d, _, c in brute_components(rows) if c == d}
+
+    before, after = outputs["decontamination"]
+    overlap = {r.doc_id for r in op4.overlaps(before, read(spark, SMALL, "benchmark")).collect()}
+    assert ids(after) == ids(before) - overlap
+
+    before, after = outputs["sentencepiece"]
+    bpe = op6.PrefixTableBpe(tokenizer_model())
+    want = {r.doc_id: len(bpe.encode([r.text or ""])[0]) for r in before.collect()}
+    assert {r.doc_id: r.n_tokens for r in after.collect()} == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, after.collect()))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    from runscope.llm.queries import QUERIES
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, dropped string"
+    odd = [(None, None, None, None, None, None, None), (1, None, None, None, None, None, None), (2, "", "en", "s", 0, "x", "y"),
+           (3, "same line\nsame line", "en", "s", 19, "x", "y"), (3, "same line\nsame line", "en", "s", 19, "x", "y")]
+    for name, rows in (("odd", odd), ("empty", [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, None, None), (None, 1, 1)][: len(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, None)][: len(rows)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, at).count() == len(rows)
+        for query in ("op2_language_id", "op3_repeated_passages", "op6_sentencepiece", "op7_repetition_rules", "op8_line_templates", "op9_near_duplicates", "op10_toxicity"):
+            assert QUERIES[query](spark, at).count() == len(rows), query
+        assert QUERIES["op4_decontamination"](spark, at).count() == 0
+    assert op9.one_per_group(spark.createDataFrame(odd, schema)).count() == len(odd)
