@@ -8,7 +8,8 @@ shingle must pass
 
 * the length filter: the smaller set has at least ``t`` of the larger one's size,
 * the positional filter: what comes before and after the shingle leaves room for the overlap,
-* the suffix filter: what comes after it, counted in ``BINS`` hash ranges, differs by no more than allowed,
+* the suffix filter: what comes after it, counted in ``BINS`` hash ranges, differs by no more than allowed;
+  and so do the whole sets, counted modulo 2 in ``BITS`` ranges,
 
 and is then verified once on the whole sets. Commonness is counted in a table of fixed size, over all
 documents; it decides the order only, so the join is exact whatever its errors.
@@ -41,10 +42,12 @@ from runscope.llm.tables import measured, without, written
 PERCENT, WIDTH = 90, 3
 #: Counters of how common shingles are, and counters per row sent, as powers of two.
 SKETCH_BITS, SEGMENT_BITS = 20, 14
-#: Hash ranges of the suffix filter.
-BINS = 16
+#: Hash ranges of the suffix filter, and those of whole sets.
+BINS, BITS = 16, 512
 #: Rounds that verify one pair per class. Postings of a shingle that are compared with one hub.
 ROUNDS, BLOCK = 2, 4096
+#: Postings before a posting that it may be verified with in such a round.
+BACK = 4
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +73,15 @@ def _sketch_place(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _rows_of(table: np.ndarray) -> pa.Array:
+    """Each row of a table of bytes as one binary value."""
+    data, width = table.tobytes(), table.shape[1]
+    return pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (size and digest of its set); then the task's counts of shingles, by segment."""
-    names = ["doc_id", "n_shingles", "digest", "segment", "counts"]
+    names = ["doc_id", "n_shingles", "digest", "bitmap", "segment", "counts"]
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for piece in pieces(batches):
         text, value = shingle_sets(text_column(piece))
@@ -80,11 +89,16 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.searchsorted(text, np.arange(piece.num_rows + 1))
         data, at = value.tobytes(), (cuts * 8).tolist()
         digests = [xxhash.xxh3_128_digest(data[a:b]) if b > a else None for a, b in zip(at, at[1:], strict=False)]
+        place = ((value >> np.uint64(4)) % np.uint64(BITS)).astype(np.int64)
+        odd = (np.bincount(text * BITS + place, minlength=piece.num_rows * BITS) & 1).astype(bool)
         nulls = pa.nulls(piece.num_rows)
         yield pa.record_batch(
-            [piece.column("doc_id"), pa.array(np.diff(cuts)), pa.array(digests, pa.binary()), nulls.cast(pa.int32()), nulls.cast(pa.binary())],
+            [
+                piece.column("doc_id"), pa.array(np.diff(cuts)), pa.array(digests, pa.binary()),
+                _rows_of(np.packbits(odd.reshape(-1, BITS), axis=1)), nulls.cast(pa.int32()), nulls.cast(pa.binary()),
+            ],
             names,
-        )
+        )
     press = zstandard.ZstdCompressor(level=1)
     parts = counts.reshape(-1, 1 << SEGMENT_BITS)
     used = np.flatnonzero(parts.any(axis=1))
@@ -92,7 +106,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nulls = pa.nulls(len(used))
         yield pa.record_batch(
             [
-                nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.binary()), pa.array(used.astype(np.int32)),
+                nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.binary()), nulls.cast(pa.binary()),
+                pa.array(used.astype(np.int32)),
                 pa.array([press.compress(parts[s].tobytes()) for s in used], pa.binary()),
             ],
             names,
@@ -158,11 +173,10 @@ def _postings(counts, percent: int):
             first = np.searchsorted(text[chosen], text[chosen])
             rest = np.minimum(rest - (seen[1:] - seen[first]), 255).astype(np.uint8)
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            data = rest.tobytes()
             yield pa.record_batch(
                 [
                     pa.array(value[chosen].view(np.int64)), pa.array(ids[text[chosen]]), pa.array(size[text[chosen]].astype(np.int32)),
-                    pa.array(place[chosen].astype(np.int32)), pa.array([data[i : i + BINS] for i in range(0, len(data), BINS)], pa.binary()),
+                    pa.array(place[chosen].astype(np.int32)), _rows_of(rest),
                 ],
                 POSTING,
             )
@@ -178,7 +192,8 @@ class Postings:
     """Postings of one shingle, by size: what the filters say about pairs of them."""
 
     def __init__(self, columns: list[np.ndarray], percent: int) -> None:
-        self.node, self.n, self.place, self.rest, self.label = columns
+        self.node, self.n, self.place, self.rest, bitmap, self.label = columns
+        self.bitmap = np.ascontiguousarray(bitmap).view(np.uint64)
         self.percent = percent
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,14 +204,18 @@ class Postings:
         position = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1 >= need
         suffix = np.abs(self.rest[a].astype(np.int16) - self.rest[b]).sum(axis=1, dtype=np.int64)
         apart = suffix + np.abs(i - j)
-        return np.where(length & position & (apart <= n + m - 2 * need) & (self.label[a] != self.label[b]), apart, -1)
+        allowed = n + m - 2 * need
+        fits = length & position & (apart <= allowed) & (self.label[a] != self.label[b])
+        left = np.flatnonzero(fits)
+        whole = np.bitwise_count(self.bitmap[a[left]] ^ self.bitmap[b[left]]).sum(axis=1, dtype=np.int64)
+        out = np.full(len(a), -1)
+        out[left] = np.where(whole <= allowed[left], np.maximum(whole, apart[left]), -1)
+        return out
 
     def nearest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Some pairs, a few per posting: with the one before, and with the most central of the block."""
-        pairs = []
+        """Some pairs, a few per posting: with those just before, and with the most central of the block."""
         n = len(self.node)
-        at = np.arange(1, n)
-        pairs.append((at - 1, at))
+        pairs = [(np.arange(n - back), np.arange(back, n)) for back in range(1, min(BACK, n - 1) + 1)]
         hub_before = None
         for begin in range(0, n, BLOCK):
             block = np.arange(begin, min(n, begin + BLOCK))
@@ -234,10 +253,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BINS))
-        if batch.num_columns > 5:
-            columns.append(batch.column(5).to_numpy(zero_copy_only=False))
+        columns = [
+            np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+            for c in batch.columns
+        ]
         if held is not None:
             columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
         token = columns[0]
@@ -256,11 +275,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         token, node, n, place, rest = (np.concatenate(c) for c in zip(*kept, strict=True))
-        data = rest.tobytes()
-        return pa.record_batch(
-            [pa.array(token), pa.array(node), pa.array(n), pa.array(place), pa.array([data[i : i + BINS] for i in range(0, len(data), BINS)], pa.binary())],
-            POSTING,
-        )
+        return pa.record_batch([pa.array(token), pa.array(node), pa.array(n), pa.array(place), _rows_of(rest)], POSTING)
 
     for group in _groups(batches):
         if (group[1] != group[1][0]).any():
@@ -282,10 +297,10 @@ def _candidates(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]
             a, b, d = (np.concatenate(c) for c in zip(*kept, strict=True))
             return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "apart"])
 
-        for _, node, n, place, rest, label in _groups(batches):
+        for _, node, n, place, rest, bitmap, label in _groups(batches):
             if (label == label[0]).all():
                 continue
-            postings = Postings([node, n.astype(np.int64), place.astype(np.int64), rest, label], percent)
+            postings = Postings([node, n.astype(np.int64), place.astype(np.int64), rest, bitmap, label], percent)
             for a, b, d in postings.every() if every else [postings.nearest()]:
                 if len(a):
                     kept.append((node[a], node[b], d))
@@ -347,7 +362,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     profiles = written(
-        docs.mapInArrow(_profiles, "doc_id long, n_shingles long, digest binary, segment int, counts binary"), "profiles"
+        docs.mapInArrow(_profiles, "doc_id long, n_shingles long, digest binary, bitmap binary, segment int, counts binary"), "profiles"
     )
     counts = spark.sparkContext.broadcast(_commonness(profiles))  # 4 MB, whatever the corpus
     rows = profiles.where("segment is null").select("doc_id", "n_shingles", "digest")
@@ -361,7 +376,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .sortWithinPartitions("token", "n", "node")
         .mapInArrow(_shared_only, _POSTING_SQL)
     )
-    postings = written(postings, "postings")
+    # a posting gets the bitmap of each text of its node; with repeated ids, that of its own is among them
+    bitmaps = profiles.where("segment is null and doc_id is not null").select(F.col("doc_id").alias("node"), "bitmap").distinct()
+    postings = written(written(postings, "shared").join(bitmaps, "node").select(*POSTING, "bitmap"), "postings")
     links, labels, tried = None, None, None
     for number in range(ROUNDS + 1):
         every = number == ROUNDS
@@ -369,7 +386,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if labels is not None:
             current = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = (
-            current.select(*POSTING, "label")
+            current.select(*POSTING, "bitmap", "label")
             .repartition("token")
             .sortWithinPartitions("token", "n", "node")
             .mapInArrow(_candidates(percent, every), "a long, b long, apart long")
