@@ -29,12 +29,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from runscope.llm.common import Words, mixed, pieces, spread, text_column, window_hash, words_of
+from runscope.llm.common import PIECE_BYTES, Words, mixed, pieces, spread, text_column, window_hash, words_of
 
 #: Words of a window, and of the runs that its minimiser is chosen from.
 WIDTH, GRAM = 13, 3
 #: Buckets per shuffle partition: a task holds one bucket at a time.
 BUCKETS_PER_PARTITION = 4
+#: How hard what is shuffled is compressed.
+LEVEL = 6
 #: The id that a document without one counts as.
 NAMELESS = np.iinfo(np.int64).max
 
@@ -67,7 +69,7 @@ def super_kmers(words: Words, width: int = WIDTH, gram: int = GRAM) -> tuple[np.
 
 def _pack(values: np.ndarray) -> bytes:
     """Numbers as differences, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
@@ -82,7 +84,7 @@ def _senders(n_buckets: int):
     """Pieces of text → rows of strings (phase 0) and of occurrences (phase 1) by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for piece in pieces(batches):
             words = words_of(text_column(piece))
             first, last, least = super_kmers(words)
@@ -226,8 +228,26 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_answer, "doc long, tag int, begin int, end int")
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for the shuffle that brings them to their ranges."""
+    press = zstandard.ZstdCompressor(level=LEVEL)
     for piece in pieces(batches):
+        packed = [press.compress((t or "").encode()) for t in piece.column("text").to_pylist()]
+        yield pa.record_batch([piece.column("doc_id"), piece.column("tag"), pa.array(packed, pa.binary())], ["doc_id", "tag", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their texts again, a bounded number of bytes at a time."""
+    unpress = zstandard.ZstdDecompressor()
+    for piece in pieces(batches, "packed", PIECE_BYTES // 4):
+        texts = [unpress.decompress(p) for p in piece.column("packed").to_pylist()]
+        yield pa.record_batch(
+            [piece.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), piece.column("ranges")], ["doc_id", "text", "ranges"]
+        )
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(_unpacked(batches)):
         words = words_of(text_column(piece))
         n = len(words.begin)
         ranges = piece.column("ranges")
@@ -263,8 +283,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_ranges(docs: DataFrame) -> DataFrame:
     ranges = repeated_ranges(docs).groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    rows = _keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(int(NAMELESS))))
-    return rows.join(ranges, ["doc", "tag"], "left").select("doc_id", "text", "ranges")
+    rows = _keyed(docs).mapInArrow(_packed_texts, "doc_id long, tag int, packed binary")
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(int(NAMELESS))))
+    return rows.join(ranges, ["doc", "tag"], "left").select("doc_id", "packed", "ranges")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
