@@ -3,21 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, functions as F
 
-from runscope.session import checkpointed
+from runscope.session import file_bytes, fresh_path
 
-# What a job broadcasts at most, by the size it has counted.
-BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def _size(df: DataFrame) -> int:
-    """Bytes of a materialised table: its values as text, and 16 more for each."""
-    values = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns]
-    return df.agg(F.sum(reduce(add, values).cast("bigint"))).first()[0] or 0
+# What a job broadcasts at most, by the size of its compressed files.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def join_per_key(
@@ -29,7 +21,7 @@ def join_per_key(
 ) -> DataFrame:
     """``rows.join(per_key, key, how)`` where any share of ``rows`` may have the same key.
 
-    With ``broadcast_bytes`` the small side is materialised and measured at once, and broadcast if
+    With ``broadcast_bytes`` the small side is written and its files measured at once, and broadcast if
     it is no larger; ``rows`` is not shuffled then. (Left alone, Spark sees the small size only
     after it has started to shuffle both sides.) Otherwise Spark plans the join. If it shuffles,
     the adaptive skew join cuts a hot key's partition into pieces. That rule wants a fresh
@@ -38,7 +30,9 @@ def join_per_key(
     """
     keys = [key] if isinstance(key, str) else list(key)
     if broadcast_bytes:
-        per_key = checkpointed(per_key)
-        if _size(per_key) <= broadcast_bytes:
+        spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "per-key")
+        per_key.write.parquet(path)
+        per_key = spark.read.schema(per_key.schema).parquet(path)
+        if file_bytes(spark, path) <= broadcast_bytes:
             return rows.join(F.broadcast(per_key), keys, how)
     return rows.join(per_key.repartition(F.xxhash64(*keys)), keys, how)

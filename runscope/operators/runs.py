@@ -10,7 +10,7 @@ from runscope.formats import NIL_RUN_ID, UNKNOWN_DESCRIPTION
 from runscope.functions.labels import hue_compose, hue_split, run_stamp
 from runscope.functions.rates import host_walltime
 from runscope.joins import join_per_key
-from runscope.session import checkpointed
+from runscope.session import written
 
 
 def run_enrich(
@@ -86,12 +86,28 @@ def latest_pointer(
     return ranked.where(F.col("nth") == 1).drop("nth")
 
 
-def config_menu(configs: DataFrame, pattern: str = ".bit", k: int = 15) -> DataFrame:
-    """The ``k`` newest configs ``(name, mtime)`` whose name matches the regular expression."""
+def config_menu(configs: DataFrame, pattern: str = ".bit") -> DataFrame:
+    """All configs ``(name, mtime)`` whose name matches the regular expression, with their rank.
+
+    The newest has rank 1; names decide ties, so equal rows have consecutive ranks. The order is
+    total over all configs: a range partitioning cuts it into pieces, written out so that all
+    steps see the same cut, and a rank is the place in the piece plus the rows of earlier ones.
+    """
+    newest_first = [F.col("mtime").desc(), F.col("name")]
+    matching = configs.where(F.col("name").rlike(pattern)).select("name", "mtime")
+    pieces = written(matching.repartitionByRange(*newest_first).withColumn("piece", F.spark_partition_id()))
+    # one row per partition
+    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        pieces.groupBy("piece")
+        .agg(F.count("*").alias("rows"))
+        .select("piece", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    )
+    place = F.row_number().over(Window.partitionBy("piece").orderBy(*newest_first))
     return (
-        configs.where(F.col("name").rlike(pattern))
-        .orderBy(F.col("mtime").desc(), F.col("name"))
-        .limit(k)
+        pieces.withColumn("place", place)
+        .join(F.broadcast(offsets), "piece")
+        .select("name", "mtime", (F.col("before") + F.col("place")).alias("rank"))
     )
 
 
@@ -112,7 +128,7 @@ def sweep_grid(programs: DataFrame, axes: Mapping[str, Sequence[str]]) -> DataFr
 
 def run_id_assign(runs: DataFrame, column: str = "run_id") -> DataFrame:
     """A random unique id per row, written once so that it never changes afterwards."""
-    return checkpointed(runs.withColumn(column, F.uuid()))
+    return written(runs.withColumn(column, F.uuid()))
 
 
 def known_run_id(run_id: Column) -> Column:

@@ -1,6 +1,6 @@
 """Operators on counter samples ``(run_id, sample_idx, cycles, counter, value)``.
 
-``sample_idx`` is dense within a run and counter. A run may hold any share of all samples,
+A run may hold any share of all samples,
 so nothing here brings a whole run into one task: order-dependent work runs on blocks of
 consecutive samples.
 """
@@ -27,9 +27,8 @@ def warmup_drop(samples: DataFrame, n: int = WARMUP_SAMPLES) -> DataFrame:
 def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_bytes: int = 0) -> DataFrame:
     """samples within ``bounds(run_id, start, end)``, both ends included, -1 = unbounded.
 
-    Runs without bounds give no samples, nor do records without a cycle count; as the latter
-    may leave gaps, follow with ``counter_delta(…, contiguous=False)``. On ``broadcast_bytes`` see
-    :func:`join_per_key`.
+    Runs without bounds give no samples, nor do records without a cycle count. On
+    ``broadcast_bytes`` see :func:`join_per_key`.
     """
     start, end = F.col("start"), F.col("end")
     inside = ((start == UNBOUNDED_CYCLE) | (F.col("cycles") >= start)) & (
@@ -41,35 +40,30 @@ def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_bytes: int = 0
     return bounded.where(inside).drop("start", "end")
 
 
-def with_previous(samples: DataFrame, block: int = BLOCK_SAMPLES, contiguous: bool = True) -> DataFrame:
-    """Add ``previous``, the value of the sample before, NULL on the first of a series.
+def with_previous(samples: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
+    """Add ``previous``, the last known value before a sample, NULL if there is none.
 
-    Rows are distributed by (series, block of consecutive samples), so a long series spreads
-    over many tasks. Each block also receives a copy of the row before its first, which serves
-    as that row's predecessor and is dropped again. With dense indexes that row is known by
-    its number; ``contiguous=False`` finds it by aggregation and admits gaps.
+    Samples without a value are passed over, and indexes may have gaps. Rows are distributed by
+    (series, block of consecutive samples), so a long series spreads over many tasks. The same
+    distribution gives the last value of each block; the few of those are carried on to the blocks
+    behind.
     """
-    idx = F.col("sample_idx")
-    own = F.expr(f"sample_idx div {block}")
-    if contiguous:
-        last_of_block = idx % block == block - 1
-        blocks = F.when(last_of_block, F.array(own, own + 1)).otherwise(F.array(own))
-        spread = samples.withColumn("block", F.explode_outer(blocks))
-    else:
-        tagged = samples.withColumn("block", own)
-        following = F.lead("block").over(Window.partitionBy(*_SERIES).orderBy("block"))
-        carried = (
-            tagged.groupBy(*_SERIES, "block")
-            .agg(F.max("sample_idx").alias("sample_idx"), F.max_by("value", "sample_idx").alias("value"))
-            .withColumn("block", following)
-            .where(F.col("block").isNotNull())
-        )
-        spread = tagged.unionByName(carried, allowMissingColumns=True)
-    in_block = Window.partitionBy(*_SERIES, "block").orderBy("sample_idx")
+    key = [*_SERIES, "block"]
+    tagged = samples.withColumn("block", F.expr(f"sample_idx div {block}")).repartition(*key)
+    before = Window.partitionBy(*key).orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*_SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known_at = F.when(F.col("value").isNotNull(), F.col("sample_idx"))
+    carried = (
+        tagged.groupBy(*key)
+        .agg(F.max_by("value", known_at).alias("value"))
+        .select(*key, F.last("value", ignorenulls=True).over(earlier).alias("carried"))
+        .where(F.col("carried").isNotNull())
+    )
     return (
-        spread.withColumn("previous", F.lag("value").over(in_block))
-        .where(F.col("block") == own)
-        .drop("block")
+        tagged.withColumn("previous", F.last("value", ignorenulls=True).over(before))
+        .join(carried, key, "left")
+        .withColumn("previous", F.coalesce("previous", "carried"))
+        .drop("block", "carried")
     )
 
 
@@ -80,12 +74,18 @@ def _difference(value: Column, previous: Column) -> Column:
     )
 
 
+def _step(value: Column, previous: Column) -> Column:
+    """What a counter gained since its last known value: 0 at the first, NULL where it is unknown."""
+    gained = F.when(value.isNotNull(), F.coalesce(_difference(value, previous), F.lit(0.0)))
+    return F.when(F.col("counter") == CYCLES, value.cast("double")).otherwise(gained)
+
+
 def counter_delta(samples: DataFrame, hz: float = CLOCK_HZ, **blocks) -> DataFrame:
-    """``seconds`` and ``delta`` per sample; first row 0, the cycle counter undiffed."""
-    value, previous = F.col("value"), F.col("previous")
-    delta = F.when(F.col("counter") == CYCLES, value.cast("double")).otherwise(
-        F.coalesce(_difference(value, previous), F.lit(0.0))
-    )
+    """``seconds`` and ``delta`` per sample; first row 0, the cycle counter undiffed.
+
+    A sample without a value has none; the next one gets all that was gained meanwhile.
+    """
+    delta = _step(F.col("value"), F.col("previous"))
     return (
         with_previous(samples, **blocks)
         .withColumn("seconds", cycles_to_seconds(F.col("cycles"), hz))
@@ -137,9 +137,7 @@ def delta_table(
     distribution nothing above it relies on.
     """
     value, previous, total = F.col("value"), F.col("previous"), F.col("instructions")
-    step = F.when(F.col("counter") == CYCLES, value.cast("double")).otherwise(
-        F.coalesce(_difference(value, previous), F.lit(0.0))
-    )
+    step = _step(value, previous)
     ratio = per_kilo(value, total)
     ratio_step = F.when(
         ratio.isNotNull(), F.coalesce(ratio - per_kilo(previous, total), F.lit(0.0))

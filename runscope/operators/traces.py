@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runscope.joins import join_per_key
-from runscope.session import checkpointed
+from runscope.session import written
 
 KEYS_PER_TASK = 1_000_000
 
@@ -23,7 +23,7 @@ def roi_slice(
     position = F.col(order)
     starts = events.where(is_start).groupBy("run_id").agg(F.min(position).alias("roi_start"))
     if broadcast_bytes:
-        starts = checkpointed(starts)  # used twice
+        starts = written(starts)  # used twice
     ends = (
         join_per_key(events.where(is_end), starts, "run_id", broadcast_bytes=broadcast_bytes)
         .where(position > F.col("roi_start"))
@@ -45,7 +45,7 @@ def trace_histogram(trace: DataFrame, keys_per_task: int = KEYS_PER_TASK) -> Dat
     the shuffle. A run with at most ``keys_per_task`` distinct keys is ranked by a window;
     runs with more are ranked by :func:`_rank_large`, to the same result.
     """
-    counts = checkpointed(trace.groupBy("run_id", "key").agg(F.count("*").alias("n")))
+    counts = written(trace.groupBy("run_id", "key").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("run_id").agg(F.count("*").alias("keys"))
     large = sizes.where(F.col("keys") > keys_per_task).select("run_id")
     by_rank = Window.partitionBy("run_id").orderBy(F.col("n").desc(), F.col("key"))
@@ -67,7 +67,7 @@ def _rank_large(counts: DataFrame) -> DataFrame:
     written out, so that all later steps see the same one. A rank is then the place within
     the piece plus the rows in the run's earlier pieces.
     """
-    pieces = checkpointed(
+    pieces = written(
         counts.repartitionByRange("run_id", F.col("n").desc(), "key").withColumn(
             "piece", F.spark_partition_id()
         )

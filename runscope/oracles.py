@@ -260,7 +260,7 @@ ORACLES: dict[str, str] = {
     "result_path": f"""
         WITH {_MANIFEST}, {_JOBS}
         SELECT m.run_id, concat('results/', fpga, '/', benchmark, '/', {_HUE}, '/') AS result_dir,
-               concat('results/slurm-log/', job_id, '.out') AS log
+               concat('out/jobs/', job_id, '.out') AS log
         FROM manifest m JOIN jobs j ON m.run_id = j.run_id""",
     "run_summary": f"""
         WITH {_ENRICHED}
@@ -328,8 +328,10 @@ ORACLES: dict[str, str] = {
         WITH {_MANIFEST} SELECT * FROM manifest ORDER BY written_at DESC, run_id DESC LIMIT 1""",
     "config_menu": f"""
         WITH {_MANIFEST}
-        SELECT concat(run_name, '.bit') AS name, written_at AS mtime FROM manifest
-        WHERE regexp_matches(concat(run_name, '.bit'), '.bit') ORDER BY mtime DESC, name LIMIT 15""",
+        SELECT concat(run_name, '.bit') AS name, written_at AS mtime,
+               row_number() OVER (ORDER BY written_at DESC, concat(run_name, '.bit')) AS rank
+        FROM manifest WHERE regexp_matches(concat(run_name, '.bit'), '.bit')""",
+    "run_id_assign": "SELECT o_orderkey AS run_key, TRUE AS well_formed, TRUE AS \"unique\", TRUE AS stable FROM orders",
     "plot_series": f"""
         WITH {_DELTAS} SELECT run_id, counter, seconds, delta FROM deltas WHERE counter <> '{CYCLES}'""",
     "mpki_report": f"WITH {_METRICS}, {_MPKI} SELECT * FROM mpki",

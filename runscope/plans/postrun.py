@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runscope.formats import COUNTER_FILE, CYCLES, LOG_FILE, MPKI_COUNTERS
+from runscope.functions.labels import hue_split
 from runscope.functions.rates import cycles_to_seconds
-from runscope.joins import BROADCAST_BYTES, join_per_key
+from runscope.joins import BROADCAST_BYTES
 from runscope.operators.metrics import (
     counter_final,
     instruction_counts,
@@ -17,12 +18,12 @@ from runscope.operators.metrics import (
     results_pivot,
     uart_last_wins,
 )
-from runscope.operators.runs import run_enrich
+from runscope.operators.runs import latest_pointer, run_enrich, run_summary
 from runscope.operators.series import delta_table, raw_table, warmup_drop
-from runscope.session import checkpointed
-from runscope.sinks.results import TREE, read_tree, with_labels, write_deltas, write_raw, write_results
-from runscope.sources.counters import read_counter_samples
-from runscope.sources.logs import read_log_tokens
+from runscope.session import job, written
+from runscope.sinks.results import TREE, clear_missing, with_labels, write_table
+from runscope.sources.counters import WHOLE_FILE_BYTES, read_counter_samples
+from runscope.sources.logs import LATEST, read_log_tokens
 
 
 def merged_metrics(log_metrics: DataFrame, samples: DataFrame) -> DataFrame:
@@ -52,31 +53,66 @@ def analyse(
     labels: DataFrame,
     artifacts: DataFrame,
     descriptions: DataFrame,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> None:
-    """Read the runs below ``run_dirs`` (a glob) and write results, raw and delta tables.
-
-    ``names`` lists the metrics of the result row. The side tables are those of
-    :func:`runscope.operators.runs.run_enrich`; ``labels`` also has ``series``, and runs without
-    labels are left out. Every log and counter file is parsed once: what follows reads the
-    last metrics from the shared folder and the samples from the raw table just written.
+    """Read the runs below ``run_dirs`` (a glob of directories) and write the results tree.
+
+    Tables by (series, name, config), each replacing what the tree had of those: ``results``, a wide row per run with
+    the metrics ``names``; ``metrics``, all metrics in the long form; ``raw`` and ``deltas``;
+    ``summaries``, a text per run. ``latest``: the newest run by end time of each series, name
+    and runtime configuration. ``unlabelled``: what was read of runs that ``labels`` doesn't
+    have, replaced by each job.
+
+    The side tables are those of :func:`runscope.operators.runs.run_enrich`; ``labels`` also has
+    ``series``. Runs without a log or counter file have NULLs. Every file is parsed once, into the
+    shared folder; all tables are made from that and never from the tree, and it is deleted
+    at the end. Two directories of one name are an error, as runs go by that name.
     """
-    places = labels.select("run_id", *TREE)
-    log_metrics = checkpointed(uart_last_wins(read_log_tokens(spark, f"{run_dirs}/{LOG_FILE}")))
-
-    parsed = warmup_drop(read_counter_samples(spark, f"{run_dirs}/{COUNTER_FILE}"))
-    raw = with_labels(raw_table(parsed), places, BROADCAST_BYTES)
-    write_raw(raw, f"{results_root}/raw")
-    # The tree may hold other configurations; those of this job it has replaced as a whole.
-    written = read_tree(spark, f"{results_root}/raw", raw)
-    samples = join_per_key(
-        written, places.select(*TREE).distinct(), TREE, "left_semi", BROADCAST_BYTES
-    ).drop("seconds", *TREE)
-
-    # a run that left neither metrics nor samples has a row all the same
-    results = labels.select("run_id").join(run_results(log_metrics, samples, names), "run_id", "left")
-    enriched = run_enrich(results, timing, labels, artifacts, descriptions)
-    write_results(enriched.join(labels.select("run_id", "series"), "run_id"), f"{results_root}/results")
-
-    per_run = places.join(instruction_counts(log_metrics), "run_id", "left")
-    deltas = delta_table(samples, per_run, how="inner", broadcast_bytes=BROADCAST_BYTES)
-    write_deltas(deltas, f"{results_root}/deltas")
+    with job(spark):
+        places = written(labels.select("run_id", *TREE), "places")
+        logs = read_log_tokens(spark, run_dirs, name=LOG_FILE)
+        log_metrics = written(uart_last_wins(logs), "log-metrics")
+        parsed = read_counter_samples(spark, run_dirs, whole_file_bytes, name=COUNTER_FILE)
+        samples = written(warmup_drop(parsed), "samples")
+        _check_names(spark, run_dirs)
+
+        def save(table: DataFrame, name: str) -> None:
+            """Write by place, and clear the places of this job that have no row."""
+            write_table(table, f"{results_root}/{name}")
+            clear_missing(places, table, f"{results_root}/{name}")
+
+        raw = written(with_labels(raw_table(samples), places, BROADCAST_BYTES), "raw")
+        save(raw, "raw")
+        per_run = places.join(instruction_counts(log_metrics), "run_id", "left")
+        deltas = written(delta_table(samples, per_run, how="inner", broadcast_bytes=BROADCAST_BYTES), "deltas")
+        save(deltas, "deltas")
+        merged = written(merged_metrics(log_metrics, samples), "metrics")
+        metric_rows = merged.withColumnRenamed("name", "metric").drop("overridden")
+        save(metric_rows.join(places, "run_id"), "metrics")
+
+        # a run that left neither metrics nor samples has a row all the same
+        results = labels.select("run_id").join(run_results(log_metrics, samples, names), "run_id", "left")
+        enriched = written(
+            run_enrich(results, timing, labels, artifacts, descriptions).join(labels.select("run_id", "series"), "run_id"), "results"
+        )
+        save(enriched, "results")
+        save(run_summary(enriched).join(places, "run_id"), "summaries")
+        runtime = hue_split(F.col("config"))[1].alias("runtime_config")
+        ended = enriched.select("series", "name", runtime, "config", "run_id", "dir", F.col("timestamp").alias("ended_at"))
+        newest = latest_pointer(ended, ("series", "name", "runtime_config"), "ended_at")
+        (
+            newest.write.partitionBy("series", "name", "runtime_config")
+            .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{results_root}/latest")
+        )
+        unknown = merged.join(places.select("run_id"), "run_id", "left_anti")
+        unknown.select("run_id", "name", "value", "src").write.mode("overwrite").parquet(f"{results_root}/unlabelled")
+
+
+def _check_names(spark: SparkSession, run_dirs: str) -> None:
+    """Fail if two directories have the same name; only the listing is read."""
+    folder = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{LOG_FILE},{COUNTER_FILE}}}").load(run_dirs)
+    folders = files.select(folder.alias("folder")).distinct().select(F.substring_index("folder", "/", -1).alias("run_id"))
+    twice = folders.groupBy("run_id").count().where(f"count > 1 and run_id <> '{LATEST}'").first()
+    if twice is not None:
+        raise ValueError(f"more than one directory is named {twice.run_id}")

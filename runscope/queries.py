@@ -14,7 +14,7 @@ from runscope.functions.text import run_name_valid
 from runscope.joins import BROADCAST_BYTES
 from runscope.operators import configs, metrics, runs, series, traces
 from runscope.plans import postrun
-from runscope.session import checkpointed, fresh_path
+from runscope.session import fresh_path, written
 from runscope.sinks import results as sink
 from runscope.sources import counters, files, logs
 
@@ -91,7 +91,7 @@ def _labelled_results(spark, d):
 
 
 def results_sink(spark, d):
-    table = checkpointed(_labelled_results(spark, d))  # written twice, computed once
+    table = written(_labelled_results(spark, d))  # written twice, computed once
     root = fresh_path(spark, "results")
     sink.write_results(table, root)
     # one series runs again: only its partitions are replaced
@@ -191,12 +191,22 @@ def result_path(spark, d):
     return fx.run_manifest(spark, d).join(jobs, "run_id").select(
         "run_id",
         lab.result_path(F.col("fpga"), F.col("benchmark"), _hue()).alias("result_dir"),
-        lab.log_path(F.lit("results/slurm-log/%j.out"), F.col("job_id")).alias("log"),
+        lab.log_path(F.lit("out/jobs/%j.log"), F.col("job_id")).alias("log"),
     )
 
 
 def run_id_assign(spark, d):
-    return runs.run_id_assign(fx.run_manifest(spark, d).withColumnRenamed("run_id", "run_key"))
+    """What must hold of the random ids, per run: form, no other run's, the same when read again."""
+    assigned = runs.run_id_assign(fx.run_manifest(spark, d).select(F.col("run_id").alias("run_key")))
+    uuid4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    uses = assigned.groupBy("run_id").agg(F.count("*").alias("uses"))
+    again = assigned.select("run_key", F.col("run_id").alias("second"))
+    return assigned.join(uses, "run_id").join(again, "run_key").select(
+        "run_key",
+        F.col("run_id").rlike(uuid4).alias("well_formed"),
+        (F.col("uses") == 1).alias("unique"),
+        (F.col("run_id") == F.col("second")).alias("stable"),
+    )
 
 
 def _enriched(spark, d):

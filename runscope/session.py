@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "runscope", **conf: str) -> SparkSession:
@@ -44,14 +46,46 @@ def shared_folder(spark: SparkSession) -> str:
     return _folder_of_local_session(spark.sparkContext.applicationId)
 
 
+_jobs: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; it goes with the :func:`job` it was made in."""
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _jobs:
+        _jobs[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store Spark reaches by its path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """What is written to fresh paths within is deleted at the end, also after an error.
+
+    For work that ends with its own output. A query that returns a DataFrame can't use it, as
+    its rows are read later; its intermediates stay until the cluster clears the folder.
+    """
+    _jobs.append([])
+    try:
+        yield
+    finally:
+        for path in _jobs.pop():
+            delete_path(spark, path)
+
+
+def written(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """``df`` as Parquet in the shared folder: computed once, its lineage cut."""
+    path = fresh_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the Parquet files of a folder; only their listing is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.sum("length")).first()[0] or 0

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runscope.formats import CSV_COLUMN_NAMES
 from runscope.joins import join_per_key
+from runscope.session import delete_path
 
 TREE = ("series", "name", "config")
 
 
-def _write(df: DataFrame, root: str, fmt: str) -> None:
+def write_table(df: DataFrame, root: str, fmt: str = "parquet") -> None:
     """Replace exactly the (series, name, config) partitions that ``df`` holds.
 
     The rebalance hint gathers the rows of a partition into few files, and splits a
@@ -27,11 +28,37 @@ def _write(df: DataFrame, root: str, fmt: str) -> None:
     )
 
 
+#: Characters that the names of partition folders spell as %XX, and the name of the NULL partition (fixed).
+_SPELLED = set("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
+_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_path(root: str, values: dict[str, str | None]) -> str:
+    """The folder of a partition; empty and NULL labels share one."""
+    folders = (
+        f"{c}=" + ("".join(f"%{ord(x):02X}" if x in _SPELLED else x for x in v) if v else _NULL_PARTITION) for c, v in values.items()
+    )
+    return "/".join([root.rstrip("/"), *folders])
+
+
+def clear_missing(places: DataFrame, written: DataFrame, root: str) -> None:
+    """Delete the partitions of ``places`` that ``written`` has no row for, as nothing overwrote them.
+
+    Both are tables by the tree's columns. Only places of this job without rows are visited.
+    """
+    spark = places.sparkSession
+    as_stored = [F.nullif(F.col(c), F.lit("")).alias(c) for c in TREE]
+    left, right = places.select(*as_stored).distinct().alias("p"), written.select(*as_stored).distinct().alias("w")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"w.{c}")) for c in TREE]
+    for place in left.join(right, same, "left_anti").toLocalIterator():
+        delete_path(spark, partition_path(root, place.asDict()))
+
+
 def write_results(df: DataFrame, root: str, fmt: str = "parquet") -> None:
     """K1: one row per run. As CSV, the columns get the names the per-run CSV files use."""
     if fmt == "csv":
         df = df.withColumnsRenamed(CSV_COLUMN_NAMES)
-    _write(df, root, fmt)
+    write_table(df, root, fmt)
 
 
 def with_labels(table: DataFrame, labels: DataFrame, broadcast_bytes: int = 0) -> DataFrame:
@@ -44,12 +71,12 @@ def with_labels(table: DataFrame, labels: DataFrame, broadcast_bytes: int = 0) -
 
 def write_raw(samples: DataFrame, root: str, fmt: str = "parquet") -> None:
     """K2: raw samples with seconds and the tree's columns."""
-    _write(samples, root, fmt)
+    write_table(samples, root, fmt)
 
 
 def write_deltas(deltas: DataFrame, root: str, fmt: str = "parquet") -> None:
     """K3: deltas of counters and MPKI series with the tree's columns."""
-    _write(deltas, root, fmt)
+    write_table(deltas, root, fmt)
 
 
 def read_tree(spark: SparkSession, root: str, like: DataFrame, fmt: str = "parquet") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runscope.formats import CYCLES, DATA_LINE, DROPPED_COLUMNS, HEADER_LINE
 from runscope.session import fresh_path
-from runscope.sources.logs import line_columns, run_of
+from runscope.sources.logs import is_run, line_columns, run_of, text_of
 
 # Files up to this size are parsed whole, without any shuffle; larger ones are split by line.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -113,7 +113,9 @@ def counter_scan(
     from the header's, and cells that are no number, give NULL, or an error when ``strict``.
     A record may not contain a newline. All of it is row-local: no shuffle.
     """
-    lines = F.split("value", r"\r\n|\r|\n")
+    # the line reader drops a byte order mark, so this one must
+    text = F.when(F.startswith("value", F.lit("\ufeff")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    lines = F.split(text, r"\r\n|\r|\n")
     records = (
         files.select("run_id", lines.alias("lines"))
         .select(
@@ -184,6 +186,7 @@ def read_counter_samples(
     spark: SparkSession,
     paths: str | Sequence[str],
     whole_file_bytes: int = WHOLE_FILE_BYTES,
+    name: str | None = None,
     **options,
 ) -> DataFrame:
     """Samples of all counter files below ``paths``; the run is the file's directory.
@@ -191,16 +194,16 @@ def read_counter_samples(
     File size decides the way each file is parsed; both filters prune the file listing, so
     no file is read by both. The lines of large files are first written to the shared folder:
     where a file is split may depend on the cores there are when a scan starts, hence only one
-    scan may tell.
+    scan may tell. On ``name`` see :func:`runscope.sources.logs.text_of`.
     """
-    size = F.col("_metadata.file_size")
+    size, run = F.col("_metadata.file_size"), is_run("_metadata.file_path")
     small = (
-        spark.read.text(paths, wholetext=True)
-        .where(size <= whole_file_bytes)
+        text_of(spark, paths, name, wholetext=True)
+        .where((size <= whole_file_bytes) & run)
         .select(run_of("_metadata.file_path"), "value")
     )
     samples = counter_scan(small, **options)
-    large = spark.read.text(paths).where(size > whole_file_bytes)
+    large = text_of(spark, paths, name).where((size > whole_file_bytes) & run)
     if large.isEmpty():
         return samples
     table = fresh_path(spark, "counter-lines")

@@ -12,17 +12,32 @@ from runscope.functions.labels import parse_stamp
 _STAMP = r"(\d{4}-\d\d-\d\d-?\d{6})(?:/|\z)"
 
 
-def read_artifacts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Artifact files as ``(artifact_id, content)``; the id is the path. Spark skips empty files."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("artifact_id"), "content")
+#: What Spark can hold as one value, with some room.
+VALUE_BYTES = 2_000_000_000
 
 
-def artifact_md5(files: DataFrame) -> DataFrame:
-    """Content hash of ``files(artifact_id, content)``.
+def read_artifacts(spark: SparkSession, paths: str | Sequence[str], value_bytes: int = VALUE_BYTES) -> DataFrame:
+    """Artifact files as ``(artifact_id, content)``; the id is the path. Spark skips empty files.
 
-    A file is one value, which Spark bounds at 2 GB; keep a precomputed hash for larger ones.
+    A file that is too large for one value has a NULL content. The sizes prune the listing, so
+    its content is not read.
     """
-    return files.select("artifact_id", F.md5(F.col("content").cast("binary")).alias("md5"))
+    files = spark.read.format("binaryFile").load(paths)
+    fits = files.where(F.col("length") <= value_bytes).select(F.col("path").alias("artifact_id"), "content")
+    larger = files.where(F.col("length") > value_bytes)
+    return fits.unionByName(larger.select(F.col("path").alias("artifact_id"), F.lit(None).cast("binary").alias("content")))
+
+
+def artifact_md5(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Content hash of ``files(artifact_id, content)``, NULL without content.
+
+    ``known(artifact_id, md5)`` supplies hashes of files that have none here, one row each.
+    """
+    hashed = files.select("artifact_id", F.md5(F.col("content").cast("binary")).alias("md5"))
+    if known is None:
+        return hashed
+    supplied = known.select("artifact_id", F.col("md5").alias("supplied"))
+    return hashed.join(supplied, "artifact_id", "left").select("artifact_id", F.coalesce("md5", "supplied").alias("md5"))
 
 
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:

@@ -23,9 +23,31 @@ from runscope.functions.text import ascii_digits, strip_whitespace
 _DIRECTORY = r"/([^/]+)/[^/]+\z"
 
 
+#: A link beside the run directories to the newest of them (fixed name); it is no run.
+LATEST = "latest"
+
+
 def run_of(path: str, name: str = "run_id") -> Column:
-    """The run (or configuration) a file belongs to: its directory's name."""
-    return F.regexp_extract(path, _DIRECTORY, 1).alias(name)
+    """The run (or configuration) a file belongs to: its directory's name.
+
+    Readers give paths as URLs, so ``%20`` and the like are decoded; a plus sign stays.
+    """
+    encoded = F.replace(F.regexp_extract(path, _DIRECTORY, 1), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded).alias(name)
+
+
+def is_run(path: str) -> Column:
+    """Whether a file is in a run's directory, not below the link to the newest."""
+    return F.regexp_extract(path, _DIRECTORY, 1) != LATEST
+
+
+def text_of(spark: SparkSession, paths: str | Sequence[str], name: str | None = None, wholetext: bool = False) -> DataFrame:
+    """Text files below ``paths``; with ``name``, ``paths`` are directories and files of that name count.
+
+    Directories without such a file are no error then.
+    """
+    reader = spark.read.option("pathGlobFilter", name) if name else spark.read
+    return reader.text(paths, wholetext=wholetext)
 
 
 def _token_array(text: str) -> Column:
@@ -85,23 +107,40 @@ def line_columns() -> list[Column]:
 
 
 def read_log_tokens(
-    spark: SparkSession, paths: str | Sequence[str], name_mode: str = "token"
+    spark: SparkSession, paths: str | Sequence[str], name_mode: str = "token", name: str | None = None
 ) -> DataFrame:
-    """All tokens of all logs below ``paths``; the run is the file's directory."""
-    return scan_log_lines(spark.read.text(paths).select(*line_columns()), name_mode)
+    """All tokens of all logs below ``paths``; the run is the file's directory. On ``name`` see :func:`text_of`."""
+    lines = text_of(spark, paths, name).select(*line_columns()).where(is_run("path"))
+    return scan_log_lines(lines, name_mode)
 
 
 def read_descriptions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Description files as ``(config_id, value)``.
 
-    These small files are read as an RDD because DataFrame readers leave out empty files,
-    which must be told apart from missing ones here.
+    DataFrame readers leave out empty files, which must be told apart from missing ones here; the
+    listing has them.
     """
-    joined = paths if isinstance(paths, str) else ",".join(paths)
-    pairs = spark.sparkContext.wholeTextFiles(joined)
-    return spark.createDataFrame(pairs, "path string, value string").select(
-        run_of("path", "config_id"), "value"
-    )
+    found = listed_files(spark, paths)
+    texts = spark.read.text([*found], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value") if found else None
+    names = spark.createDataFrame([(p, n) for p, n in found.items()], "path string, length bigint")
+    empty = names.where("length = 0").select("path", F.lit("").alias("value"))
+    every = empty if texts is None else texts.unionByName(empty)
+    return every.select(run_of("path", "config_id"), "value")
+
+
+def listed_files(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, int]:
+    """Files that match the globs, as URLs, and their length; empty ones included.
+
+    As any listing of Spark's file sources, it is done and held by the driver.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = {}
+    for glob in [paths] if isinstance(paths, str) else paths:
+        where = jvm.org.apache.hadoop.fs.Path(glob)
+        for status in where.getFileSystem(conf).globStatus(where) or []:
+            if status.isFile():
+                found[status.getPath().toUri().toString()] = status.getLen()
+    return found
 
 
 def description_scan(files: DataFrame, configs: DataFrame | None = None) -> DataFrame:

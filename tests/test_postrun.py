@@ -128,3 +128,105 @@ def test_csv_results_have_the_usual_column_names(spark, tmp_path):
     back = spark.read.option("header", "true").csv(root)
     assert back.columns[:3] == ["run_id", "libyukon_md5", "bitstream info"]
     assert back.first()["bitstream info"] == "d, e"
+
+
+def one_run(root, run, rows, log="YUKON_INSTRUCTIONS=1000 YUKON_EXTRA=9\n", counters=True):
+    folder = root / "logs" / run
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "uartlog").write_text(log)
+    if counters:
+        head = f"a\nb\nc\ndescription,{CYCLES},l1_htlb_miss\nt\nw\naw\n"
+        lines = "".join(f"x,{(i + 1) * 10**8},{i * i * 10}\n" for i in range(rows))
+        (folder / "AUTOCOUNTERFILE0.csv").write_text(head + lines)
+
+
+def side_of(spark, runs, series="s", config="p.rt.rc.f"):
+    start = dt.datetime(2024, 1, 1)
+    timing = spark.createDataFrame(
+        [(r, start, start + dt.timedelta(seconds=n)) for n, r in enumerate(runs, 1)], "run_id string, started_at timestamp_ntz, ended_at timestamp_ntz"
+    )
+    labels = spark.createDataFrame(
+        [(r, series, "n", "ls", config, "/", "c", "a") for r in runs],
+        "run_id string, series string, name string, command string, config string, dir string, config_id string, artifact_id string",
+    )
+    artifacts = spark.createDataFrame([("a", "hash")], "artifact_id string, md5 string")
+    descriptions = spark.createDataFrame([("c", "text")], "config_id string, description string")
+    return timing, labels, artifacts, descriptions
+
+
+def tree(spark, out, name, schema=None):
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{out}/{name}").collect()
+    except AnalysisException as e:  # nothing is left in it
+        assert e.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND")
+        return []
+
+
+@pytest.mark.parametrize("whole_file_bytes", [10**6, 0])
+def test_a_second_analysis_leaves_nothing_of_the_first(spark, tmp_path, whole_file_bytes):
+    out, dirs = str(tmp_path / "out"), f"{tmp_path}/logs/*"
+    one_run(tmp_path, "a", 9)
+    analyse(spark, dirs, out, NAMES, *side_of(spark, ["a"]), whole_file_bytes)
+    assert (len(tree(spark, out, "raw")), len(tree(spark, out, "deltas"))) == (6, 9)
+    one_run(tmp_path, "a", 3)
+    analyse(spark, dirs, out, NAMES, *side_of(spark, ["a"]), whole_file_bytes)
+    assert [r.l1_htlb_miss for r in tree(spark, out, "results")] == [None]
+    assert (len(tree(spark, out, "raw")), len(tree(spark, out, "deltas"))) == (0, 0)
+
+
+def test_another_run_of_a_configuration_replaces_all_of_the_first(spark, tmp_path):
+    out = str(tmp_path / "out")
+    one_run(tmp_path / "1", "a", 9)
+    analyse(spark, f"{tmp_path}/1/logs/*", out, NAMES, *side_of(spark, ["a"]))
+    one_run(tmp_path / "2", "b", 2)
+    analyse(spark, f"{tmp_path}/2/logs/*", out, NAMES, *side_of(spark, ["b"]))
+    assert [r.run_id for r in tree(spark, out, "results")] == ["b"]
+    assert [r.run_id for name in ("raw", "deltas") for r in tree(spark, out, name)] == []
+    assert [r.run_id for r in tree(spark, out, "latest")] == ["b"]
+
+
+@pytest.mark.parametrize("series", ["", None, "a/b=c %"])
+def test_odd_labels_keep_their_samples(spark, tmp_path, series):
+    out = str(tmp_path / "out")
+    one_run(tmp_path, "a", 9)
+    analyse(spark, f"{tmp_path}/logs/*", out, NAMES, *side_of(spark, ["a"], series=series))
+    result = tree(spark, out, "results")[0]
+    assert (result.series, result.l1_htlb_miss) == (series or None, 640.0)
+    assert (len(tree(spark, out, "raw")), len(tree(spark, out, "deltas"))) == (6, 9)
+    one_run(tmp_path, "a", 0)
+    analyse(spark, f"{tmp_path}/logs/*", out, NAMES, *side_of(spark, ["a"], series=series))
+    assert (len(tree(spark, out, "raw")), len(tree(spark, out, "deltas"))) == (0, 0)
+
+
+def test_all_metrics_unlabelled_runs_summaries_and_missing_files(spark, tmp_path):
+    out = str(tmp_path / "out")
+    one_run(tmp_path, "a b%1+2", 8)
+    one_run(tmp_path, "failed", 0, counters=False)
+    one_run(tmp_path, "stranger", 7)
+    os.symlink(tmp_path / "logs" / "a b%1+2", tmp_path / "logs" / "latest")
+    analyse(spark, f"{tmp_path}/logs/*", out, NAMES, *side_of(spark, ["a b%1+2", "failed", "gone"]))
+    metrics = {(r.run_id, r.metric): r.value for r in tree(spark, out, "metrics")}
+    assert metrics["a b%1+2", "extra"] == 9.0 and metrics["a b%1+2", "l1_htlb_miss"] == 490.0
+    assert {r.run_id: r.l1_htlb_miss for r in tree(spark, out, "results")} == {"a b%1+2": 490.0, "failed": None, "gone": None}
+    assert {r.run_id for r in tree(spark, out, "unlabelled")} == {"stranger"}
+    assert {r.run_id: r.text.startswith("Finished: n\n") for r in tree(spark, out, "summaries")} == dict.fromkeys(["a b%1+2", "failed", "gone"], True)
+    assert [r.run_id for r in tree(spark, out, "latest")] == ["gone"]
+
+
+def test_directories_of_one_name_are_refused(spark, tmp_path):
+    one_run(tmp_path / "u1", "run1", 7)
+    one_run(tmp_path / "u2", "run1", 7)
+    with pytest.raises(ValueError, match="run1"):
+        analyse(spark, f"{tmp_path}/*/logs/*", str(tmp_path / "out"), NAMES, *side_of(spark, ["run1"]))
+
+
+def test_nothing_of_a_job_stays_in_the_shared_folder(spark, tmp_path):
+    from runscope.session import shared_folder
+
+    one_run(tmp_path, "a", 9)
+    side = side_of(spark, ["a"])
+    before = set(os.listdir(shared_folder(spark)))
+    analyse(spark, f"{tmp_path}/logs/*", str(tmp_path / "out"), NAMES, *side, 0)
+    assert set(os.listdir(shared_folder(spark))) == before

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from runscope.session import checkpointed, fresh_path, shared_folder
+from runscope.session import file_bytes, fresh_path, job, shared_folder, written
 
 
 def fake_session(master, folder=None):
@@ -17,7 +17,7 @@ def test_the_sessions_folder_is_used(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder and fresh_path(spark, "x").startswith(f"{folder}/x-")
     before = sum(len(files) for _, _, files in os.walk(folder))
-    frame = checkpointed(spark.range(10))
+    frame = written(spark.range(10))
     assert frame.count() == 10 and "Range" not in frame._jdf.queryExecution().optimizedPlan().toString()
     assert sum(len(files) for _, _, files in os.walk(folder)) > before
 

@@ -258,3 +258,22 @@ def test_run_catalogue_of_a_directory(spark, tmp_path):
 def test_submissions(spark, stdout, job_id):
     log = spark.createDataFrame([(1, stdout)], "run_id bigint, stdout string")
     assert submission_parse(log).first().job_id == job_id
+
+
+def test_a_byte_order_mark_is_no_part_of_a_name(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "AUTOCOUNTERFILE0.csv").write_bytes(b"\xef\xbb\xbf" + f"description,{CYCLES},x\nd,1,2\n".encode())
+    options = {"header_line": 0, "data_line": 1}
+    whole, lines = (as_rows(read_counter_samples(spark, str(tmp_path / "r"), n, **options)) for n in (10**6, 0))
+    assert whole == lines and {r[3] for r in whole} == {CYCLES, "x"}
+
+
+def test_artifacts_too_large_for_a_value(spark, tmp_path):
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / "large").write_bytes(b"x" * 5000)
+    files = read_artifacts(spark, str(tmp_path), value_bytes=1000)
+    got = {r.artifact_id.rsplit("/", 1)[1]: r.md5 for r in artifact_md5(files).collect()}
+    assert got == {"small": "900150983cd24fb0d6963f7d28e17f72", "large": None}
+    known = files.where("content is null").select("artifact_id", F.lit("supplied").alias("md5"))
+    got = {r.artifact_id.rsplit("/", 1)[1]: r.md5 for r in artifact_md5(files, known).collect()}
+    assert got == {"small": "900150983cd24fb0d6963f7d28e17f72", "large": "supplied"}

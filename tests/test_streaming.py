@@ -35,3 +35,13 @@ def test_new_runs_only(spark, tmp_path):
     assert drain() == first
     add_run(tmp_path, "r3", "YUKON_A=9\n", 7)
     assert drain() == (first[0] + [("r3", "a", 9.0)], first[1] + [("r3", 0, 6)])
+
+
+def test_another_checkpoint_writes_beside(spark, tmp_path):
+    dirs, out = str(tmp_path / "runs" / "*"), str(tmp_path / "out")
+    add_run(tmp_path, "r1", "YUKON_A=1\n", 8)
+    collect_log_metrics(spark, dirs, out, str(tmp_path / "state1"))
+    (tmp_path / "runs" / "r1").rename(tmp_path / "r1-away")
+    add_run(tmp_path, "r2", "YUKON_A=2\n", 8)
+    collect_log_metrics(spark, dirs, out, str(tmp_path / "state2"))
+    assert sorted(r.run_id for r in spark.read.parquet(out).collect()) == ["r1", "r2"]
