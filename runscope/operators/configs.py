@@ -57,16 +57,20 @@ def _holds(rule: Rule) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def config_complete(manifest: DataFrame, rules: Sequence[Rule] = RUN_RULES) -> DataFrame:
+def config_complete(
+    manifest: DataFrame, rules: Sequence[Rule] = RUN_RULES, configs: DataFrame | None = None
+) -> DataFrame:
     """verdict per config and the members that failed, in rule order.
 
-    The rules become aggregates of a single pass over ``manifest(config_id, member, …)``:
+    ``configs(config_id)`` adds those without any row in the manifest: all their members fail. The rules become aggregates of a single pass over ``manifest(config_id, member, …)``:
     pre-aggregated before the shuffle, with no join.
     """
     met = [F.bool_or(_holds(rule)).alias(f"met_{i}") for i, rule in enumerate(rules)]
     failed = F.array_compact(
         F.array(*[F.when(~F.col(f"met_{i}"), F.lit(rule.member)) for i, rule in enumerate(rules)])
     )
+    if configs is not None:  # a row of NULLs meets no rule
+        manifest = manifest.unionByName(configs.select("config_id"), allowMissingColumns=True)
     return (
         manifest.groupBy("config_id")
         .agg(*met)

@@ -260,7 +260,7 @@ ORACLES: dict[str, str] = {
     "result_path": f"""
         WITH {_MANIFEST}, {_JOBS}
         SELECT m.run_id, concat('results/', fpga, '/', benchmark, '/', {_HUE}, '/') AS result_dir,
-               concat('out/jobs/', job_id, '.out') AS log
+               concat('out/jobs/', job_id, '.log') AS log
         FROM manifest m JOIN jobs j ON m.run_id = j.run_id""",
     "run_summary": f"""
         WITH {_ENRICHED}
@@ -334,5 +334,7 @@ ORACLES: dict[str, str] = {
     "run_id_assign": "SELECT o_orderkey AS run_key, TRUE AS well_formed, TRUE AS \"unique\", TRUE AS stable FROM orders",
     "plot_series": f"""
         WITH {_DELTAS} SELECT run_id, counter, seconds, delta FROM deltas WHERE counter <> '{CYCLES}'""",
+    "counter_files": f"WITH {_SENTENCES} {_union_samples(_FILE_VALUES)}",
+    "log_files": f"WITH {_METRICS} SELECT run_id, name, value FROM log_metrics",
     "mpki_report": f"WITH {_METRICS}, {_MPKI} SELECT * FROM mpki",
 }

@@ -358,7 +358,32 @@ def mpki_report(spark, d):
     return postrun.mpki_report(_tokens(spark, d), fx.counter_samples(spark, d))
 
 
+# --- through files --------------------------------------------------------------------
+
+def _as_files(texts: DataFrame) -> str:
+    """One text file per run below the shared folder; the glob of the files."""
+    root = fresh_path(texts.sparkSession, "files")
+    texts.select("run_id", "value").write.partitionBy("run_id").text(root)
+    return f"{root}/*/*.txt"
+
+
+def _by_number(rows: DataFrame) -> DataFrame:
+    """The run's number from its directory's name, ``run_id=<number>``."""
+    return rows.withColumn("run_id", F.substring_index("run_id", "=", -1).cast("bigint"))
+
+
+def counter_files(spark, d):
+    """Counter files as files: small ones parsed whole, the others by line."""
+    return _by_number(counters.read_counter_samples(spark, _as_files(fx.counter_files(spark, d)), whole_file_bytes=2000))
+
+
+def log_files(spark, d):
+    return _by_number(metrics.uart_last_wins(logs.read_log_tokens(spark, _as_files(fx.log_files(spark, d)))))
+
+
 QUERIES: dict[str, Query] = {
+    "counter_files": counter_files,
+    "log_files": log_files,
     "uart_scan": uart_scan,
     "counter_scan": counter_scan,
     "description_scan": description_scan,

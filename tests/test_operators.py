@@ -349,6 +349,13 @@ def test_complete_configurations(spark):
     assert got == {"ok": (True, []), "raw": (False, ["driver", "image", "results_dir"]), "hidden": (False, ["image"]), "none": (False, list(good))}
 
 
+def test_a_configuration_without_rows_fails(spark):
+    manifest = spark.createDataFrame([("a", "m", True)], "config_id string, member string, readable boolean")
+    every = spark.createDataFrame([("a",), ("b",)], "config_id string")
+    got = configs.config_complete(manifest, [Rule("m", readable=True)], every).collect()
+    assert {r.config_id: (r.complete, r.failed) for r in got} == {"a": (True, []), "b": (False, ["m"])}
+
+
 def test_any_matching_row_satisfies_a_rule(spark):
     rows = [("c", "driver", "file", "a", True, True, False), ("c", "driver", "file", "b", True, True, True)]
     verdict = configs.config_complete(spark.createDataFrame(rows, MEMBER), [Rule("driver", readable=True, executable=True)])
