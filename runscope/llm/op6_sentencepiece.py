@@ -30,11 +30,13 @@ from runscope.llm.common import pieces
 #: The mark that stands for a space in pieces (fixed by the format).
 SPACE = "▁"
 #: Encoded parts that a worker keeps; it starts anew beyond that.
-KEPT_PARTS = 250_000
+KEPT_PARTS = 100_000
 #: Characters behind several spaces that are merged by definition.
 KEPT_LENGTH = 64
 #: Pairs of tokens whose compatibility a worker keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 300_000
+#: Bytes of text that are encoded at a time.
+PIECE_BYTES = 2 << 20
 
 
 class PrefixTableBpe:
@@ -281,7 +283,7 @@ def encode_column(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(model)
-        for piece in pieces(batches, text_col):
+        for piece in pieces(batches, text_col, PIECE_BYTES):
             ids = bpe.encode([t or "" for t in piece.column(text_col).to_pylist()])
             yield pa.record_batch(
                 [piece.column(id_col), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())],
@@ -300,7 +302,7 @@ def token_digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(model)
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE_BYTES):
             rows = []
             for ids in bpe.encode([t or "" for t in piece.column("text").to_pylist()]):
                 rows.append(

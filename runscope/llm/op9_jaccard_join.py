@@ -44,6 +44,8 @@ PERCENT, WIDTH = 90, 3
 SKETCH_BITS, SEGMENT_BITS = 20, 14
 #: Hash ranges of the suffix filter, and those of whole sets.
 BINS, BITS = 16, 512
+#: Bytes of text that a task works on at a time.
+PIECE_BYTES = 2 << 20
 #: Rounds that verify one pair per class. Postings of a shingle that are compared with one hub.
 ROUNDS, BLOCK = 2, 4096
 #: Postings before a posting that it may be verified with in such a round.
@@ -83,7 +85,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (size and digest of its set); then the task's counts of shingles, by segment."""
     names = ["doc_id", "n_shingles", "digest", "bitmap", "segment", "counts"]
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for piece in pieces(batches):
+    for piece in pieces(batches, limit=PIECE_BYTES):
         text, value = shingle_sets(text_column(piece))
         counts += np.bincount(_sketch_place(value), minlength=len(counts))
         cuts = np.searchsorted(text, np.arange(piece.num_rows + 1))
@@ -154,7 +156,7 @@ def _postings(counts, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counts.value
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE_BYTES):
             text, value = shingle_sets(text_column(piece))
             if not len(text):
                 continue
@@ -316,7 +318,7 @@ def _candidates(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets as ordered 64-bit hashes."""
-    for piece in pieces(batches):
+    for piece in pieces(batches, limit=PIECE_BYTES):
         text, value = shingle_sets(text_column(piece))
         data, at = value.tobytes(), (np.searchsorted(text, np.arange(piece.num_rows + 1)) * 8).tolist()
         yield pa.record_batch(
