@@ -44,6 +44,8 @@ PERCENT, WIDTH = 90, 3
 SKETCH_BITS, SEGMENT_BITS = 20, 14
 #: Hash ranges of the suffix filter, and those of whole sets.
 BINS, BITS = 16, 512
+#: Postings of a shingle up to which all of its pairs are looked at, to drop postings without any.
+PARTNERS = 256
 #: Bytes of text that a task works on at a time.
 PIECE_BYTES = 2 << 20
 #: Rounds that verify one pair per class. Postings of a shingle that are compared with one hub.
@@ -190,6 +192,20 @@ POSTING = ["token", "node", "n", "place", "rest"]
 _POSTING_SQL = "token long, node long, n int, place int, rest binary"
 
 
+def prefix_filters(
+    n: np.ndarray, place: np.ndarray, rest: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether pairs of postings pass the three filters, how many shingles differ at least, and may at most."""
+    size, other, i, j = n[a], n[b], place[a], place[b]
+    need = _least_overlap(size, other, percent)
+    length = np.minimum(size, other) * 100 >= percent * np.maximum(size, other)
+    position = np.minimum(i, j) + np.minimum(size - i, other - j) >= need
+    suffix = np.abs(rest[a].astype(np.int16) - rest[b]).sum(axis=1, dtype=np.int64)
+    apart = suffix + np.abs(i - j)
+    allowed = size + other - 2 * need
+    return length & position & (apart <= allowed), apart, allowed
+
+
 class Postings:
     """Postings of one shingle, by size: what the filters say about pairs of them."""
 
@@ -200,15 +216,8 @@ class Postings:
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """At least so many shingles differ, or -1 if the pair can't be similar enough."""
-        n, m, i, j = self.n[a], self.n[b], self.place[a], self.place[b]
-        need = _least_overlap(n, m, self.percent)
-        length = np.minimum(n, m) * 100 >= self.percent * np.maximum(n, m)
-        position = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1 >= need
-        suffix = np.abs(self.rest[a].astype(np.int16) - self.rest[b]).sum(axis=1, dtype=np.int64)
-        apart = suffix + np.abs(i - j)
-        allowed = n + m - 2 * need
-        fits = length & position & (apart <= allowed) & (self.label[a] != self.label[b])
-        left = np.flatnonzero(fits)
+        fits, apart, allowed = prefix_filters(self.n, self.place, self.rest, a, b, self.percent)
+        left = np.flatnonzero(fits & (self.label[a] != self.label[b]))
         whole = np.bitwise_count(self.bitmap[a[left]] ^ self.bitmap[b[left]]).sum(axis=1, dtype=np.int64)
         out = np.full(len(a), -1)
         out[left] = np.where(whole <= allowed[left], np.maximum(whole, apart[left]), -1)
@@ -270,8 +279,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
         yield from several(held, np.array([0, len(held[0])]))
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of shingles that several nodes have."""
+def _partnered(group: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, ...] | None:
+    """The postings of a shingle that pass the filters with another; all of them if there are many."""
+    _, node, n, place, rest = group
+    if len(node) > PARTNERS:
+        return group if (node != node[0]).any() else None
+    a, b = np.triu_indices(len(node), 1)
+    fits, _, _ = prefix_filters(n.astype(np.int64), place.astype(np.int64), rest, a, b, percent)
+    fits &= node[a] != node[b]
+    if not fits.any():
+        return None
+    keep = np.zeros(len(node), bool)
+    keep[a[fits]] = keep[b[fits]] = True
+    return tuple(c[keep] for c in group)
+
+
+def _shared_only(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings that a pair can come from; most shingles that unlike documents share end here."""
+    return lambda batches: _shared(batches, percent)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -279,8 +307,9 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, node, n, place, rest = (np.concatenate(c) for c in zip(*kept, strict=True))
         return pa.record_batch([pa.array(token), pa.array(node), pa.array(n), pa.array(place), _rows_of(rest)], POSTING)
 
-    for group in _groups(batches):
-        if (group[1] != group[1][0]).any():
+    for rows in _groups(batches):
+        group = _partnered(rows, percent)
+        if group is not None:
             kept.append(group)
             size += len(group[0])
             if size >= 20_000:
@@ -347,9 +376,10 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
     needed = measured(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
     sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets, "node long, hashes binary")
     sets = written(sets.distinct(), "sets")
-    x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+    # each side is looked up by the pairs alone, so that what is shuffled is the sets of pairs
+    x = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    y = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -376,7 +406,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .mapInArrow(_postings(counts, percent), _POSTING_SQL)
         .repartition("token")
         .sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_shared_only, _POSTING_SQL)
+        .mapInArrow(_shared_only(percent), _POSTING_SQL)
     )
     # a posting gets the bitmap of each text of its node; with repeated ids, that of its own is among them
     bitmaps = profiles.where("segment is null and doc_id is not null").select(F.col("doc_id").alias("node"), "bitmap").distinct()
@@ -401,7 +431,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = best.select("pair.a", "pair.b").distinct()
         if tried is not None:  # no pair is verified twice
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = measured(pairs, "pairs")
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
