@@ -13,6 +13,9 @@ from runscope.llm.common import read
 from runscope.llm.queries import tokenizer_model
 from runscope.llm.tables import written
 
+#: Similarity in percent, and words of a shingle, of the near-duplicate stage.
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic; the model learns from the labels of two folds of three."""
@@ -26,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near-duplicates."""
-    return op9_jaccard_join.one_per_group(docs)
+    """The smallest document of each group of near-duplicates: wider shingles and less alike than the op9 query's."""
+    return op9_jaccard_join.one_per_group(docs, NEAR_PERCENT, NEAR_WIDTH)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate documents by an exact set similarity join with rare-first prefix filtering.
 
-A document is the set of its distinct 3-word shingles (A-Z lower-cased), as 64-bit hashes. Equal
+A document is the set of its distinct shingles of ``width`` words, 3 by default (A-Z lower-cased), as 64-bit hashes. Equal
 sets become one class, which its smallest document stands for. Shingles are ordered by how
 common they are in all documents, rare first, ties by hash. Two sets that overlap enough share one of
 their first ``n - ceil(t n) + 1`` shingles, so classes are joined on those. A pair that meets at a
@@ -19,7 +19,7 @@ into all pairs: in each round a class is verified with the most similar one of a
 classes found to be connected are no longer compared. After ``ROUNDS`` such rounds every pair of
 unconnected classes that passes the filters is verified, so no link is lost.
 
-Null and empty texts and texts without words have the empty set, which links with nothing; with one or two words, the
+Null and empty texts and texts without words have the empty set, which links with nothing; with fewer words than ``width``, the
 whole sequence is the one shingle. Rows without an id are linked with nothing and have a null
 component. Rows of one id are one document, linked if one of its texts is.
 """
@@ -38,7 +38,7 @@ from runscope.llm.common import pieces, text_column, window_hash, words_of
 from runscope.llm.components import components
 from runscope.llm.tables import measured, without, written
 
-#: Similarity in percent, and words of a shingle.
+#: Similarity in percent, and words of a shingle, of the op9 query.
 PERCENT, WIDTH = 90, 3
 #: Counters of how common shingles are, and counters per row sent, as powers of two.
 SKETCH_BITS, SEGMENT_BITS = 20, 14
@@ -83,12 +83,16 @@ def _rows_of(table: np.ndarray) -> pa.Array:
     return pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _profile_rows(batches, width)
+
+
+def _profile_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row per document (size and digest of its set); then the task's counts of shingles, by segment."""
     names = ["doc_id", "n_shingles", "digest", "bitmap", "segment", "counts"]
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for piece in pieces(batches, limit=PIECE_BYTES):
-        text, value = shingle_sets(text_column(piece))
+        text, value = shingle_sets(text_column(piece), width)
         counts += np.bincount(_sketch_place(value), minlength=len(counts))
         cuts = np.searchsorted(text, np.arange(piece.num_rows + 1))
         data, at = value.tobytes(), (cuts * 8).tolist()
@@ -153,13 +157,13 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -((-percent * n) // 100) + 1
 
 
-def _postings(counts, percent: int):
+def _postings(counts, percent: int, width: int):
     """Documents → a row per shingle of the prefix, with what the filters need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = counts.value
         for piece in pieces(batches, limit=PIECE_BYTES):
-            text, value = shingle_sets(text_column(piece))
+            text, value = shingle_sets(text_column(piece), width)
             if not len(text):
                 continue
             order = np.lexsort((value, common[_sketch_place(value)], text))
@@ -345,10 +349,14 @@ def _candidates(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _set_rows(batches, width)
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Whole sets as ordered 64-bit hashes."""
     for piece in pieces(batches, limit=PIECE_BYTES):
-        text, value = shingle_sets(text_column(piece))
+        text, value = shingle_sets(text_column(piece), width)
         data, at = value.tobytes(), (np.searchsorted(text, np.arange(piece.num_rows + 1)) * 8).tolist()
         yield pa.record_batch(
             [piece.column("doc_id"), pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["node", "hashes"]
@@ -371,10 +379,10 @@ def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Those of ``pairs(a, b)`` of ids whose whole sets are similar enough."""
     needed = measured(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets, "node long, hashes binary")
+    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, hashes binary")
     sets = written(sets.distinct(), "sets")
     # each side is looked up by the pairs alone, so that what is shuffled is the sets of pairs
     x = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
@@ -389,12 +397,12 @@ def _labels(links: DataFrame) -> DataFrame:
     return written(roots.join(least, "root").select("node", "label"), "components")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``docs(doc_id, text)`` → ``(doc_id, n_shingles, component_id)``, a row per row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     profiles = written(
-        docs.mapInArrow(_profiles, "doc_id long, n_shingles long, digest binary, bitmap binary, segment int, counts binary"), "profiles"
+        docs.mapInArrow(_profiles(width), "doc_id long, n_shingles long, digest binary, bitmap binary, segment int, counts binary"), "profiles"
     )
     counts = spark.sparkContext.broadcast(_commonness(profiles))  # 4 MB, whatever the corpus
     rows = profiles.where("segment is null").select("doc_id", "n_shingles", "digest")
@@ -403,7 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     postings = (
         docs.join(measured(classes.select(F.col("node").alias("doc_id")).distinct(), "nodes"), "doc_id", "left_semi")
-        .mapInArrow(_postings(counts, percent), _POSTING_SQL)
+        .mapInArrow(_postings(counts, percent, width), _POSTING_SQL)
         .repartition("token")
         .sortWithinPartitions("token", "n", "node")
         .mapInArrow(_shared_only(percent), _POSTING_SQL)
@@ -435,7 +443,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verify(docs, pairs, percent), "links")
+        new = written(verify(docs, pairs, percent, width), "links")
         links = new if links is None else links.unionByName(new)
         labels = _labels(links)
     out = rows.join(classes.repartition(F.xxhash64("digest")), "digest", "left")
@@ -447,10 +455,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``docs`` without those that are linked, over any number of links, with a smaller one.
 
     Of repeated rows with the smallest id all stay.
     """
-    found = near_duplicates(docs, percent)
+    found = near_duplicates(docs, percent, width)
     return without(docs, found.where("component_id <> doc_id").select("doc_id"), "near-duplicates")
