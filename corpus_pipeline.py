@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runscope.llm import op4_decontaminate, op6_sentencepiece, op8_line_dedup, op9_jaccard_join, op10_toxicity
 from runscope.llm.common import read
 from runscope.llm.queries import tokenizer_model
-from runscope.llm.tables import written
+from runscope.llm.tables import measured, without, written
 
 #: Similarity in percent, and words of a shingle, of the near-duplicate stage.
 NEAR_PERCENT, NEAR_WIDTH = 80, 5
+#: What a text without any line holds.
+BLANK = " \t\n\x0b\x0c\r"
+ROW = "__near_duplicates_row"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +32,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near-duplicates: wider shingles and less alike than the op9 query's."""
-    return op9_jaccard_join.one_per_group(docs, NEAR_PERCENT, NEAR_WIDTH)
+    """The smallest document of each group of near-duplicates: wider shingles and less alike than the op9 query's.
+
+    Documents are alike in the text that is left or in that of ``documents``: of copies, line dedup leaves
+    little to compare. Those that it left nothing of go; the first of their lines stayed elsewhere.
+    """
+    row = F.xxhash64("doc_id", "text")
+    given = read(spark, sf_dir, "documents").select("doc_id", "text")
+    blank = F.trim("text", F.lit(BLANK)) == ""
+    known = measured(given.select(row.alias("row")).distinct(), "given-rows")
+    changed = written(
+        docs.select("doc_id", row.alias("row"), blank.alias("blank")).join(known, "row", "left_anti"), "changed-rows"
+    )
+    emptied = measured(changed.where("blank").select("row").distinct(), "emptied-rows")
+    left = docs.withColumn(ROW, row).join(emptied.withColumnRenamed("row", ROW), ROW, "left_anti").select(docs.columns)
+    before = measured(changed.where("doc_id is not null and not blank").select("doc_id").distinct(), "changed-ids")
+    texts = left.select("doc_id", "text").unionByName(given.join(before, "doc_id", "left_semi"))
+    found = op9_jaccard_join.near_duplicates(texts, NEAR_PERCENT, NEAR_WIDTH)
+    return without(left, found.where("component_id <> doc_id").select("doc_id"), "near-duplicates")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """What the pipeline's stages leave, where thinner settings would leave more."""
 
+import pytest
+
 import corpus_pipeline
 from runscope.llm import op9_jaccard_join as op9
 from runscope.llm.common import read
@@ -57,3 +59,25 @@ def test_the_stage_equals_brute_force(spark):
     docs = read(spark, SMALL, "documents")
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
     assert got == brute_kept([(r.doc_id, r.text) for r in docs.collect()], 80, 5)
+
+
+# ---- groups of copies, through the line dedup
+
+
+def copies(n, exact):
+    """A group of ``n`` copies, each with a line of its own unless exact, and two blank texts."""
+    names = "abcdefghij"
+    lines = [" ".join(f"{a}{b}{c}" for c in names) for a in names for b in names[:3]]
+    own = lambda k: "" if exact else "\n" + " ".join(f"{names[int(d)]}own" for d in f"{k:05}")
+    return [(10 + k, "\n".join(lines) + own(k)) for k in range(n)] + [(5000, ""), (5001, " \n"), (5002, "alone here")]
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_group_of_copies_leaves_one(spark, tmp_path, exact):
+    for n in (19, 20, 1000):
+        at = str(tmp_path / str(n))
+        docs = [(d, t, "en", "s", len(t)) for d, t in copies(n, exact)]
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        assert sorted(r.doc_id for r in corpus_pipeline.run(spark, at).select("doc_id").collect()) == [10, 5000, 5001, 5002], n
