@@ -6,7 +6,9 @@ lines have at a place stands in the leaf's template if at least half of the line
 variable field. A line follows its leaf's template if it agrees with it in at least ``SIMILAR``
 percent of the tokens; else its own masked tokens are its template. A template on
 lines of ``MIN_DOCS`` or more documents recurs: all its lines are dropped but the first, that of the
-smallest document, so that what it says is not lost.
+smallest document, so that what it says is not lost. A line of ``LONG_WORDS`` tokens or more can't be
+shared by chance: its own masked tokens recur from ``LONG_DOCS`` documents on. The op8 query, as its SQL
+twin, does without that.
 
 Lines are told apart by the 64-bit hash of their masked tokens. Lines end at a newline; blank lines
 are never dropped. Null texts stay null, empty ones empty. Documents without an id count as one
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runscope.llm.tables import measured, written
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 70, 20
+LONG_WORDS, LONG_DOCS = 10, 2
 VARIABLE = "<*>"
 _BLANK = " \t\x0b\x0c\r"
 
@@ -41,6 +44,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return tokens.withColumns(
         {
             "line": F.xxhash64("tokens"),
+            "size": F.size("tokens"),
             "leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)),
         }
     )
@@ -87,13 +91,8 @@ def leaf_templates(lines: DataFrame, tokens_of: DataFrame, min_docs: int) -> Dat
     )
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(row, dropped array<int>)``: numbers of the lines to drop, by the hash of id and text."""
-    every = _lines(docs)
-    lines = written(every.drop("tokens"), "lines")
-    following = leaf_templates(lines, every.select("line", "leaf", "tokens"), min_docs)
-    following = measured(following, "following")
-    own = lines.join(following, "line", "left").withColumn("template", F.coalesce("template", "line")).drop("leaf", "line")
+def _later(own: DataFrame, min_docs: int) -> DataFrame:
+    """``(row, line_no)`` of all lines of templates that recur, but the first of each."""
     recurring = measured(_distinct_docs(own, "template").where(F.col("docs") >= min_docs).select("template"), "recurring")
     found = own.join(recurring, "template")
     first = found.groupBy("template").agg(
@@ -103,14 +102,28 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     later = found.join(measured(first, "first-lines"), "template").where(
         ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
     )
+    return later.select("row", "line_no")
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``(row, dropped array<int>)``: numbers of the lines to drop, by the hash of id and text."""
+    every = _lines(docs)
+    lines = written(every.drop("tokens"), "lines")
+    following = leaf_templates(lines, every.select("line", "leaf", "tokens"), min_docs)
+    following = measured(following, "following")
+    own = lines.join(following, "line", "left").withColumn("template", F.coalesce("template", "line")).drop("leaf", "line", "size")
+    later = _later(own, min_docs)
+    if long_words is not None:
+        long = lines.where(F.col("size") >= long_words).withColumnRenamed("line", "template").drop("leaf", "size")
+        later = later.unionByName(_later(long, min(min_docs, LONG_DOCS)))
     return later.select("row", "line_no").distinct().groupBy("row").agg(F.collect_list("line_no").alias("dropped"))
 
 
 _ROW, _DROPPED = "__line_dedup_row", "__line_dedup_dropped"
 
 
-def _with_dropped(docs: DataFrame, min_docs: int) -> DataFrame:
-    dropped = dropped_lines(docs, min_docs).select(F.col("row").alias(_ROW), F.col("dropped").alias(_DROPPED))
+def _with_dropped(docs: DataFrame, min_docs: int, long_words: int | None) -> DataFrame:
+    dropped = dropped_lines(docs, min_docs, long_words).select(F.col("row").alias(_ROW), F.col("dropped").alias(_DROPPED))
     return docs.withColumn(_ROW, _row_key()).join(dropped, _ROW, "left")
 
 
@@ -120,15 +133,15 @@ def _kept_text() -> Column:
     return F.when(F.col(_DROPPED).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, long_words: int | None = LONG_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without its recurring lines."""
     columns = [_kept_text().alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return _with_dropped(docs, min_docs).select(*columns)
+    return _with_dropped(docs, min_docs, long_words).select(*columns)
 
 
-def line_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, text)``, a row per row; ``text`` is what is kept."""
-    return _with_dropped(docs.select("doc_id", "text"), min_docs).select(
+    return _with_dropped(docs.select("doc_id", "text"), min_docs, long_words).select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(_DROPPED), F.lit(0)).cast("long").alias("n_dropped"),

@@ -48,7 +48,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op8_line_dedup.line_report(read(spark, sf_dir, "documents"))
+    out = op8_line_dedup.line_report(read(spark, sf_dir, "documents"), long_words=None)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from runscope.llm import op9_jaccard_join as op9
+from runscope.llm import op8_line_dedup as op8, op9_jaccard_join as op9
 from runscope.llm.common import read
 from tests.llm.test_op3_op9 import SCHEMA, rows, words
 
@@ -81,3 +81,14 @@ def test_a_group_of_copies_leaves_one(spark, tmp_path, exact):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
         assert sorted(r.doc_id for r in corpus_pipeline.run(spark, at).select("doc_id").collect()) == [10, 5000, 5001, 5002], n
+
+
+# ---- lines
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    passage = "the same long passage stands in " + " ".join("abcdefghijklmnopqrstuvwxyz") + " and is copied"
+    docs = [(1, f"first own\n{passage} 7"), (2, f"{passage} 8\nsecond own"), (3, "short line"), (4, "short line"), (None, f"{passage} 9")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in op8.line_dedup(frame).collect()} == {1: docs[0][1], 2: "second own", 3: "short line", 4: "short line", None: ""}
+    assert op8.line_report(frame, long_words=None).where("n_dropped > 0").count() == 0
