@@ -2,9 +2,9 @@
 
 A seed is a window of ``SPAN`` words of which a mask selects some; the others may be anything, so a
 few substituted words don't hide a passage. The hashes of all windows of all documents, under each mask, are
-joined with those of the benchmark. Around each hit the two texts are compared word by word, as
-far as the item reaches and no farther than ``REACH`` words: a match counts ``MATCH``, a
-substitution ``-MISS``, and the best run of words must reach ``MIN_SCORE``.
+joined with those of the benchmark. Hits of a document and an item with the same distance between their
+places lie on one diagonal. On each, the two texts are compared once, word by word, as far as both
+reach: a match counts ``MATCH``, a substitution ``-MISS``, and the best run of words must reach ``MIN_SCORE``.
 
 Words are runs of letters and digits, lower-cased. All of it is built-in functions on rows of
 ``documents``: windows are numbered by a sequence, hashes are picked from the document's array of
@@ -24,7 +24,6 @@ from runscope.llm.tables import measured, without
 #: Positions that count, in windows of SPAN words.
 SPAN = 12
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 7, 9, 10, 11), (0, 1, 3, 4, 6, 8, 10, 11), (0, 2, 3, 5, 6, 7, 9, 11))
-REACH = 64
 MATCH, MISS, MIN_SCORE = 2, 3, 24
 
 
@@ -47,12 +46,12 @@ def seeds(texts: DataFrame, masks: Sequence[Sequence[int]] = MASKS, span: int =
     return windows.withColumn("seed", F.explode(every))
 
 
-def _best_run(words: Column, at: Column, item_words: Column, item_at: Column, reach: int) -> Column:
-    """The best run of aligned words near a hit: its score, and its first and last word in the text."""
-    back = F.least(at, item_at, F.lit(reach))
-    ahead = F.least(F.size(words) - at, F.size(item_words) - item_at, F.lit(reach))
-    a = F.slice(words, at - back + 1, back + ahead)
-    b = F.slice(item_words, item_at - back + 1, back + ahead)
+def _best_run(words: Column, item_words: Column, diagonal: Column) -> Column:
+    """The best run of aligned words on a diagonal: its score, and its first and last word in the text."""
+    first, item_first = F.greatest(diagonal, F.lit(0)), F.greatest(-diagonal, F.lit(0))
+    length = F.least(F.size(words) - first, F.size(item_words) - item_first)
+    a = F.slice(words, first + 1, length)
+    b = F.slice(item_words, item_first + 1, length)
     equal = F.zip_with(a, b, lambda x, y: x == y)
     zero = F.lit(0)
     start = F.struct(*[zero.alias(n) for n in ("i", "run", "begin", "best", "best_begin", "best_end")])
@@ -68,7 +67,6 @@ def _best_run(words: Column, at: Column, item_words: Column, item_at: Column, re
         )
 
     def finish(s: Column) -> Column:
-        first = at - back
         return F.struct(s["best"].alias("score"), (first + s["best_begin"]).alias("begin"), (first + s["best_end"]).alias("end"))
 
     return F.aggregate(equal, start, step, finish)
@@ -80,7 +78,6 @@ def overlaps(
     masks: Sequence[Sequence[int]] = MASKS,
     span: int = SPAN,
     min_score: int = MIN_SCORE,
-    reach: int = REACH,
 ) -> DataFrame:
     """``(doc_id, item_id, score, begin, end)`` of each document and item that overlap.
 
@@ -91,17 +88,22 @@ def overlaps(
     items = measured(
         benchmark.where("item_id is not null").select("item_id", word_hashes("text").alias("words")).distinct(), "items"
     )
-    known = measured(seeds(items, masks, span).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
-    item_words = items.select("item_id", F.col("words").alias("item_words"))
+    items = items.withColumn("item_row", F.xxhash64("words"))
+    known = measured(seeds(items, masks, span).select("seed", "item_id", "item_row", F.col("at").alias("item_at")).distinct(), "seeds")
+    item_words = items.select("item_id", "item_row", F.col("words").alias("item_words"))
+    # repeated seeds and masks that hit the same diagonal of a row are one comparison
+    texts = docs.where("doc_id is not null").select("doc_id", word_hashes("text").alias("words"))
+    texts = texts.withColumn("row", F.xxhash64("words"))
     hits = (
-        seeds(docs.where("doc_id is not null").select("doc_id", word_hashes("text").alias("words")), masks, span)
+        seeds(texts, masks, span)
         .join(known, "seed")
-        .join(item_words, "item_id")
+        .select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("diagonal"))
+        .distinct()
+    )
+    hits = measured(hits, "diagonals")
+    best = texts.join(hits, ["doc_id", "row"]).join(item_words, ["item_id", "item_row"]).select(
+        "doc_id", "item_id", _best_run(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("run")
     )
-    best = hits.select(
-        "doc_id", "item_id",
-        _best_run(F.col("words"), F.col("at"), F.col("item_words"), F.col("item_at"), reach).alias("run"),
-    )
     found = best.select("doc_id", "item_id", "run.*").where(F.col("score") >= min_score)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.min("begin").alias("begin"), F.max("end").alias("end")

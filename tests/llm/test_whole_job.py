@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from runscope.llm import op8_line_dedup as op8, op9_jaccard_join as op9
+from runscope.llm import op4_decontaminate as op4, op8_line_dedup as op8, op9_jaccard_join as op9
 from runscope.llm.common import read
 from tests.llm.test_op3_op9 import SCHEMA, rows, words
 
@@ -92,3 +92,15 @@ def test_long_lines_recur_from_two_documents_on(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.text for r in op8.line_dedup(frame).collect()} == {1: docs[0][1], 2: "second own", 3: "short line", 4: "short line", None: ""}
     assert op8.line_report(frame, long_words=None).where("n_dropped > 0").count() == 0
+
+
+# ---- decontamination
+
+
+def test_a_long_overlap_scores_whole(spark):
+    item = [f"w{i}" for i in range(300)]
+    docs = [(1, " ".join(["a", "b", *item, "c"])), (2, " ".join(item[50:250])), (3, " ".join([*item[:200], "x", *item[201:]]))]
+    docs += [(1, "another text of the same id"), (4, " ".join(["z"] * 9))]
+    bench = spark.createDataFrame([(70, " ".join(item)), (71, "z " * 30)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in op4.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 70): (600, 2, 302), (2, 70): (400, 0, 200), (3, 70): (595, 0, 300)}
