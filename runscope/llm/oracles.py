@@ -166,6 +166,45 @@ SELECT doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles,
 FROM s LEFT JOIN c ON list_sort(s.x) = c.x LEFT JOIN comp ON comp.node = c.node
 """
 
+_VECTORS = """
+sound AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))"""
+
+#: All scores of all anchors.
+OP11_HARD_NEGATIVES = f"""
+WITH {_VECTORS},
+e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(v, lambda x: floor(256 * x)) AS v
+  FROM sound WHERE label IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+#: All distances of all queries: what the search gives where its window holds all rows.
+OP13_NEAREST_NEIGHBOURS = f"""
+WITH {_VECTORS},
+e AS (SELECT vec_id, v FROM sound WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+    sqrt(list_reduce(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_WARC,
     "op3_repeated_passages": OP3_PASSAGES,
@@ -174,4 +213,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": OP5_CHAT,
     "op9_near_duplicates": OP9_JACCARD,
     "op8_line_templates": OP8_LINES,
+    "op11_hard_negatives": OP11_HARD_NEGATIVES,
+    "op13_nearest_neighbours": OP13_NEAREST_NEIGHBOURS,
 }

@@ -18,6 +18,9 @@ from runscope.llm import (
     op8_line_dedup,
     op9_jaccard_join,
     op10_toxicity,
+    op11_hard_negatives,
+    op12_spelling,
+    op13_nearest,
 )
 from runscope.llm.common import read
 
@@ -72,6 +75,18 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_nearest.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc_round_trip,
     "op5_chat_format": op5_chat_format,
@@ -83,4 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_repetition_rules": op7_repetition_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity_scores,
+    "op11_hard_negatives": op11_hard_negatives_,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
