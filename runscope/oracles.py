@@ -324,6 +324,10 @@ ORACLES: dict[str, str] = {
         WITH {_MANIFEST}
         SELECT * FROM manifest WHERE run_id IN (
           SELECT arg_max(run_id, (written_at, run_id)) FROM manifest GROUP BY fpga, benchmark, runtime)""",
+    "latest_merge": f"""
+        WITH {_MANIFEST}
+        SELECT * FROM manifest WHERE run_id IN (
+          SELECT arg_max(run_id, (written_at, run_id)) FROM manifest GROUP BY fpga, benchmark, runtime)""",
     "latest_pointer_global": f"""
         WITH {_MANIFEST} SELECT * FROM manifest ORDER BY written_at DESC, run_id DESC LIMIT 1""",
     "config_menu": f"""

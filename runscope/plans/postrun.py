@@ -21,11 +21,16 @@ from runscope.operators.metrics import (
 from runscope.operators.runs import latest_pointer, run_enrich, run_summary
 from runscope.operators.series import delta_table, raw_table, warmup_drop
 from runscope.session import job, written
-from runscope.sinks.results import TREE, clear_missing, with_labels, write_table
+from runscope.sinks.results import TREE, with_labels, write_table
+from runscope.sinks.snapshots import merge_rows
 from runscope.sources.counters import WHOLE_FILE_BYTES, read_counter_samples
 from runscope.sources.logs import LATEST, read_log_tokens
 
 
+#: What a pointer to the newest run is kept for.
+LATEST_BY = ("series", "name", "runtime_config")
+
+
 def merged_metrics(log_metrics: DataFrame, samples: DataFrame) -> DataFrame:
     """Metrics per run from the log and from samples past the warm-up; counters win."""
     return metric_merge(log_metrics, counter_final(samples))
@@ -60,7 +65,7 @@ def analyse(
     Tables by (series, name, config), each replacing what the tree had of those: ``results``, a wide row per run with
     the metrics ``names``; ``metrics``, all metrics in the long form; ``raw`` and ``deltas``;
     ``summaries``, a text per run. ``latest``: the newest run by end time of each series, name
-    and runtime configuration. ``unlabelled``: what was read of runs that ``labels`` doesn't
+    and runtime configuration, of all analyses so far; runs without an end time count as the oldest. ``unlabelled``: what was read of runs that ``labels`` doesn't
     have, replaced by each job.
 
     The side tables are those of :func:`runscope.operators.runs.run_enrich`; ``labels`` also has
@@ -77,9 +82,8 @@ def analyse(
         _check_names(spark, run_dirs)
 
         def save(table: DataFrame, name: str) -> None:
-            """Write by place, and clear the places of this job that have no row."""
-            write_table(table, f"{results_root}/{name}")
-            clear_missing(places, table, f"{results_root}/{name}")
+            """Write by place, and empty the places of this job that have no row."""
+            write_table(table, f"{results_root}/{name}", places=places)
 
         raw = written(with_labels(raw_table(samples), places, BROADCAST_BYTES), "raw")
         save(raw, "raw")
@@ -99,11 +103,8 @@ def analyse(
         save(run_summary(enriched).join(places, "run_id"), "summaries")
         runtime = hue_split(F.col("config"))[1].alias("runtime_config")
         ended = enriched.select("series", "name", runtime, "config", "run_id", "dir", F.col("timestamp").alias("ended_at"))
-        newest = latest_pointer(ended, ("series", "name", "runtime_config"), "ended_at")
-        (
-            newest.write.partitionBy("series", "name", "runtime_config")
-            .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{results_root}/latest")
-        )
+        # an analysis of older runs must not move a pointer back
+        merge_rows(ended, f"{results_root}/latest", LATEST_BY, lambda rows: latest_pointer(rows, LATEST_BY, "ended_at"))
         unknown = merged.join(places.select("run_id"), "run_id", "left_anti")
         unknown.select("run_id", "name", "value", "src").write.mode("overwrite").parquet(f"{results_root}/unlabelled")
 

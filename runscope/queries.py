@@ -16,6 +16,7 @@ from runscope.operators import configs, metrics, runs, series, traces
 from runscope.plans import postrun
 from runscope.session import fresh_path, written
 from runscope.sinks import results as sink
+from runscope.sinks.snapshots import merge_rows, read_current
 from runscope.sources import counters, files, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,6 +337,15 @@ def latest_pointer(spark, d):
     return runs.latest_pointer(fx.run_manifest(spark, d), ("fpga", "benchmark", "runtime"))
 
 
+def latest_merge(spark, d):
+    """Pointers kept by two jobs, each over half of the runs; neither knows the other's."""
+    by, manifest = ("fpga", "benchmark", "runtime"), fx.run_manifest(spark, d)
+    root = fresh_path(spark, "latest")
+    for half in (1, 0):
+        merge_rows(manifest.where(F.col("run_id") % 2 == half), root, by, lambda rows: runs.latest_pointer(rows, by))
+    return read_current(spark, root, by, manifest)
+
+
 def latest_pointer_global(spark, d):
     return runs.latest_pointer(fx.run_manifest(spark, d))
 
@@ -422,6 +432,7 @@ QUERIES: dict[str, Query] = {
     "trace_histogram": trace_histogram,
     "counter_delta": counter_delta,
     "latest_pointer": latest_pointer,
+    "latest_merge": latest_merge,
     "latest_pointer_global": latest_pointer_global,
     "config_menu": config_menu,
     "plot_series": plot_series,

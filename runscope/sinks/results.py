@@ -1,57 +1,22 @@
-"""The results tree ``<root>/series=…/name=…/config=…`` (K1, K2, K3)."""
+"""The results tree ``<root>/version=…/series=…/name=…/config=…`` (K1, K2, K3); its manifest tells the current versions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from runscope.formats import CSV_COLUMN_NAMES
 from runscope.joins import join_per_key
-from runscope.session import delete_path
+from runscope.sinks.snapshots import read_current, replace_places
 
 TREE = ("series", "name", "config")
 
 
-def write_table(df: DataFrame, root: str, fmt: str = "parquet") -> None:
-    """Replace exactly the (series, name, config) partitions that ``df`` holds.
+def write_table(df: DataFrame, root: str, fmt: str = "parquet", places: DataFrame | None = None) -> None:
+    """Replace exactly the (series, name, config) places that ``df`` holds; of ``places`` also those that it lacks.
 
-    The rebalance hint gathers the rows of a partition into few files, and splits a
-    partition that is large into several tasks.
+    The tree changes as a whole when the manifest is committed, see :mod:`runscope.sinks.snapshots`.
     """
-    (
-        df.hint("rebalance", *[F.col(c) for c in TREE])
-        .write.format(fmt)
-        .partitionBy(*TREE)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("header", "true")
-        .save(root)
-    )
-
-
-#: Characters that the names of partition folders spell as %XX, and the name of the NULL partition (fixed).
-_SPELLED = set("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
-_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-
-
-def partition_path(root: str, values: dict[str, str | None]) -> str:
-    """The folder of a partition; empty and NULL labels share one."""
-    folders = (
-        f"{c}=" + ("".join(f"%{ord(x):02X}" if x in _SPELLED else x for x in v) if v else _NULL_PARTITION) for c, v in values.items()
-    )
-    return "/".join([root.rstrip("/"), *folders])
-
-
-def clear_missing(places: DataFrame, written: DataFrame, root: str) -> None:
-    """Delete the partitions of ``places`` that ``written`` has no row for, as nothing overwrote them.
-
-    Both are tables by the tree's columns. Only places of this job without rows are visited.
-    """
-    spark = places.sparkSession
-    as_stored = [F.nullif(F.col(c), F.lit("")).alias(c) for c in TREE]
-    left, right = places.select(*as_stored).distinct().alias("p"), written.select(*as_stored).distinct().alias("w")
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"w.{c}")) for c in TREE]
-    for place in left.join(right, same, "left_anti").toLocalIterator():
-        delete_path(spark, partition_path(root, place.asDict()))
+    replace_places(df, root, TREE, places, fmt)
 
 
 def write_results(df: DataFrame, root: str, fmt: str = "parquet") -> None:
@@ -79,8 +44,6 @@ def write_deltas(deltas: DataFrame, root: str, fmt: str = "parquet") -> None:
     write_table(deltas, root, fmt)
 
 
-def read_tree(spark: SparkSession, root: str, like: DataFrame, fmt: str = "parquet") -> DataFrame:
-    """Read a tree back with the schema of the table written, so no type is guessed."""
-    return (
-        spark.read.schema(like.schema).format(fmt).option("header", "true").load(root).select(*[f"`{c}`" for c in like.columns])
-    )
+def read_tree(spark: SparkSession, root: str, like: DataFrame | None = None, fmt: str = "parquet") -> DataFrame:
+    """The tree's current rows, with the schema of the table written (``like``), so that no type is guessed."""
+    return read_current(spark, root, TREE, like, fmt)

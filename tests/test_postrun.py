@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from runscope.formats import CYCLES
 from runscope.operators.series import wide_samples
-from runscope.plans.postrun import analyse
-from runscope.sinks.results import read_tree, write_results
+from runscope.plans.postrun import LATEST_BY, analyse
+from runscope.sinks.results import TREE, read_tree, write_results
+from runscope.sinks.snapshots import read_current
 from runscope.sources.files import artifact_md5, read_artifacts
 from runscope.sources.logs import description_scan, read_descriptions
 
@@ -58,7 +59,7 @@ def side_tables(spark, root):
 def test_results_tree_of_finished_runs(spark, run_tree):
     out = str(run_tree / "results")
     analyse(spark, f"{run_tree}/logs/*", out, NAMES, *side_tables(spark, run_tree))
-    rows = {r.run_id[0]: r for r in spark.read.parquet(f"{out}/results").collect()}
+    rows = {r.run_id[0]: r for r in read_tree(spark, f"{out}/results").collect()}
     a, b, c, d = (rows[x] for x in "abcd")
     assert (d.instructions, d.l1_htlb_miss, d.command) == (None, None, "ls")
     assert (a.instructions, a.error, a.l1_htlb_miss, a.l1_htlb_mpki, a.l2_tlb_mpki) == (2000.0, 4.0, 640.0, 320.0, None)
@@ -67,13 +68,13 @@ def test_results_tree_of_finished_runs(spark, run_tree):
     assert a.artifact_md5 == "900150983cd24fb0d6963f7d28e17f72"
     assert (b.instructions, b.l1_htlb_miss, b.l1_htlb_mpki, b.sim_seconds) == (1000.0, None, None, None)
     assert (c.l1_htlb_miss, c.l1_htlb_mpki, c.host_walltime) == (490.0, None, None)
-    assert sorted(os.listdir(f"{out}/results/series=series1")) == ["name=bench0", "name=bench1"]
+    assert sorted(d.name for d in next((run_tree / "results" / "results").glob("version=*/series=series1")).iterdir()) == ["name=bench0", "name=bench1"]
 
-    raw = spark.read.parquet(f"{out}/raw").where("run_id like 'a%'")
+    raw = read_tree(spark, f"{out}/raw").where("run_id like 'a%'")
     got = wide_samples(raw, [CYCLES, "l1_htlb_miss"], "value").orderBy("sample_idx").collect()
     assert [tuple(r) for r in got] == [("a2024-01-01120000", i, (i + 7) / 10, (i + 7) * 10**8, (i + 6) ** 2 * 10) for i in range(3)]
 
-    deltas = spark.read.parquet(f"{out}/deltas").where("run_id like 'a%'").orderBy("counter", "sample_idx").collect()
+    deltas = read_tree(spark, f"{out}/deltas").where("run_id like 'a%'").orderBy("counter", "sample_idx").collect()
     assert [(r.counter, r.delta) for r in deltas] == [
         (CYCLES, 7e8), (CYCLES, 8e8), (CYCLES, 9e8),
         ("l1_htlb_miss", 0.0), ("l1_htlb_miss", 130.0), ("l1_htlb_miss", 150.0),
@@ -110,7 +111,7 @@ def test_rebalance_is_planned_and_splits_a_hot_partition(spark, tmp_path):
         )
         root = tmp_path / "tree"
         write_results(frame, str(root))
-        files = {d.name: len(list(d.glob("*.parquet"))) for d in (root / "series=s" / "name=n").iterdir()}
+        files = {d.name: len(list(d.glob("*.parquet"))) for d in root.glob("version=*/series=s/name=n/*")}
         assert files["config=hot"] > 3
         assert read_tree(spark, str(root), frame).count() == 90_000
     finally:
@@ -154,13 +155,15 @@ def side_of(spark, runs, series="s", config="p.rt.rc.f"):
     return timing, labels, artifacts, descriptions
 
 
-def tree(spark, out, name, schema=None):
+def tree(spark, out, name):
     from pyspark.errors import AnalysisException
 
-    try:
+    if name == "unlabelled":
         return spark.read.parquet(f"{out}/{name}").collect()
-    except AnalysisException as e:  # nothing is left in it
-        assert e.getCondition() in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND")
+    try:
+        return read_current(spark, f"{out}/{name}", LATEST_BY if name == "latest" else TREE).collect()
+    except AnalysisException as e:
+        assert "nothing is current" in str(e)
         return []
 
 
