@@ -63,13 +63,29 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def counter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples as a file's parser has them: per run its ``counters`` and an array of their values per sample."""
+
+    def line(sentence: Column, i: Column) -> Column:
+        return F.array(*_counter_values(i.cast("bigint"), F.length(sentence).cast("bigint")).values())
+
+    names = F.array(*[F.lit(name) for name in _counter_values(F.lit(0), F.lit(0))])
+    runs = table(spark, sf_dir, "documents").where("text is not null")
+    return runs.select(F.col("doc_id").alias("run_id"), names.alias("counters"), F.transform(F.split("text", r"\."), line).alias("lines"))
+
+
+def counter_files(spark: SparkSession, sf_dir: str, notes: bool = False) -> DataFrame:
     """The same samples as the text of one CSV file per run: ``(run_id, value)``.
 
-    With the irregularities real files have: a comma within a quoted header name, padded
+    With ``notes``, descriptions of some samples are quoted, hold commas, quotes and newlines, and some samples
+    have nothing but a newline in theirs. With the irregularities real files have: a comma within a quoted header name, padded
     cells, fractions, cells that are no number, blank lines and two kinds of line ends.
     """
 
+    def note(n: Column) -> Column:
+        plain = F.lit("x")
+        return F.when(n % 3 == 0, '"a, ""b""\n1,2\n"').when(n % 7 == 0, '"\n\n"').when(n % 11 == 0, 'x"y').otherwise(plain) if notes else plain
+
     def sample_lines(sentence: Column, i: Column) -> Column:
         n = F.length(sentence).cast("bigint")
         cells = _counter_values(i.cast("bigint"), n)
@@ -77,7 +93,7 @@ def counter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         fraction = F.concat(cells["l2_htlb_miss"].cast("string"), F.lit(".75"))
         bad = F.when(n % 97 == 0, "n/a").otherwise(cells["l2_tlb_miss"].cast("string"))
         line = F.concat_ws(
-            ",", F.lit("x"), cells[CYCLES].cast("string"), padded, fraction,
+            ",", note(n), cells[CYCLES].cast("string"), padded, fraction,
             cells["l1_tlb_miss"].cast("string"), bad, cells["click"].cast("string"),
         )
         return F.concat(line, F.when(n % 5 == 0, "\n\n").when(n % 5 == 1, "\r\n").otherwise("\n"))

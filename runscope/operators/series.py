@@ -7,7 +7,7 @@ consecutive samples.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,9 +19,99 @@ BLOCK_SAMPLES = 65_536
 _SERIES = ("run_id", "counter")
 
 
+#: Last known value before a sample and that sample's number, where a parser has told them.
+PREVIOUS = ("previous", "previous_at")
+#: Samples that an array is cut into where values are missing, so that looking back stays short.
+LOOK_BACK = 256
+
+
 def warmup_drop(samples: DataFrame, n: int = WARMUP_SAMPLES) -> DataFrame:
-    """drop the first ``n`` samples of every run and renumber from 0."""
-    return samples.where(F.col("sample_idx") >= n).withColumn("sample_idx", F.col("sample_idx") - n)
+    """drop the first ``n`` samples of every run and renumber from 0; what was known in them is forgotten."""
+    kept = samples.where(F.col("sample_idx") >= n).withColumn("sample_idx", F.col("sample_idx") - n)
+    if PREVIOUS[0] not in samples.columns:
+        return kept
+    known = F.col("previous_at") >= n
+    return kept.withColumns({"previous": F.when(known, F.col("previous")), "previous_at": F.when(known, F.col("previous_at") - n)})
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is named in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _known_before(values: Column) -> Column:
+    """For each entry of an array the index of the last entry before it that is not NULL, else -1.
+
+    The array is cut into pieces of ``LOOK_BACK``: what the earlier pieces know is carried into each,
+    so an entry looks back within its own piece only.
+    """
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / LOOK_BACK) - 1, F.lit(0)))
+
+    def carried(known: Column) -> Column:
+        parts = F.transform(pieces, lambda k: F.slice(known, k.cast("int") * LOOK_BACK + 1, F.lit(LOOK_BACK)))
+
+        def joined(parts: Column) -> Column:
+            last = F.transform(parts, lambda part: F.array_max(part))
+            return let(
+                last,
+                lambda last: F.flatten(
+                    F.transform(
+                        parts,
+                        lambda part, k: let(
+                            F.coalesce(F.array_max(F.slice(last, F.lit(1), k)), F.lit(-1)),
+                            lambda before: F.transform(
+                                part, lambda _, i: F.coalesce(F.array_max(F.slice(part, F.lit(1), i)), before)
+                            ),
+                        ),
+                    )
+                ),
+            )
+
+        return let(parts, joined)
+
+    return let(F.transform(values, lambda v, i: F.when(v.isNotNull(), i)), carried)
+
+
+def steps(runs: DataFrame, cycles: str = CYCLES) -> DataFrame:
+    """``runs(run_id, counters, lines)`` → samples with what came before, all of a run from its one row.
+
+    ``lines`` are the values of the ``counters``, sample by sample. The result is that of a parser,
+    ``(run_id, sample_idx, cycles, counter, value)``, with the last known value before each sample (``previous``) and
+    its number (``previous_at``). A line's predecessor is the line before it in the array; only where values are
+    missing is it looked for (see :func:`_known_before`). Nothing is shuffled or sorted, and no operator
+    after it has to look for a sample's predecessor.
+    """
+    lines = F.col("lines")
+    n = F.size(lines)
+    nothing = F.lit(None)
+
+    def zipped(before: Column, at: Column) -> Column:
+        return F.arrays_zip(lines.alias("line"), before.alias("before"), at.alias("at"))
+
+    def looked_for(at: Column) -> Column:
+        """From the indexes per counter and line: the values there."""
+        found = F.transform(lines, lambda line, i: F.transform(line, lambda _, j: F.get(F.get(lines, F.get(F.get(at, j), i)), j)))
+        return zipped(found, F.transform(lines, lambda _, i: F.transform(at, lambda of_counter: F.get(of_counter, i))))
+
+    columns = F.sequence(F.lit(0), F.greatest(F.size("counters") - 1, F.lit(0)))
+    known = F.transform(columns, lambda j: _known_before(F.transform(lines, lambda line: F.get(line, j))))
+    shifted = F.concat(F.array(nothing.cast("array<bigint>")), F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    plain = zipped(F.slice(shifted, F.lit(1), n), F.array_repeat(nothing.cast("array<int>"), n))
+    gaps = F.exists(lines, lambda line: F.array_size(F.array_compact(line)) < F.size(line))
+    found = runs.select(
+        "run_id", "counters", F.array_position("counters", cycles).cast("int").alias("c"),
+        F.posexplode(F.when(gaps, let(known, looked_for)).otherwise(plain)).alias("nth", "s"),
+    )
+    wide = found.select(
+        "run_id", F.col("nth").cast("bigint").alias("sample_idx"), F.get("s.line", F.col("c") - 1).alias("cycles"), "counters", "s.line", "s.before", "s.at"
+    )
+    at = F.coalesce(F.get("at", F.col("j")).cast("bigint"), F.col("sample_idx") - 1)
+    return (
+        wide.select("run_id", "sample_idx", "cycles", "line", "before", "at", F.posexplode("counters").alias("j", "counter"))
+        .select("run_id", "sample_idx", "cycles", "counter", F.get("line", F.col("j")).alias("value"), F.get("before", F.col("j")).alias("previous"), at.alias("at"))
+        .withColumn("previous_at", F.when(F.col("at") >= 0, F.col("at")))
+        .drop("at")
+    )
 
 
 def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_bytes: int = 0) -> DataFrame:
@@ -35,7 +125,7 @@ def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_bytes: int = 0
         (end == UNBOUNDED_CYCLE) | (F.col("cycles") <= end)
     )
     bounded = join_per_key(
-        samples, bounds.select("run_id", "start", "end"), "run_id", broadcast_bytes=broadcast_bytes
+        samples.drop(*PREVIOUS), bounds.select("run_id", "start", "end"), "run_id", broadcast_bytes=broadcast_bytes
     )
     return bounded.where(inside).drop("start", "end")
 
@@ -43,11 +133,13 @@ def cycle_window(samples: DataFrame, bounds: DataFrame, broadcast_bytes: int = 0
 def with_previous(samples: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
     """Add ``previous``, the last known value before a sample, NULL if there is none.
 
-    Samples without a value are passed over, and indexes may have gaps. Rows are distributed by
+    Samples that their parser has told it of keep it, see :func:`steps`; the others are shuffled for it. Samples without a value are passed over, and indexes may have gaps. Rows are distributed by
     (series, block of consecutive samples), so a long series spreads over many tasks. The same
     distribution gives the last value of each block; the few of those are carried on to the blocks
     behind.
     """
+    if PREVIOUS[0] in samples.columns:
+        return samples.drop(PREVIOUS[1])
     key = [*_SERIES, "block"]
     tagged = samples.withColumn("block", F.expr(f"sample_idx div {block}")).repartition(*key)
     before = Window.partitionBy(*key).orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,7 +253,7 @@ def delta_table(
 
 def raw_table(samples: DataFrame, hz: float = CLOCK_HZ) -> DataFrame:
     """The raw samples with their ``seconds``."""
-    return samples.withColumn("seconds", cycles_to_seconds(F.col("cycles"), hz))
+    return samples.drop(*PREVIOUS).withColumn("seconds", cycles_to_seconds(F.col("cycles"), hz))
 
 
 def plot_series(deltas: DataFrame) -> DataFrame:

@@ -176,6 +176,13 @@ _FILE_VALUES = {
     "click, all": _VALUES["click"],
 }
 
+_FILE_DELTAS = f"""
+{_SENTENCES}, samples AS ({_union_samples(_FILE_VALUES, 'idx >= 6', 6)}),
+stepped AS (
+  SELECT *, last_value(value IGNORE NULLS) OVER (
+    PARTITION BY run_id, counter ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
+  FROM samples)"""
+
 _SHOWN = {
     "Finished: ": "name",
     "Benchmark: ": "string_split(config, '.')[1]",
@@ -339,6 +346,13 @@ ORACLES: dict[str, str] = {
     "plot_series": f"""
         WITH {_DELTAS} SELECT run_id, counter, seconds, delta FROM deltas WHERE counter <> '{CYCLES}'""",
     "counter_files": f"WITH {_SENTENCES} {_union_samples(_FILE_VALUES)}",
+    "counter_records": f"WITH {_SENTENCES} {_union_samples(_FILE_VALUES)}",
+    "counter_file_deltas": f"""
+        WITH {_FILE_DELTAS}
+        SELECT run_id, sample_idx, counter, value, cycles / 1e9 AS seconds,
+               CASE WHEN counter = '{CYCLES}' OR value IS NULL THEN CAST(value AS DOUBLE)
+                    ELSE CAST(coalesce(value - previous, 0) AS DOUBLE) END AS delta
+        FROM stepped""",
     "log_files": f"WITH {_METRICS} SELECT run_id, name, value FROM log_metrics",
     "mpki_report": f"WITH {_METRICS}, {_MPKI} SELECT * FROM mpki",
 }

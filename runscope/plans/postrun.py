@@ -77,7 +77,7 @@ def analyse(
         places = written(labels.select("run_id", *TREE), "places")
         logs = read_log_tokens(spark, run_dirs, name=LOG_FILE)
         log_metrics = written(uart_last_wins(logs), "log-metrics")
-        parsed = read_counter_samples(spark, run_dirs, whole_file_bytes, name=COUNTER_FILE)
+        parsed = read_counter_samples(spark, run_dirs, whole_file_bytes, name=COUNTER_FILE, with_steps=True)
         samples = written(warmup_drop(parsed), "samples")
         _check_names(spark, run_dirs)
 

@@ -30,6 +30,10 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return series.warmup_drop(fx.counter_samples(spark, d))
 
 
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return series.warmup_drop(series.steps(fx.counter_lines(spark, d)))
+
+
 def _log_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.uart_last_wins(_tokens(spark, d))
 
@@ -110,7 +114,7 @@ def raw_series_sink(spark, d):
 def delta_series_sink(spark, d):
     labels = fx.document_labels(spark, d).select("run_id", *sink.TREE)
     per_run = labels.join(_instructions(spark, d), "run_id", "left")
-    table = series.delta_table(_samples(spark, d), per_run, how="inner", broadcast_bytes=BROADCAST_BYTES)
+    table = series.delta_table(_steps(spark, d), per_run, how="inner", broadcast_bytes=BROADCAST_BYTES)
     root = fresh_path(spark, "deltas")
     sink.write_deltas(table, root)
     return sink.read_tree(spark, root, table)
@@ -330,7 +334,7 @@ def trace_histogram(spark, d):
 # --- windows, top-k, plots ------------------------------------------------------------
 
 def counter_delta(spark, d):
-    return series.counter_delta(_samples(spark, d)).drop("cycles")
+    return series.counter_delta(_steps(spark, d)).drop("cycles")
 
 
 def latest_pointer(spark, d):
@@ -359,7 +363,7 @@ def config_menu(spark, d):
 
 def plot_series(spark, d):
     deltas = series.delta_table(
-        _samples(spark, d), _instructions(spark, d), broadcast_bytes=BROADCAST_BYTES
+        _steps(spark, d), _instructions(spark, d), broadcast_bytes=BROADCAST_BYTES
     )
     return series.plot_series(deltas)
 
@@ -387,12 +391,25 @@ def counter_files(spark, d):
     return _by_number(counters.read_counter_samples(spark, _as_files(fx.counter_files(spark, d)), whole_file_bytes=2000))
 
 
+def counter_records(spark, d):
+    """The same with quoted newlines in the files, whole and by line."""
+    return _by_number(counters.read_counter_samples(spark, _as_files(fx.counter_files(spark, d, notes=True)), whole_file_bytes=4000))
+
+
+def counter_file_deltas(spark, d):
+    """Deltas of counter files as their parsers tell them, whole and by line."""
+    samples = counters.read_counter_samples(spark, _as_files(fx.counter_files(spark, d, notes=True)), whole_file_bytes=4000, with_steps=True)
+    return _by_number(series.counter_delta(series.warmup_drop(samples)).drop("cycles"))
+
+
 def log_files(spark, d):
     return _by_number(metrics.uart_last_wins(logs.read_log_tokens(spark, _as_files(fx.log_files(spark, d)))))
 
 
 QUERIES: dict[str, Query] = {
     "counter_files": counter_files,
+    "counter_records": counter_records,
+    "counter_file_deltas": counter_file_deltas,
     "log_files": log_files,
     "uart_scan": uart_scan,
     "counter_scan": counter_scan,

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runscope.formats import CYCLES, DATA_LINE, DROPPED_COLUMNS, HEADER_LINE
-from runscope.session import fresh_path
+from runscope.joins import BROADCAST_BYTES, join_per_key
+from runscope.operators.series import let, steps
+from runscope.session import fresh_path, written
 from runscope.sources.logs import is_run, line_columns, run_of, text_of
 
 # Files up to this size are parsed whole, without any shuffle; larger ones are split by line.
@@ -15,8 +17,17 @@ WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 _INTEGER = r"\A[ \t]*[+-]?[0-9]+[ \t]*\z"
 _NUMBER = r"\A[ \t]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z"
-# a comma and the cell after it: plain characters and quoted stretches, in linear time
-_CELL = r',([^",]*+(?:"[^"]*+(?:"|\z)[^",]*+)*+)'
+# A cell that begins with a quote is quoted up to the next single quote, commas and newlines included; a quote
+# further on in a cell is a character as any other. Possessive, so that matching takes linear time.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
+# a comma and the cell after it
+_CELL = rf',({_QUOTED}[^,]*+|[^,]*+)'
+# a record and its line end
+_RECORD = rf'([^"\r\n]*+(?:(?:(?<=[,\r\n]|\A){_QUOTED}|")[^"\r\n]*+)*+)(?:\r\n|\r|\n|\z)'
+# a whole quoted cell at the begin of a line or after a comma, and the begin of one that is left
+_CLOSED, _OPEN = r'(?<=,|\A)"[^"]*+(?:""[^"]*+)*+"', r'(?:,|\A)"'
+# Lines of a record at most; one of more, as an unclosed quote makes it, counts as one without any value.
+RECORD_LINES = 10_000
 
 
 def _blank(line: Column) -> Column:
@@ -73,10 +84,10 @@ def _count(cell: Column) -> Column:
     ).when(cell.rlike(_NUMBER), cell.try_cast("double").try_cast("bigint"))
 
 
-def _samples(records: DataFrame, drop: Sequence[str], cycles: str, strict: bool) -> DataFrame:
+def _samples(records: DataFrame, drop: Sequence[str], cycles: str, strict: bool, passed_on: Sequence[str] = ()) -> DataFrame:
     """``records(run_id, sample_idx, header, line)`` → one row per sample and counter."""
     split = records.select(
-        "run_id", "sample_idx", "header", _cells(F.col("line")).alias("cells")
+        "run_id", "sample_idx", "header", *passed_on, _cells(F.col("line")).alias("cells")
     )
     whole = F.size("cells") == F.size("header")
     cell = F.when(whole, F.get("cells", F.col("i")))
@@ -90,13 +101,112 @@ def _samples(records: DataFrame, drop: Sequence[str], cycles: str, strict: bool)
         value = F.coalesce(value, F.raise_error(complaint).cast("bigint"))
     return (
         split.withColumn("cycles", _count(cycle_cell))
-        .select("run_id", "sample_idx", "cycles", "cells", "header", F.posexplode_outer("header").alias("i", "counter"))
+        .select("run_id", "sample_idx", "cycles", "cells", "header", *passed_on, F.posexplode_outer("header").alias("i", "counter"))
         .where(F.col("counter").isNotNull() & ~F.col("counter").isin(*drop))
-        .select("run_id", "sample_idx", "cycles", "counter", cell.alias("cell"))
-        .select("run_id", "sample_idx", "cycles", "counter", value.alias("value"))
+        .select("run_id", "sample_idx", "cycles", "counter", *passed_on, cell.alias("cell"))
+        .select("run_id", "sample_idx", "cycles", "counter", value.alias("value"), *passed_on)
     )
 
 
+def _records_of(text: Column) -> Column:
+    """Records of a CSV text; only one with quotes needs more than its lines."""
+    return F.when(text.contains('"'), F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))).otherwise(F.split(text, r"\r\n|\r|\n"))
+
+
+def _ends_inside(line: Column) -> Column:
+    """Whether a line that begins outside of quotes ends inside of them."""
+    return line.contains('"') & F.regexp_replace(line, _CLOSED, "").rlike(_OPEN)
+
+
+def join_lines(lines: DataFrame) -> DataFrame:
+    """Records over several lines as one: ``lines(path, block, seq, value)`` → the same with whole records.
+
+    Whether a line begins inside of quotes depends on all lines before it. So each line is taken both ways,
+    as if it began outside and as if inside; a line either ends the same way for both or passes the way on,
+    as it was or turned round. Within a split those steps are composed by one window, the splits by another over
+    one row each, which then tells all lines their true state. Lines that are a record by themselves,
+    nearly all, go on as they are; only the others are grouped by the line that their record begins with.
+    """
+    value = F.col("value")
+    in_split = Window.partitionBy("path", "block").orderBy("seq")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    # the state after a line: `sure`, or else that before it, turned round if `turns`
+    stepped = lines.withColumns({"out": _ends_inside(value), "in": _ends_inside(F.concat(F.lit('"'), value)) | ~value.contains('"')})
+    stepped = stepped.withColumns({"sure": F.when(F.col("out") == F.col("in"), F.col("out")), "turns": F.when(F.col("out") & ~F.col("in"), 1).otherwise(0)})
+
+    def followed(rows: DataFrame, window, names: dict[str, str]) -> DataFrame:
+        """The same two over all rows before each."""
+        total = F.coalesce(F.sum("turns").over(window), F.lit(0))
+        at_sure = F.struct(F.col("sure"), (F.sum("turns").over(window.rowsBetween(Window.unboundedPreceding, 0))).alias("turned"))
+        last = F.last(F.when(F.col("sure").isNotNull(), at_sure), ignorenulls=True).over(window)
+        odd = F.pmod(total - F.coalesce(last["turned"], F.lit(0)), F.lit(2)) == 1
+        return rows.withColumns({names["sure"]: F.when(last.isNotNull(), last["sure"] != odd), names["turns"]: odd})
+
+    inner = followed(stepped, before, {"sure": "sure_before", "turns": "turned_before"})
+    # a split as one step: what its last line says of the state behind it
+    behind = F.when(F.col("sure").isNotNull(), F.col("sure")).otherwise(F.col("sure_before") != (F.col("turns") == 1))
+    turned = F.when(F.col("sure").isNotNull(), F.lit(False)).otherwise(F.col("turned_before") != (F.col("turns") == 1))
+    splits = inner.groupBy("path", "block").agg(F.max_by(F.struct(behind.alias("sure"), F.when(turned, 1).otherwise(0).alias("turns")), "seq").alias("s"))
+    splits = followed(splits.select("path", "block", "s.*"), earlier, {"sure": "split_sure", "turns": "split_turned"})
+    starts = splits.select("path", "block", F.coalesce("split_sure", "split_turned").alias("begins_inside"))
+    known = inner.join(starts, ["path", "block"])
+    inside = F.coalesce(F.col("sure_before"), F.col("begins_inside") != F.col("turned_before"))
+    known = known.withColumn("inside", inside).withColumn("ends_inside", F.when(F.col("inside"), F.col("in")).otherwise(F.col("out")))
+    plain = known.where(~F.col("inside") & ~F.col("ends_inside")).select("path", "block", "seq", "value")
+
+    # the others by the line their record begins with: in the same split, or the last begun in an earlier one
+    parts = known.where("inside or ends_inside")
+    begin = F.when(~F.col("inside"), F.struct("block", "seq"))
+    here = F.last(begin, ignorenulls=True).over(in_split.rowsBetween(Window.unboundedPreceding, 0))
+    last_begun = parts.groupBy("path", "block").agg(F.max(begin).alias("last"))
+    carried = last_begun.select("path", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    parts = parts.withColumn("here", here).join(carried, ["path", "block"]).withColumn("head", F.coalesce("here", "carried"))
+    one = Window.partitionBy("path", "head").orderBy("block", "seq")
+    parts = parts.withColumn("nth", F.row_number().over(one)).where(F.col("nth") <= RECORD_LINES)
+    joined = parts.groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("lines"))
+    # a record beyond the limit is cut, so its quote stays open
+    text = F.array_join(F.transform("lines", lambda line: line["value"]), "\n")
+    return plain.unionByName(joined.select("path", "head.block", "head.seq", text.alias("value")))
+
+
+def _bodies(files: DataFrame, header_line: int, data_line: int) -> DataFrame:
+    """Whole files as ``(run_id, header, body)``: column names, and the records that are samples."""
+    # the line reader drops a byte order mark, so this one must
+    text = F.when(F.startswith("value", F.lit("\ufeff")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    return (
+        files.select("run_id", _records_of(text).alias("lines"))
+        .select(
+            "run_id",
+            _column_names(F.get("lines", F.lit(header_line))).alias("names"),
+            F.filter(
+                F.slice("lines", F.lit(data_line + 1), F.size("lines")), lambda line: ~_blank(line)
+            ).alias("body"),
+        )
+        .select("run_id", _unique_names("names").alias("header"), "body")
+    )
+
+
+def counter_lines(
+    files: DataFrame, header_line: int = HEADER_LINE, data_line: int = DATA_LINE, drop: Sequence[str] = DROPPED_COLUMNS
+) -> DataFrame:
+    """The samples of whole files as ``(run_id, counters, lines)``, for :func:`runscope.operators.series.steps`."""
+    places = F.filter(F.sequence(F.lit(0), F.size("header") - 1), lambda j: ~F.get("header", j).isin(*drop))
+
+    def values(line: Column) -> Column:
+        return let(
+            _cells(line),
+            lambda cells: F.when(F.size(cells) == F.size("header"), F.transform("places", lambda j: _count(F.get(cells, j)))).otherwise(
+                F.array_repeat(F.lit(None).cast("bigint"), F.size("places"))
+            ),
+        )
+
+    bodies = _bodies(files, header_line, data_line).where(F.size("header") > 0).withColumn("places", places)
+    counters = F.transform("places", lambda j: F.get("header", j))
+    return bodies.select("run_id", counters.alias("counters"), F.transform("body", values).alias("lines"))
+
+
 def counter_scan(
     files: DataFrame,
     header_line: int = HEADER_LINE,
@@ -111,21 +221,10 @@ def counter_scan(
     form; each row also carries its sample's cycle count, so that seconds need no join later.
     ``sample_idx`` counts the non-blank data lines from 0. Records whose cell count differs
     from the header's, and cells that are no number, give NULL, or an error when ``strict``.
-    A record may not contain a newline. All of it is row-local: no shuffle.
+    A quoted cell may hold newlines; header and data line count records. All of it is row-local: no shuffle.
     """
-    # the line reader drops a byte order mark, so this one must
-    text = F.when(F.startswith("value", F.lit("\ufeff")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
-    lines = F.split(text, r"\r\n|\r|\n")
     records = (
-        files.select("run_id", lines.alias("lines"))
-        .select(
-            "run_id",
-            _column_names(F.get("lines", F.lit(header_line))).alias("names"),
-            F.filter(
-                F.slice("lines", F.lit(data_line + 1), F.size("lines")), lambda line: ~_blank(line)
-            ).alias("body"),
-        )
-        .select("run_id", _unique_names("names").alias("header"), "body")
+        _bodies(files, header_line, data_line)
         .select("run_id", "header", F.posexplode_outer("body").alias("nth", "line"))
         .where(F.col("line").isNotNull())
         .select("run_id", F.col("nth").cast("bigint").alias("sample_idx"), "header", "line")
@@ -140,14 +239,18 @@ def counter_scan_lines(
     drop: Sequence[str] = DROPPED_COLUMNS,
     cycles: str = CYCLES,
     strict: bool = False,
+    passed_on: Sequence[str] = (),
 ) -> DataFrame:
     """The same for files too large for one row: ``lines(path, block, seq, value)``.
 
     ``(block, seq)`` orders the lines of a file: the split they came from and their order in it.
     ``lines`` is read more than once and must not change in between, so pass a written table.
     A line's number is its place within the split plus the lines of the splits before it. All
-    lines are distributed by (path, block), which no file size makes uneven.
+    lines are distributed by (path, block), which no file size makes uneven. Files in which a quoted cell holds
+    a newline first get their records together, see :func:`join_lines`.
     """
+    if not lines.where(_ends_inside(F.col("value"))).isEmpty():
+        lines = join_lines(lines)
     filled = ~_blank(F.col("value"))
     in_split = (
         Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -176,10 +279,29 @@ def counter_scan_lines(
         lines.withColumn("place", F.count_if(filled).over(in_split))
         .where(filled)
         .join(offsets, ["path", "block"])
-        .select("run_id", (F.col("place") + F.col("shift")).alias("sample_idx"), "header", F.col("value").alias("line"))
+        .select("run_id", (F.col("place") + F.col("shift")).alias("sample_idx"), "header", F.col("value").alias("line"), *passed_on)
         .where(F.col("sample_idx") >= 0)
     )
-    return _samples(records, drop, cycles, strict)
+    return _samples(records, drop, cycles, strict, passed_on)
+
+
+def counter_steps_lines(lines: DataFrame, **options) -> DataFrame:
+    """:func:`counter_scan_lines` with what came before each sample, as :func:`runscope.operators.series.steps` has it.
+
+    The split of a line is how lines are distributed already, so looking for a predecessor within it moves no sample. The
+    last known values of a split, one row per counter, are carried on to the splits behind.
+    """
+    known = F.when(F.col("value").isNotNull(), F.struct("value", F.col("sample_idx").alias("at")))
+    split = ["path", "block", "counter"]
+    before = Window.partitionBy(*split).orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("path", "counter").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    samples = counter_scan_lines(lines, passed_on=("path", "block"), **options)
+    samples = written(samples.withColumn("known", F.last(known, ignorenulls=True).over(before)), "steps")
+    last = samples.groupBy(*split).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("sample_idx"))).alias("value"), F.max(F.when(F.col("value").isNotNull(), F.col("sample_idx"))).alias("at"))
+    carried = last.select(*split, F.last(F.when(F.col("at").isNotNull(), F.struct("value", "at")), ignorenulls=True).over(earlier).alias("carried"))
+    carried = carried.where(F.col("carried").isNotNull())
+    found = join_per_key(samples, carried, split, "left", BROADCAST_BYTES).withColumn("known", F.coalesce("known", "carried"))
+    return found.select("run_id", "sample_idx", "cycles", "counter", "value", F.col("known.value").alias("previous"), F.col("known.at").alias("previous_at"))
 
 
 def read_counter_samples(
@@ -187,6 +309,7 @@ def read_counter_samples(
     paths: str | Sequence[str],
     whole_file_bytes: int = WHOLE_FILE_BYTES,
     name: str | None = None,
+    with_steps: bool = False,
     **options,
 ) -> DataFrame:
     """Samples of all counter files below ``paths``; the run is the file's directory.
@@ -194,7 +317,8 @@ def read_counter_samples(
     File size decides the way each file is parsed; both filters prune the file listing, so
     no file is read by both. The lines of large files are first written to the shared folder:
     where a file is split may depend on the cores there are when a scan starts, hence only one
-    scan may tell. On ``name`` see :func:`runscope.sources.logs.text_of`.
+    scan may tell. On ``name`` see :func:`runscope.sources.logs.text_of`. ``with_steps`` adds what came before each
+    sample, so that deltas need no shuffle.
     """
     size, run = F.col("_metadata.file_size"), is_run("_metadata.file_path")
     small = (
@@ -202,10 +326,11 @@ def read_counter_samples(
         .where((size <= whole_file_bytes) & run)
         .select(run_of("_metadata.file_path"), "value")
     )
-    samples = counter_scan(small, **options)
+    samples = steps(counter_lines(small, **options)) if with_steps else counter_scan(small, **options)
     large = text_of(spark, paths, name).where((size > whole_file_bytes) & run)
     if large.isEmpty():
         return samples
     table = fresh_path(spark, "counter-lines")
     large.select(*line_columns(), F.monotonically_increasing_id().alias("seq")).write.parquet(table)
-    return samples.unionByName(counter_scan_lines(spark.read.parquet(table), **options))
+    scan = counter_steps_lines if with_steps else counter_scan_lines
+    return samples.unionByName(scan(spark.read.parquet(table), **options))

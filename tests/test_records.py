@@ -1,0 +1,99 @@
+"""Records over several lines, and predecessors without a shuffle."""
+
+import csv
+import io
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from runscope import fixtures as fx
+from runscope.formats import CYCLES
+from runscope.operators import series
+from runscope.sources import counters
+
+CELLS = ['a"b', '"x,""y"', '"p\nq"', '"\n\n,""\n"', '""', '","', "", " "]
+
+
+def texts(seed, n=60):
+    rng = random.Random(seed)
+    cell = lambda: str(rng.randrange(100)) if rng.random() < 0.6 else rng.choice(CELLS)
+    return ["\n".join(",".join(cell() for _ in range(3)) for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_records_equal_a_csv_reader_whole_and_by_line(spark, seed):
+    rng, made = random.Random(seed), texts(seed)
+    made += ['1,2\n3,"open\n4,5\n6,7', '"', '"\n"', '"a"\n"b\n', ""]
+    lines = []
+    for number, text in enumerate(made):
+        parts = text.split("\n")
+        cuts = rng.choices(range(len(parts) + 1), k=4)  # splits begin anywhere, also within quotes
+        lines += [(str(number), sum(i >= c for c in cuts), i, line) for i, line in enumerate(parts)]
+    by_line = {}
+    frame = spark.createDataFrame(lines, "path string, block int, seq long, value string").repartition(5)
+    for r in sorted(counters.join_lines(frame).collect(), key=lambda r: (r.path, r.block, r.seq)):
+        by_line.setdefault(int(r.path), []).append(r.value)
+    whole = spark.createDataFrame(list(enumerate(made)), "n int, value string")
+    whole = whole.select("n", counters._records_of(F.col("value")).alias("records"), F.transform(counters._records_of(F.col("value")), counters._cells).alias("cells"))
+    for r in whole.collect():
+        want = list(csv.reader(io.StringIO(made[r.n], newline="")))
+        records = r.records[: len(by_line[r.n])]
+        assert records == by_line[r.n] and not any(r.records[len(records) :])
+        if made[r.n].count('"') % 2 == 0 and r.n < 60:
+            assert [c for c, x in zip(r.cells, records, strict=False) if x] == [c for c in want if c]
+
+
+def test_a_quote_that_stays_open_makes_one_bad_record(spark, monkeypatch):
+    monkeypatch.setattr(counters, "RECORD_LINES", 5)
+    lines = [("f", i // 4, i, v) for i, v in enumerate(["1,2", '3,"x'] + [f"{i},{i}" for i in range(40)])]
+    got = counters.join_lines(spark.createDataFrame(lines, "path string, block int, seq long, value string")).collect()
+    assert sorted(r.value for r in got) == ["1,2", '3,"x\n0,0\n1,1\n2,2\n3,3']
+
+
+@pytest.mark.parametrize("whole_file_bytes", [10**6, 0])
+def test_files_with_quoted_newlines(spark, tmp_path, whole_file_bytes):
+    folder = tmp_path / "run1"
+    folder.mkdir()
+    head = f'a\n"b\nb"\nc\ndescription,{CYCLES},"k\nk"\nt\n"w\n\n"\naw\n'
+    body = "".join(f'"note {i}\n7,7,7\n",{i * 10},{i}\n' if i % 2 else f"x,{i * 10},{i}\n\n" for i in range(400))
+    (folder / "c.csv").write_text(head + body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        samples = counters.read_counter_samples(spark, f"{tmp_path}/*/c.csv", whole_file_bytes, with_steps=True)
+        got = sorted(map(tuple, samples.where(F.col("counter") == "k\nk").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("run1", i, i * 10, "k\nk", i, i - 1 if i else None, i - 1 if i else None) for i in range(400)]
+
+
+@pytest.mark.parametrize("share", [0, 0.3, 0.97, 1])
+def test_predecessors_from_arrays(spark, share):
+    rng = random.Random(5)
+    rows, want = [], []
+    for run, n in enumerate([0, 1, 2, series.LOOK_BACK, series.LOOK_BACK + 1, 3 * series.LOOK_BACK + 7]):
+        lines = [[i * 10, None if rng.random() < share else rng.randrange(9)] for i in range(n)]
+        rows.append((run, [CYCLES, "c"], lines))
+        for j, counter in enumerate((CYCLES, "c")):
+            known = (None, None)
+            for i, line in enumerate(lines):
+                want.append((run, i, i * 10, counter, line[j], *known))
+                known = known if line[j] is None else (line[j], i)
+    frame = spark.createDataFrame(rows, "run_id int, counters array<string>, lines array<array<bigint>>")
+    got = series.steps(frame)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # the same deltas as those of samples that are shuffled for their predecessors
+    late = series.warmup_drop(got)
+    plain = late.drop(*series.PREVIOUS)
+    key = lambda r: str(tuple(r))
+    assert sorted(series.counter_delta(late).collect(), key=key) == sorted(series.counter_delta(plain).select(series.counter_delta(late).columns).collect(), key=key)
+
+
+def test_no_sample_is_shuffled_between_the_parser_and_its_deltas(spark):
+    files = fx.counter_files(spark, "/root/testdata/sf0.001")
+    samples = series.warmup_drop(series.steps(counters.counter_lines(files)))
+    runs = spark.createDataFrame([(1, 2.0)], "run_id long, instructions double")
+    for frame in (series.counter_delta(samples), series.delta_table(samples, runs, broadcast_bytes=1 << 20)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hash" not in plan and "Window" not in plan and "Sort" not in plan
