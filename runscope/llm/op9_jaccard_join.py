@@ -419,7 +419,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     # a posting gets the bitmap of each text of its node; with repeated ids, that of its own is among them
     bitmaps = profiles.where("segment is null and doc_id is not null").select(F.col("doc_id").alias("node"), "bitmap").distinct()
     postings = written(written(postings, "shared").join(bitmaps, "node").select(*POSTING, "bitmap"), "postings")
-    links, labels, tried = None, None, None
+    # texts of one id are one document, which may be the smallest of neither of its classes
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
+    several = measured(several.select("doc_id"), "several-texts")
+    same = named.join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "node")
+    first = same.groupBy("doc_id").agg(F.min("node").alias("a"))
+    links = written(same.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links")
+    labels, tried = None if links.isEmpty() else _labels(links), None
     for number in range(ROUNDS + 1):
         every = number == ROUNDS
         current = postings.withColumn("label", F.col("node"))
@@ -444,9 +450,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = written(verify(docs, pairs, percent, width), "links")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         labels = _labels(links)
-    out = rows.join(classes.repartition(F.xxhash64("digest")), "digest", "left")
+    # an empty text of an id that has others, too
+    bare = measured(rows.where("doc_id is not null and digest is null").select("doc_id").distinct(), "empty-texts")
+    other = named.join(bare, "doc_id", "left_semi").join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("other"))
+    out = rows.join(classes.repartition(F.xxhash64("digest")), "digest", "left").join(measured(other, "other-texts"), "doc_id", "left")
+    out = out.withColumn("node", F.coalesce("node", "other"))
     if labels is None:
         out = out.withColumn("label", F.lit(None).cast("long"))
     else:

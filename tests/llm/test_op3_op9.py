@@ -101,15 +101,15 @@ def test_different_windows_with_one_hash_are_told_apart(monkeypatch):
     assert bucket.repeated(hashes, np.array([4, 3]), np.array([0, 2], np.int32))[0].tolist() == []
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = words((text or "").translate({i: i + 32 for i in range(65, 91)}))
     if not w:
         return frozenset()
-    return frozenset([tuple(w)] if len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])
+    return frozenset([tuple(w)] if len(w) < width else [tuple(w[i : i + width]) for i in range(len(w) - width + 1)])
 
 
-def brute_components(docs):
-    sets = [(d, shingles(t)) for d, t, *_ in docs]
+def brute_components(docs, percent=90, width=3):
+    sets = [(d, shingles(t, width)) for d, t, *_ in docs]
     parent = {}
 
     def find(x):
@@ -119,7 +119,7 @@ def brute_components(docs):
 
     for i, (d, x) in enumerate(sets):
         for e, y in sets[:i]:
-            if d is not None and e is not None and x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if d is not None and e is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 a, b = sorted((find(d), find(e)))
                 parent[b] = a
     return [(d, len(x), None if d is None else find(d)) for d, x in sets]
@@ -140,6 +140,13 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, rounds, blo
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("docs", [[(2, "x a b c"), (3, "y d e f"), (5, "x a b c"), (5, "y d e f")], [(2, "x a b"), (3, "y d e"), (5, "x a b"), (5, "y d e"), (5, None), (1, "y d e"), (None, "x a b")]])
+def test_texts_of_one_id_link_their_classes(spark, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, op9.near_duplicates(frame).collect()), key=str)
+    assert got == sorted(brute_components(docs), key=str) and len({c for d, _, c in got if d}) == 1
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = rows(5, 40)
     kept = op9.one_per_group(spark.createDataFrame(docs, SCHEMA))
