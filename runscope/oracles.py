@@ -353,6 +353,9 @@ ORACLES: dict[str, str] = {
                CASE WHEN counter = '{CYCLES}' OR value IS NULL THEN CAST(value AS DOUBLE)
                     ELSE CAST(coalesce(value - previous, 0) AS DOUBLE) END AS delta
         FROM stepped""",
+    "artifact_files": """
+        SELECT doc_id AS run_id, CAST(octet_length(encode(concat(text, chr(10)))) AS BIGINT) AS length, md5(concat(text, chr(10))) AS md5
+        FROM documents UNION ALL SELECT -1, 0, 'd41d8cd98f00b204e9800998ecf8427e'""",
     "log_files": f"WITH {_METRICS} SELECT run_id, name, value FROM log_metrics",
     "mpki_report": f"WITH {_METRICS}, {_MPKI} SELECT * FROM mpki",
 }

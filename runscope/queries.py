@@ -402,6 +402,17 @@ def counter_file_deltas(spark, d):
     return _by_number(series.counter_delta(series.warmup_drop(samples)).drop("cycles"))
 
 
+def artifact_files(spark, d):
+    """Artifacts as files, hashed and catalogued; one run has an empty file and nothing else."""
+    texts = fx.documents_as_files(spark, d).select(F.col("artifact_id").alias("run_id"), F.col("content").alias("value"))
+    root = _as_files(texts).removesuffix("/*/*.txt")
+    spark.range(0).select(F.lit("").alias("value")).write.text(f"{root}/run_id=-1")
+    hashes = files.read_artifact_hashes(spark, f"{root}/run_id=*/*.txt")
+    listed = files.read_run_files(spark, root).select(F.col("path").alias("artifact_id"), "length")
+    run = F.regexp_extract("artifact_id", "run_id=(-?[0-9]+)/", 1).cast("bigint")
+    return hashes.join(listed, "artifact_id").select(run.alias("run_id"), "length", "md5")
+
+
 def log_files(spark, d):
     return _by_number(metrics.uart_last_wins(logs.read_log_tokens(spark, _as_files(fx.log_files(spark, d)))))
 
@@ -410,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "counter_files": counter_files,
     "counter_records": counter_records,
     "counter_file_deltas": counter_file_deltas,
+    "artifact_files": artifact_files,
     "log_files": log_files,
     "uart_scan": uart_scan,
     "counter_scan": counter_scan,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runscope.functions.labels import parse_stamp
+from runscope.sources.listing import hash_files, list_files
 
 # directory "<run name><stamp>", the stamp with or without a dash before the time of day
 _STAMP = r"(\d{4}-\d\d-\d\d-?\d{6})(?:/|\z)"
@@ -17,15 +18,35 @@ VALUE_BYTES = 2_000_000_000
 
 
 def read_artifacts(spark: SparkSession, paths: str | Sequence[str], value_bytes: int = VALUE_BYTES) -> DataFrame:
-    """Artifact files as ``(artifact_id, content)``; the id is the path. Spark skips empty files.
+    """Artifact files as ``(artifact_id, content)``; the id is the path. Empty files have an empty content.
 
     A file that is too large for one value has a NULL content. The sizes prune the listing, so
-    its content is not read.
+    its content is not read; :func:`read_artifact_hashes` hashes files of any size.
     """
     files = spark.read.format("binaryFile").load(paths)
     fits = files.where(F.col("length") <= value_bytes).select(F.col("path").alias("artifact_id"), "content")
     larger = files.where(F.col("length") > value_bytes)
-    return fits.unionByName(larger.select(F.col("path").alias("artifact_id"), F.lit(None).cast("binary").alias("content")))
+    found = fits.unionByName(larger.select(F.col("path").alias("artifact_id"), F.lit(None).cast("binary").alias("content")))
+    empty = _below_or_at(spark, paths).where("length = 0").select(_plain("path").alias("artifact_id"))
+    return found.unionByName(empty.withColumn("content", F.lit("").cast("binary")))
+
+
+def _below_or_at(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Files that match, and those in directories that do, as Spark's file sources take them."""
+    globs = [paths] if isinstance(paths, str) else [*paths]
+    return list_files(spark, [g for p in globs for g in (p.rstrip("/"), f"{p.rstrip('/')}/*")])
+
+
+def _plain(path: str) -> Column:
+    """A listed URL as Spark's binary source writes paths: not encoded, and one slash after ``file:``."""
+    decoded = F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"\Afile:///", "file:/")
+
+
+def read_artifact_hashes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Content hash of artifact files, ``(artifact_id, md5)``, of any size: executors read them in pieces."""
+    hashed = hash_files(_below_or_at(spark, paths))
+    return hashed.select(_plain("artifact_id").alias("artifact_id"), "md5")
 
 
 def artifact_md5(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -41,16 +62,12 @@ def artifact_md5(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
-    """Listing of all files below ``root``: ``(path, length, modificationTime)``.
+    """Listing of all files below ``root``: ``(path, length, modificationTime)``; empty files, too.
 
-    Contents are not selected, hence not read. Spark skips empty files.
+    The executors list, directory by directory; no content is read.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime"))
-    )
+    files = list_files(spark, root, recursive=True)
+    return files.select(_plain("path").alias("path"), "length", F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime"))
 
 
 def run_catalog(files: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from runscope.formats import (
 )
 from runscope.functions.labels import metric_name
 from runscope.functions.text import ascii_digits, strip_whitespace
+from runscope.sources.listing import list_files
 
 # the last directory of a file's path
 _DIRECTORY = r"/([^/]+)/[^/]+\z"
@@ -118,29 +119,14 @@ def read_descriptions(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     """Description files as ``(config_id, value)``.
 
     DataFrame readers leave out empty files, which must be told apart from missing ones here; the
-    listing has them.
+    executors' listing has them.
     """
-    found = listed_files(spark, paths)
-    texts = spark.read.text([*found], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value") if found else None
-    names = spark.createDataFrame([(p, n) for p, n in found.items()], "path string, length bigint")
+    names = list_files(spark, paths)
     empty = names.where("length = 0").select("path", F.lit("").alias("value"))
-    every = empty if texts is None else texts.unionByName(empty)
-    return every.select(run_of("path", "config_id"), "value")
-
-
-def listed_files(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, int]:
-    """Files that match the globs, as URLs, and their length; empty ones included.
-
-    As any listing of Spark's file sources, it is done and held by the driver.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = {}
-    for glob in [paths] if isinstance(paths, str) else paths:
-        where = jvm.org.apache.hadoop.fs.Path(glob)
-        for status in where.getFileSystem(conf).globStatus(where) or []:
-            if status.isFile():
-                found[status.getPath().toUri().toString()] = status.getLen()
-    return found
+    if names.where("length > 0").isEmpty():
+        return empty.select(run_of("path", "config_id"), "value")
+    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return texts.unionByName(empty).select(run_of("path", "config_id"), "value")
 
 
 def description_scan(files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
