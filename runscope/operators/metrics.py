@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runscope.formats import CLOCK_HZ, INSTRUCTIONS, MPKI_COUNTERS
 from runscope.functions.rates import cycles_to_seconds, per_kilo
@@ -83,12 +83,36 @@ def mpki_final(metrics: DataFrame, counters: Sequence[str] = MPKI_COUNTERS) -> D
     return metrics.groupBy("run_id").agg(*_ratio_columns(counters))
 
 
+#: Column of a wide row that has all metrics of its run.
+EVERY = "every_metric"
+
+
 def results_pivot(
-    metrics: DataFrame, names: Sequence[str], mpki_counters: Sequence[str] = ()
+    metrics: DataFrame, names: Sequence[str] = (), mpki_counters: Sequence[str] = (), every: bool = False
 ) -> DataFrame:
     """A3: one wide row per run with the listed metrics, and the ratios if asked for.
 
-    ``names`` is explicit: the schema is fixed and one aggregation does it all.
+    ``names`` is explicit: the schema is fixed and one aggregation does it all. With ``every``, the column
+    ``every_metric`` has all metrics of the run, whatever their names, as a VARIANT object, so runs with different
+    metrics share a table; :func:`metric_at` reads one of them. A run has each metric once, so the object
+    is as long as the run has names, however many samples they come from.
     """
     listed = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
+    if every:
+        pairs = F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value"))))
+        listed.append(F.to_variant_object(pairs).alias(EVERY))
     return metrics.groupBy("run_id").agg(*listed, *_ratio_columns(mpki_counters))
+
+
+def metric_at(name: str, column: str = EVERY) -> Column:
+    """The metric of this name in a VARIANT of all metrics, NULL where the run has none."""
+    for quote in "\"'":
+        if name and quote not in name:
+            return F.try_variant_get(F.col(column), f"$[{quote}{name}{quote}]", "double")
+    return F.try_element_at(F.col(column).try_cast("map<string,double>"), F.lit(name))  # a path can't spell it
+
+
+def every_metric(results: DataFrame, column: str = EVERY) -> DataFrame:
+    """The long form again: ``(run_id, name, value)`` of all metrics of all runs."""
+    pairs = F.explode(F.col(column).try_cast("map<string,double>")).alias("name", "value")
+    return results.select("run_id", pairs)

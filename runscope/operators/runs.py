@@ -126,6 +126,32 @@ def sweep_grid(programs: DataFrame, axes: Mapping[str, Sequence[str]]) -> DataFr
     )
 
 
+def coverage(grid: DataFrame, catalogue: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Which combinations of a grid (:func:`sweep_grid`) no run of the catalogue has: ``(*axes, runs)`` with 0 runs.
+
+    ``catalogue`` has a row per run. It is counted per combination before the join, so that a combination which a third of
+    all runs have is one row; NULL is a value of an axis as any other.
+    """
+    keys = [F.struct(F.col(a)).alias(f"__{a}") for a in axes]  # a struct of NULL equals itself
+    done = catalogue.groupBy(*keys).agg(F.count("*").alias("runs"))
+    expected = grid.select(*axes, *keys).distinct()
+    return expected.join(done, [f"__{a}" for a in axes], "left").select(*axes, F.coalesce("runs", F.lit(0)).cast("bigint").alias("runs"))
+
+
+def coverage_gaps(covered: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """:func:`coverage` per value of each axis: ``(axis, value, expected, missing, runs)``, and in all (axis NULL).
+
+    All axes are rolled up by one aggregation over grouping sets. An empty grid gives no rows.
+    """
+    number = [F.when(F.grouping(a) == 0, F.lit(a)) for a in axes]
+    value = [F.when(F.grouping(a) == 0, F.col(a).cast("string")) for a in axes]
+    rolled = covered.groupingSets([*[[F.col(a)] for a in axes], []], *[F.col(a) for a in axes])
+    return rolled.agg(
+        F.coalesce(*number).alias("axis"), F.coalesce(*value).alias("value"), F.count("*").alias("expected"),
+        F.count_if(F.col("runs") == 0).alias("missing"), F.coalesce(F.sum("runs"), F.lit(0)).cast("bigint").alias("runs"),
+    ).select("axis", "value", "expected", "missing", "runs")
+
+
 def run_id_assign(runs: DataFrame, column: str = "run_id") -> DataFrame:
     """A random unique id per row, written once so that it never changes afterwards."""
     return written(runs.withColumn(column, F.uuid()))

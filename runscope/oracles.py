@@ -183,6 +183,14 @@ stepped AS (
     PARTITION BY run_id, counter ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
   FROM samples)"""
 
+_COVERED = f"""
+{_MANIFEST},
+programs AS (SELECT DISTINCT benchmark AS program, run_config, fpga FROM manifest),
+covered AS (
+  SELECT g.*, (SELECT count(*) FROM manifest m WHERE m.benchmark = g.program AND m.run_config = g.run_config
+    AND m.fpga = g.fpga AND m.runtime = g.runtime AND regexp_full_match(m.run_name, '[a-zA-Z0-9.\\-_]+')) AS runs
+  FROM (SELECT * FROM programs CROSS JOIN (VALUES ('libc'), ('stub'), ('localize'), ('handles')) AS r(runtime)) g)"""
+
 _SHOWN = {
     "Finished: ": "name",
     "Benchmark: ": "string_split(config, '.')[1]",
@@ -356,6 +364,21 @@ ORACLES: dict[str, str] = {
     "artifact_files": """
         SELECT doc_id AS run_id, CAST(octet_length(encode(concat(text, chr(10)))) AS BIGINT) AS length, md5(concat(text, chr(10))) AS md5
         FROM documents UNION ALL SELECT -1, 0, 'd41d8cd98f00b204e9800998ecf8427e'""",
+    "counter_rejects": f"""
+        WITH {_SENTENCES}
+        SELECT run_id, CAST(idx AS BIGINT) AS sample_idx, 'l2_tlb_miss' AS counter, 'n/a' AS cell, 'number' AS reason
+        FROM sentences WHERE n % 97 = 0""",
+    "results_every": f"""
+        WITH {_METRICS}
+        SELECT run_id, count(*) AS n_metrics, string_agg(name, '|' ORDER BY name) AS names, sum(value) AS total,
+               max(CASE WHEN name = 'instructions' THEN value END) AS instructions,
+               max(CASE WHEN name = '{CYCLES}' THEN value END) AS cycles
+        FROM merged GROUP BY run_id""",
+    "sweep_coverage": f"WITH {_COVERED} SELECT * FROM covered",
+    "sweep_gaps": f"""
+        WITH {_COVERED}
+        {" UNION ALL ".join(f"SELECT '{a}' AS axis, {a} AS value, count(*) AS expected, count(*) FILTER (runs = 0) AS missing, CAST(sum(runs) AS BIGINT) AS runs FROM covered GROUP BY {a}" for a in ("program", "run_config", "fpga", "runtime"))}
+        UNION ALL SELECT NULL, NULL, count(*), count(*) FILTER (runs = 0), CAST(coalesce(sum(runs), 0) AS BIGINT) FROM covered""",
     "log_files": f"WITH {_METRICS} SELECT run_id, name, value FROM log_metrics",
     "mpki_report": f"WITH {_METRICS}, {_MPKI} SELECT * FROM mpki",
 }

@@ -42,10 +42,11 @@ def mpki_report(tokens: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def run_results(
-    log_metrics: DataFrame, samples: DataFrame, names: Sequence[str], counters: Sequence[str] = MPKI_COUNTERS
+    log_metrics: DataFrame, samples: DataFrame, names: Sequence[str],
+    counters: Sequence[str] = MPKI_COUNTERS, every: bool = False,
 ) -> DataFrame:
-    """One wide row per run: the listed metrics, the ratios and the simulated seconds."""
-    wide = results_pivot(merged_metrics(log_metrics, samples), [*names, CYCLES], counters)
+    """One wide row per run: the listed metrics, the ratios and the simulated seconds; ``every``: all metrics beside them."""
+    wide = results_pivot(merged_metrics(log_metrics, samples), [*names, CYCLES], counters, every)
     return wide.withColumn("sim_seconds", cycles_to_seconds(F.col(f"`{CYCLES}`")))
 
 
@@ -63,7 +64,7 @@ def analyse(
     """Read the runs below ``run_dirs`` (a glob of directories) and write the results tree.
 
     Tables by (series, name, config), each replacing what the tree had of those: ``results``, a wide row per run with
-    the metrics ``names``; ``metrics``, all metrics in the long form; ``raw`` and ``deltas``;
+    the metrics ``names`` and, in ``every_metric``, all it has; ``metrics``, all metrics in the long form; ``raw`` and ``deltas``;
     ``summaries``, a text per run. ``latest``: the newest run by end time of each series, name
     and runtime configuration, of all analyses so far; runs without an end time count as the oldest. ``unlabelled``: what was read of runs that ``labels`` doesn't
     have, replaced by each job.
@@ -95,7 +96,7 @@ def analyse(
         save(metric_rows.join(places, "run_id"), "metrics")
 
         # a run that left neither metrics nor samples has a row all the same
-        results = labels.select("run_id").join(run_results(log_metrics, samples, names), "run_id", "left")
+        results = labels.select("run_id").join(run_results(log_metrics, samples, names, every=True), "run_id", "left")
         enriched = written(
             run_enrich(results, timing, labels, artifacts, descriptions).join(labels.select("run_id", "series"), "run_id"), "results"
         )

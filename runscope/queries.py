@@ -19,6 +19,9 @@ from runscope.sinks import results as sink
 from runscope.sinks.snapshots import merge_rows, read_current
 from runscope.sources import counters, files, logs
 
+#: Axes of a sweep.
+AXES = ("program", "run_config", "fpga", "runtime")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -309,6 +312,19 @@ def sweep_grid(spark, d):
     return runs.sweep_grid(programs, {"runtime": fx.RUNTIMES})
 
 
+def _covered(spark, d):
+    catalogue = fx.run_manifest(spark, d).where(run_name_valid(F.col("run_name"))).withColumnRenamed("benchmark", "program")
+    return runs.coverage(sweep_grid(spark, d), catalogue, AXES)
+
+
+def sweep_coverage(spark, d):
+    return _covered(spark, d)
+
+
+def sweep_gaps(spark, d):
+    return runs.coverage_gaps(_covered(spark, d), AXES)
+
+
 # --- aggregations ---------------------------------------------------------------------
 
 def counter_final(spark, d):
@@ -324,6 +340,16 @@ def results_pivot(spark, d):
     return _plain(_results(spark, d))
 
 
+def results_every(spark, d):
+    """Wide rows with all metrics, no name listed: written, read by path and as the long form."""
+    table = written(metrics.results_pivot(_merged(spark, d), every=True))
+    found = metrics.every_metric(table).groupBy("run_id").agg(
+        F.count("*").alias("n_metrics"), F.array_join(F.sort_array(F.collect_list("name")), "|").alias("names"), F.sum("value").alias("total")
+    )
+    by_path = table.select("run_id", metrics.metric_at("instructions").alias("instructions"), metrics.metric_at(CYCLES).alias("cycles"))
+    return found.join(by_path, "run_id")
+
+
 def trace_histogram(spark, d):
     words = fx.table(spark, d, "documents").select(
         F.col("doc_id").alias("run_id"), F.explode_outer(F.split("text", " ")).alias("key")
@@ -413,6 +439,12 @@ def artifact_files(spark, d):
     return hashes.join(listed, "artifact_id").select(run.alias("run_id"), "length", "md5")
 
 
+def counter_rejects(spark, d):
+    """Cells of counter files without a value, from the one parse that also gives the samples."""
+    parsed = counters.read_counter_samples(spark, _as_files(fx.counter_files(spark, d, notes=True)), whole_file_bytes=4000, reasons=True)
+    return _by_number(counters.split_rejects(parsed)[1])
+
+
 def log_files(spark, d):
     return _by_number(metrics.uart_last_wins(logs.read_log_tokens(spark, _as_files(fx.log_files(spark, d)))))
 
@@ -422,6 +454,7 @@ QUERIES: dict[str, Query] = {
     "counter_records": counter_records,
     "counter_file_deltas": counter_file_deltas,
     "artifact_files": artifact_files,
+    "counter_rejects": counter_rejects,
     "log_files": log_files,
     "uart_scan": uart_scan,
     "counter_scan": counter_scan,
@@ -455,9 +488,12 @@ QUERIES: dict[str, Query] = {
     "config_overlay": config_overlay,
     "run_enrich": run_enrich,
     "sweep_grid": sweep_grid,
+    "sweep_coverage": sweep_coverage,
+    "sweep_gaps": sweep_gaps,
     "counter_final": counter_final,
     "uart_last_wins": uart_last_wins,
     "results_pivot": results_pivot,
+    "results_every": results_every,
     "trace_histogram": trace_histogram,
     "counter_delta": counter_delta,
     "latest_pointer": latest_pointer,

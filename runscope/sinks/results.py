@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import VariantType
 
 from runscope.formats import CSV_COLUMN_NAMES
 from runscope.joins import join_per_key
@@ -23,6 +24,7 @@ def write_results(df: DataFrame, root: str, fmt: str = "parquet") -> None:
     """K1: one row per run. As CSV, the columns get the names the per-run CSV files use."""
     if fmt == "csv":
         df = df.withColumnsRenamed(CSV_COLUMN_NAMES)
+        df = df.withColumns({f.name: F.to_json(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, VariantType)})
     write_table(df, root, fmt)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from runscope.formats import CYCLES, DATA_LINE, DROPPED_COLUMNS, HEADER_LINE
 from runscope.joins import BROADCAST_BYTES, join_per_key
@@ -15,6 +15,9 @@ from runscope.sources.logs import is_run, line_columns, run_of, text_of
 # Files up to this size are parsed whole, without any shuffle; larger ones are split by line.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
+# Why a cell has no value: the record has another number of cells than the header, it is empty, or no number.
+REASONS = ("cells", "empty", "number")
+
 _INTEGER = r"\A[ \t]*[+-]?[0-9]+[ \t]*\z"
 _NUMBER = r"\A[ \t]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z"
 # A cell that begins with a quote is quoted up to the next single quote, commas and newlines included; a quote
@@ -84,8 +87,8 @@ def _count(cell: Column) -> Column:
     ).when(cell.rlike(_NUMBER), cell.try_cast("double").try_cast("bigint"))
 
 
-def _samples(records: DataFrame, drop: Sequence[str], cycles: str, strict: bool, passed_on: Sequence[str] = ()) -> DataFrame:
-    """``records(run_id, sample_idx, header, line)`` → one row per sample and counter."""
+def _samples(records: DataFrame, drop: Sequence[str], cycles: str, strict: bool, passed_on: Sequence[str] = (), reasons: bool = False) -> DataFrame:
+    """``records(run_id, sample_idx, header, line)`` → one row per sample and counter; ``reasons``: why a cell has no value."""
     split = records.select(
         "run_id", "sample_idx", "header", *passed_on, _cells(F.col("line")).alias("cells")
     )
@@ -99,13 +102,17 @@ def _samples(records: DataFrame, drop: Sequence[str], cycles: str, strict: bool,
             F.lit(", sample "), F.col("sample_idx").cast("string"), F.lit(", "), F.col("counter"),
         )
         value = F.coalesce(value, F.raise_error(complaint).cast("bigint"))
-    return (
+    samples = (
         split.withColumn("cycles", _count(cycle_cell))
         .select("run_id", "sample_idx", "cycles", "cells", "header", *passed_on, F.posexplode_outer("header").alias("i", "counter"))
         .where(F.col("counter").isNotNull() & ~F.col("counter").isin(*drop))
-        .select("run_id", "sample_idx", "cycles", "counter", *passed_on, cell.alias("cell"))
-        .select("run_id", "sample_idx", "cycles", "counter", value.alias("value"), *passed_on)
+        .select("run_id", "sample_idx", "cycles", "counter", *passed_on, cell.alias("cell"), whole.alias("whole"))
+        .select("run_id", "sample_idx", "cycles", "counter", value.alias("value"), *passed_on, *(["cell", "whole"] if reasons else []))
     )
+    if not reasons:
+        return samples
+    why = F.when(~F.col("whole"), REASONS[0]).when(F.trim("cell", F.lit(" \t")) == "", REASONS[1]).otherwise(REASONS[2])
+    return samples.withColumn("reason", F.when(F.col("value").isNull(), why)).drop("whole")
 
 
 def _records_of(text: Column) -> Column:
@@ -214,6 +221,7 @@ def counter_scan(
     drop: Sequence[str] = DROPPED_COLUMNS,
     cycles: str = CYCLES,
     strict: bool = False,
+    reasons: bool = False,
 ) -> DataFrame:
     """``files(run_id, value)`` → ``(run_id, sample_idx, cycles, counter, value)``.
 
@@ -229,7 +237,7 @@ def counter_scan(
         .where(F.col("line").isNotNull())
         .select("run_id", F.col("nth").cast("bigint").alias("sample_idx"), "header", "line")
     )
-    return _samples(records, drop, cycles, strict)
+    return _samples(records, drop, cycles, strict, reasons=reasons)
 
 
 def counter_scan_lines(
@@ -239,6 +247,7 @@ def counter_scan_lines(
     drop: Sequence[str] = DROPPED_COLUMNS,
     cycles: str = CYCLES,
     strict: bool = False,
+    reasons: bool = False,
     passed_on: Sequence[str] = (),
 ) -> DataFrame:
     """The same for files too large for one row: ``lines(path, block, seq, value)``.
@@ -282,7 +291,7 @@ def counter_scan_lines(
         .select("run_id", (F.col("place") + F.col("shift")).alias("sample_idx"), "header", F.col("value").alias("line"), *passed_on)
         .where(F.col("sample_idx") >= 0)
     )
-    return _samples(records, drop, cycles, strict, passed_on)
+    return _samples(records, drop, cycles, strict, passed_on, reasons)
 
 
 def counter_steps_lines(lines: DataFrame, **options) -> DataFrame:
@@ -304,6 +313,19 @@ def counter_steps_lines(lines: DataFrame, **options) -> DataFrame:
     return found.select("run_id", "sample_idx", "cycles", "counter", "value", F.col("known.value").alias("previous"), F.col("known.at").alias("previous_at"))
 
 
+def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Samples parsed with ``reasons`` → samples, rejects ``(run_id, sample_idx, counter, cell, reason)``, and counts.
+
+    Files are parsed once, into the shared folder, and the counts are observed meanwhile: cells in all, and
+    rejects by reason. ``sample_idx`` is the record's number from the first sample.
+    """
+    seen = Observation("counter cells")
+    counts = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    table = written(parsed.observe(seen, F.count("*").alias("all"), *counts), "parsed-counters")
+    rejects = table.where("reason is not null").select("run_id", "sample_idx", "counter", "cell", "reason")
+    return table.drop("cell", "reason"), rejects, {k: v or 0 for k, v in seen.get.items()}
+
+
 def read_counter_samples(
     spark: SparkSession,
     paths: str | Sequence[str],
