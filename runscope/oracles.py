@@ -382,3 +382,5 @@ ORACLES: dict[str, str] = {
     "log_files": f"WITH {_METRICS} SELECT run_id, name, value FROM log_metrics",
     "mpki_report": f"WITH {_METRICS}, {_MPKI} SELECT * FROM mpki",
 }
+
+ORACLES |= {"stored_delta": ORACLES["counter_delta"], "stored_final": ORACLES["counter_final"]}

@@ -16,6 +16,7 @@ from runscope.operators import configs, metrics, runs, series, traces
 from runscope.plans import postrun
 from runscope.session import fresh_path, written
 from runscope.sinks import results as sink
+from runscope.sinks.clustered import with_previous_stored, write_clustered
 from runscope.sinks.snapshots import merge_rows, read_current
 from runscope.sources import counters, files, logs
 
@@ -363,6 +364,17 @@ def counter_delta(spark, d):
     return series.counter_delta(_steps(spark, d)).drop("cycles")
 
 
+def stored_delta(spark, d):
+    """Deltas of samples that were stored by series: nothing but the write shuffles them."""
+    stored = write_clustered(fx.counter_samples(spark, d), fresh_path(spark, "clustered"))
+    return series.counter_delta(series.warmup_drop(with_previous_stored(stored))).drop("cycles")
+
+
+def stored_final(spark, d):
+    stored = write_clustered(_samples(spark, d), fresh_path(spark, "clustered"))
+    return metrics.counter_final(stored)
+
+
 def latest_pointer(spark, d):
     return runs.latest_pointer(fx.run_manifest(spark, d), ("fpga", "benchmark", "runtime"))
 
@@ -498,6 +510,8 @@ QUERIES: dict[str, Query] = {
     "counter_delta": counter_delta,
     "latest_pointer": latest_pointer,
     "latest_merge": latest_merge,
+    "stored_delta": stored_delta,
+    "stored_final": stored_final,
     "latest_pointer_global": latest_pointer_global,
     "config_menu": config_menu,
     "plot_series": plot_series,
