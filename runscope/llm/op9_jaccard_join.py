@@ -384,10 +384,10 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, width: int
     needed = measured(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
     sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, hashes binary")
     sets = written(sets.distinct(), "sets")
-    # each side is looked up by the pairs alone, so that what is shuffled is the sets of pairs
+    # the set of one side travels with the pair to where that of the other is
     x = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    y = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+    both = x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
