@@ -11,7 +11,8 @@ shingle must pass
 * the suffix filter: what comes after it, counted in ``BINS`` hash ranges, differs by no more than allowed;
   and so do the whole sets, counted modulo 2 in ``BITS`` ranges,
 
-and is then verified once on the whole sets. Commonness is counted in a table of fixed size, over all
+is then compared by a sketch that grows with the set, counted modulo 2 as before, and if that leaves it possible
+verified once on the whole sets. Commonness is counted in a table of fixed size, over all
 documents; it decides the order only, so the join is exact whatever its errors.
 
 What is asked for are components, not pairs, so a shingle that thousands share is not expanded
@@ -83,13 +84,30 @@ def _rows_of(table: np.ndarray) -> pa.Array:
     return pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())
 
 
+def _sketches(text: np.ndarray, value: np.ndarray, n: int) -> list[bytes | None]:
+    """For each set its shingles counted modulo 2 in as many hash ranges as it has shingles, or up to twice as many."""
+    size = np.bincount(text, minlength=n)
+    ranges = 1 << np.ceil(np.log2(np.maximum(size, BITS))).astype(np.int64)
+    begin = np.cumsum(ranges) - ranges
+    place = begin[text] + ((value >> np.uint64(4)).astype(np.int64) & (ranges[text] - 1))
+    odd = np.packbits((np.bincount(place, minlength=int(ranges.sum())) & 1).astype(bool)).tobytes()
+    return [odd[b >> 3 : (b + r) >> 3] if k else None for b, r, k in zip(begin.tolist(), ranges.tolist(), size.tolist(), strict=True)]
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only; the finer sketch is folded to the other's ranges."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
 def _profiles(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return lambda batches: _profile_rows(batches, width)
 
 
 def _profile_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row per document (size and digest of its set); then the task's counts of shingles, by segment."""
-    names = ["doc_id", "n_shingles", "digest", "bitmap", "segment", "counts"]
+    names = ["doc_id", "n_shingles", "digest", "bitmap", "sketch", "segment", "counts"]
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for piece in pieces(batches, limit=PIECE_BYTES):
         text, value = shingle_sets(text_column(piece), width)
@@ -103,7 +121,8 @@ def _profile_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.record_batch(
             [
                 piece.column("doc_id"), pa.array(np.diff(cuts)), pa.array(digests, pa.binary()),
-                _rows_of(np.packbits(odd.reshape(-1, BITS), axis=1)), nulls.cast(pa.int32()), nulls.cast(pa.binary()),
+                _rows_of(np.packbits(odd.reshape(-1, BITS), axis=1)), pa.array(_sketches(text, value, piece.num_rows), pa.binary()),
+                nulls.cast(pa.int32()), nulls.cast(pa.binary()),
             ],
             names,
         )
@@ -114,7 +133,7 @@ def _profile_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         nulls = pa.nulls(len(used))
         yield pa.record_batch(
             [
-                nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.binary()), nulls.cast(pa.binary()),
+                nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.binary()), nulls.cast(pa.binary()), nulls.cast(pa.binary()),
                 pa.array(used.astype(np.int32)),
                 pa.array([press.compress(parts[s].tobytes()) for s in used], pa.binary()),
             ],
@@ -379,11 +398,39 @@ def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """Those of ``pairs(a, b)`` of ids whose whole sets are similar enough."""
+def _close(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            allowed = (n + m - 2 * _least_overlap(n, m, percent)).tolist()
+            apart = map(sketch_distance, batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            near = batch.filter(pa.array([d <= most for d, most in zip(apart, allowed, strict=True)], pa.bool_()))
+            yield pa.record_batch([near.column("a"), near.column("b")], ["a", "b"])
+
+    return run
+
+
+def close_pairs(profiles: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``pairs(a, b)`` without those that sketches, a hundredth of the sets, show to be too far apart."""
+    needed = measured(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "sketched")
+    known = profiles.where("segment is null and digest is not null").join(needed, "doc_id", "left_semi")
+    known = written(known.select("doc_id", F.col("n_shingles").alias("n"), "sketch").distinct(), "sketches")
+    x = pairs.select("a", "b").join(known.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x")), "a")
+    both = x.join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(_close(percent), "a long, b long").distinct()
+
+
+def verify(docs: DataFrame, pairs: DataFrame, repeated: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """Those of ``pairs(a, b)`` of ids whose whole sets are similar enough; ``repeated(doc_id)``: ids of several rows."""
     needed = measured(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, hashes binary")
-    sets = written(sets.distinct(), "sets")
+    docs = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(_sets(width), "node long, hashes binary")
+
+    # only rows of an id that has several can be the same; the others' sets stay where they are
+    several = sets_of(docs.join(repeated, "doc_id", "left_semi")).distinct()
+    sets = written(sets_of(docs.join(repeated, "doc_id", "left_anti")).unionByName(several), "sets")
     # the set of one side travels with the pair to where that of the other is
     x = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -402,7 +449,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     profiles = written(
-        docs.mapInArrow(_profiles(width), "doc_id long, n_shingles long, digest binary, bitmap binary, segment int, counts binary"), "profiles"
+        docs.mapInArrow(_profiles(width), "doc_id long, n_shingles long, digest binary, bitmap binary, sketch binary, segment int, counts binary"), "profiles"
     )
     counts = spark.sparkContext.broadcast(_commonness(profiles))  # 4 MB, whatever the corpus
     rows = profiles.where("segment is null").select("doc_id", "n_shingles", "digest")
@@ -420,8 +467,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     bitmaps = profiles.where("segment is null and doc_id is not null").select(F.col("doc_id").alias("node"), "bitmap").distinct()
     postings = written(written(postings, "shared").join(bitmaps, "node").select(*POSTING, "bitmap"), "postings")
     # texts of one id are one document, which may be the smallest of neither of its classes
-    several = named.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
-    several = measured(several.select("doc_id"), "several-texts")
+    several = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    repeated = measured(several.where("n > 1").select("doc_id", F.expr("least <> most").alias("differ")), "repeated-ids")
+    several = repeated.where("differ").select("doc_id")
+    repeated = repeated.select("doc_id")
     same = named.join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "node")
     first = same.groupBy("doc_id").agg(F.min("node").alias("a"))
     links = written(same.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links")
@@ -449,7 +498,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verify(docs, pairs, percent, width), "links")
+        close = measured(close_pairs(profiles, pairs, percent), "close")
+        new = written(verify(docs, close, repeated, percent, width), "links")
         links = links.unionByName(new)
         labels = _labels(links)
     # an empty text of an id that has others, too

@@ -181,3 +181,15 @@ def test_shingle_sets_are_distinct_and_ordered():
     text, value = op9.shingle_sets(pa.array(["a b c a b c", "A B c", "", "one", "one two"], pa.large_string()))
     assert text.tolist() == [0, 0, 0, 1, 3, 4]
     assert value[3] in value[:3]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 3000), st.integers(1, 3000), st.integers(0, 3000), st.integers(0, 99))
+def test_sketches_never_say_more_than_differs(n, m, common, seed):
+    rng = np.random.default_rng(seed)
+    common = min(common, n, m)
+    pool = np.unique(rng.integers(0, 2**63, n + m, np.uint64))[: n + m - common]
+    x, y = pool[:n], pool[len(pool) - m :] if len(pool) >= m else pool
+    a, b = (op9._sketches(np.zeros(len(s), np.int64), s, 1)[0] for s in (x, y))
+    assert op9.sketch_distance(a, b) == op9.sketch_distance(b, a) <= len(np.setxor1d(x, y))
+    assert op9.sketch_distance(a, a) == 0 and len(a) * 8 >= len(x)
