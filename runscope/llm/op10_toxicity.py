@@ -2,8 +2,9 @@
 
 Features are the presence of hashed words and of hashed byte 4-grams within words. The loss is the
 log loss on labelled documents, plus an L2 penalty, plus for every document that names a group
-(see ``SWAPS``) the squared change of its logit when the term is swapped for another of the same
-kind: so naming a group can't make a neutral text look toxic.
+(see ``SWAPS``) the squared change of its logit when the term is swapped, all through the text, for another
+of the same kind. A document that names none is compared with itself plus a term. So naming a group can't
+make a neutral text look toxic, also where a term shares 4-grams with an insult.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` of each label, the smallest by
 hash). Every text is scored whole. Null texts count as empty; the score of a text without
@@ -13,7 +14,9 @@ labels of a document count as toxic if one is. Repeated rows give repeated resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,12 @@ from runscope.llm.op2_language import fold
 #: Labelled documents of each label that the model is fitted on, at most.
 SAMPLE = 3000
 #: Buckets of features, as a power of two. Those count whose share differs between the labels by so
-#: many standard errors, the clearest first, and no more than so many.
-BITS, MIN_ERRORS, MAX_FEATURES = 18, 4.0, 2000
+#: many standard errors.
+BITS, MIN_ERRORS = 18, 4.0
 L2, SWAP_PENALTY, STEPS, RATE = 1e-4, 1.0, 800, 0.05
 THRESHOLD = 0.7
 PIECE_BYTES = 2 << 20
+NOTHING = np.zeros(0, np.int64)
 #: Terms that name a group, by kind; within a kind any may stand for any other.
 SWAPS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -63,24 +67,41 @@ def features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def named_terms(texts: Sequence[str], swaps: Sequence[Sequence[str]] = SWAPS) -> list[tuple[int, int]]:
-    """``(kind, term)`` for each text and each term in it."""
-    where = {term: (kind, i) for kind, terms in enumerate(swaps) for i, term in enumerate(terms)}
-    return [where[w] for text in texts for w in set(text.lower().split()) & where.keys()]
+@cache
+def term_buckets(swaps: tuple[tuple[str, ...], ...]) -> dict[bytes, np.ndarray]:
+    return {term.encode(): features([term])[1] for terms in swaps for term in terms}
 
 
-def swaps_of(named: Sequence[tuple[int, int]], swaps: Sequence[Sequence[str]] = SWAPS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """How often a swap happens, the buckets it takes away, and those that it adds."""
-    buckets = [[features([term])[1] for term in terms] for terms in swaps]
-    times: dict[tuple[int, int], int] = {}
-    for term in named:
-        times[term] = times.get(term, 0) + 1
-    return [
-        (n, buckets[kind][a], buckets[kind][b])
-        for (kind, a), n in sorted(times.items())
-        for b in range(len(buckets[kind]))
-        if b != a
-    ]
+def counterfactuals(
+    texts: Sequence[str], swaps: tuple[tuple[str, ...], ...] = SWAPS
+) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each text its swaps: the buckets that the text as a whole loses, and those that it gains.
+
+    Every term in the text is swapped for each other of its kind, wherever it stands. A text without any
+    term gets one, which its bytes choose.
+    """
+    buckets = term_buckets(swaps)
+    kind = {term.encode(): [other.encode() for other in terms] for terms in swaps for term in terms}
+    data, offsets = letters(list(texts))
+    raw, out = data.tobytes(), []
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        words = raw[a:b].split()
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        for term in sorted(kind.keys() & set(words)):
+            rest = features([b" ".join(w for w in words if w != term).decode()])[1]
+            gone = np.setdiff1d(buckets[term], rest)
+            own += [(gone, np.setdiff1d(buckets[other], rest)) for other in kind[term] if other != term]
+        if not own and buckets:
+            term = list(buckets)[xxhash.xxh3_64_intdigest(raw[a:b]) % len(buckets)]
+            own.append((NOTHING, np.setdiff1d(buckets[term], features([raw[a:b].decode()])[1])))
+        out.append(own)
+    return out
+
+
+def pooled(swaps: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Different swaps, and how often each happens."""
+    times = Counter((gone.astype("<i8").tobytes(), new.astype("<i8").tobytes()) for gone, new in swaps)
+    return [(n, np.frombuffer(gone, "<i8"), np.frombuffer(new, "<i8")) for (gone, new), n in sorted(times.items())]
 
 
 def telling(x_text: np.ndarray, x_bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -91,8 +112,7 @@ def telling(x_text: np.ndarray, x_bucket: np.ndarray, label: np.ndarray) -> np.n
     b = np.bincount(x_bucket[~toxic], minlength=1 << BITS)
     share = (a + b + 1) / (n + m + 2)
     errors = np.abs(a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    clear = np.flatnonzero(errors >= MIN_ERRORS)
-    return np.sort(clear[np.argsort(-errors[clear], kind="stable")[:MAX_FEATURES]])
+    return np.flatnonzero(errors >= MIN_ERRORS)
 
 
 def train(
@@ -101,7 +121,8 @@ def train(
 ) -> tuple[np.ndarray, float]:
     """Weights per bucket and intercept, by Adam from zero (with its usual constants).
 
-    Both labels weigh the same, whatever their share. ``swap_penalty`` is per document and swap.
+    Both labels weigh the same, whatever their share. ``swap_penalty`` is per document and swap, of
+    ``swaps(times, buckets lost, buckets gained)``.
     """
     size = 1 << BITS
     used = telling(x_text, x_bucket, label)
@@ -110,7 +131,15 @@ def train(
     keep = place[x_bucket] < len(used)
     text, col = x_text[keep], place[x_bucket[keep]]
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
-    pairs = [(n / max(1, len(label)), place[before], place[after]) for n, before, after in swaps]
+    # a swap is a row of signed buckets, of which only those with a weight matter
+    share = np.array([n for n, _, _ in swaps], float) / max(1, len(label))
+    parts = [p for _, gone, new in swaps for p in (gone, new)]
+    size_of = [len(p) for p in parts]
+    changed = place[np.concatenate([NOTHING, *parts])]
+    swap = np.repeat(np.arange(len(parts)) // 2, size_of)
+    sign = np.repeat(np.tile([-1.0, 1.0], len(swaps)), size_of)
+    known = changed < len(used)
+    changed, swap, sign = changed[known], swap[known], sign[known]
     w = np.zeros(len(used) + 2)  # the last is the intercept
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
@@ -119,10 +148,8 @@ def train(
         g = np.zeros_like(w)
         g[:-2] = np.bincount(col, weights=error[text], minlength=len(used)) + l2 * w[:-2]
         g[-1] = error.sum()
-        for share, before, after in pairs:
-            push = 2 * swap_penalty * share * (w[after].sum() - w[before].sum())
-            np.add.at(g, after, push)
-            np.add.at(g, before, -push)
+        push = 2 * swap_penalty * share * np.bincount(swap, weights=sign * w[changed], minlength=len(swaps))
+        g += np.bincount(changed, weights=sign * push[swap], minlength=len(g))
         g[-2] = 0
         mean = 0.9 * mean + 0.1 * g
         square = 0.999 * square + 0.001 * g * g
@@ -138,19 +165,23 @@ def score_texts(texts: Sequence[str], weights: np.ndarray, intercept: float) ->
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+_SWAPS = pa.list_(pa.struct([("gone", pa.list_(pa.int64())), ("new", pa.list_(pa.int64()))]))
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, limit=PIECE_BYTES):
         texts = [t or "" for t in piece.column("text").to_pylist()]
         text, bucket = features(texts)
         cuts = np.searchsorted(text, np.arange(len(texts) + 1))
         data = bucket.astype("<i4").tobytes()
-        terms = [",".join(f"{k}:{i}" for k, i in sorted(named_terms([t]))) for t in texts]
+        swaps = [[{"gone": gone.tolist(), "new": new.tolist()} for gone, new in own] for own in counterfactuals(texts)]
         yield pa.record_batch(
             [
                 piece.column("doc_id"), piece.column("toxic"),
-                pa.array([data[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array(terms),
+                pa.array([data[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                pa.array(swaps, _SWAPS),
             ],
-            ["doc_id", "toxic", "buckets", "terms"],
+            ["doc_id", "toxic", "buckets", "swaps"],
         )
 
 
@@ -165,11 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     # each task keeps its smallest by hash of each label
     first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = first[0].unionByName(first[1])
-    # at most 2 * sample rows, of which each holds the features of one document
+    # at most 2 * sample rows, of which each holds the features of one document and of its swaps
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .mapInArrow(_feature_rows, "doc_id long, toxic int, buckets binary, terms string")
+        .mapInArrow(_feature_rows, "doc_id long, toxic int, buckets binary, swaps array<struct<gone: array<long>, new: array<long>>>")
         .collect()
     )
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["buckets"]))
@@ -178,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         return None
     x = [np.frombuffer(r["buckets"], "<i4") for r in rows]
     text = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    named = [tuple(map(int, t.split(":"))) for r in rows for t in r["terms"].split(",") if t]
-    return train(text, np.concatenate(x).astype(np.int64), label, swaps_of(named))
+    swaps = pooled((np.array(s["gone"], np.int64), np.array(s["new"], np.int64)) for r in rows for s in r["swaps"])
+    return train(text, np.concatenate(x).astype(np.int64), label, swaps)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -120,10 +120,47 @@ def identity_sample():
     return texts, np.array(labels)
 
 
+def every_swap(texts):
+    return op10.pooled(swap for own in op10.counterfactuals(texts) for swap in own)
+
+
+def test_swaps_are_those_of_the_whole_text():
+    """The buckets lost and gained are the difference of the features of both texts."""
+    texts = ["The women, men's women-only lunch", "(Atheists) pathetic", "no group here", "", "Women omen", "muslim muslims"]
+    kinds = {t: terms for terms in op10.SWAPS for t in terms}
+    for text, swaps in zip(texts, op10.counterfactuals(texts), strict=True):
+        plain = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        want = [
+            [other if w == term else w for w in plain]
+            for term in sorted(set(plain) & kinds.keys()) for other in kinds[term] if other != term
+        ]
+        before = set(op10.features([text])[1].tolist())
+        after = [(before - set(gone.tolist())) | set(new.tolist()) for gone, new in swaps]
+        assert all(set(gone.tolist()) <= before and not set(new.tolist()) & (before - set(gone.tolist())) for gone, new in swaps)
+        if want:
+            assert after == [set(op10.features([" ".join(w)])[1].tolist()) for w in want]
+        else:
+            assert after in [[set(op10.features([f"{text} {term}"])[1].tolist())] for term in kinds]
+
+
+def test_the_penalty_counts_on_the_given_tables(spark, monkeypatch):
+    """Terms that share 4-grams with insults hardly move the score of a clean text."""
+    docs, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
+    learn = op10.learnable(docs)
+    fair = op10.fit(learn, labels)
+    kept = op10.train
+    monkeypatch.setattr(op10, "train", lambda x, b, y, swaps: kept(x, b, y, swaps, swap_penalty=0.0))
+    plain = op10.fit(learn, labels)
+    terms = [t for kind in op10.SWAPS for t in kind]
+    change = [np.abs([m[0][op10.features([t])[1]].sum() for t in terms]).max() for m in (plain, fair)]
+    assert change[1] < change[0] / 2
+    assert (op10.score_texts([f"the {t} of the village" for t in terms], *fair) < op10.THRESHOLD).all()
+
+
 def test_swapping_a_group_hardly_changes_a_score():
     texts, label = identity_sample()
     x = op10.features(texts)
-    swaps = op10.swaps_of(op10.named_terms(texts))
+    swaps = every_swap(texts)
     probes = ["people went home muslim", "people went home christian"]
     plain = op10.score_texts(probes, *op10.train(*x, label, []))
     fair = op10.score_texts(probes, *op10.train(*x, label, swaps, swap_penalty=20.0))
@@ -135,7 +172,7 @@ def test_swapping_a_group_hardly_changes_a_score():
 
 def test_the_shipped_penalty_lowers_false_positives_on_groups():
     texts, label = identity_sample()
-    x, swaps = op10.features(texts), op10.swaps_of(op10.named_terms(texts))
+    x, swaps = op10.features(texts), every_swap(texts)
     probes = [f"{w} muslim" for w in ("rain fell", "went home", "green hills", "after lunch")]
     plain = op10.score_texts(probes, *op10.train(*x, label, []))
     fair = op10.score_texts(probes, *op10.train(*x, label, swaps))
