@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runscope.joins import join_per_key
 from runscope.llm.common import pieces
+from runscope.llm.tables import written
 from runscope.session import fresh_path
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -36,6 +37,8 @@ RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 MIN_REVISIT_BYTES = 1000
 #: An archive is closed beyond so many bytes of records. A range read covers neighbours up to so many.
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: Compressed records that a reading task gets, about.
+TASK_BYTES = 16 << 20
 #: Keepers of repeated payloads are broadcast up to this size, else joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -206,9 +209,12 @@ def index_of(archives: DataFrame) -> DataFrame:
 
 def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of ``archives(path)``, read by range; neighbours in an archive share a read."""
-    # ranges of about READ_BYTES go to any task, in order within it
+    # ranges of about READ_BYTES go to any task, in order within it; the index says little of how much there is
+    # to read, so its own size must not decide the number of tasks
+    index = written(index_of(archives), "record-index")
+    total = index.agg(F.sum("length")).first()[0] or 0
     stretch = F.floor(F.col("offset") / READ_BYTES)
-    ranges = index_of(archives).repartition("path", stretch).sortWithinPartitions("path", "offset")
+    ranges = index.repartition(max(1, -(-total // TASK_BYTES)), "path", stretch).sortWithinPartitions("path", "offset")
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] if with_payload else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

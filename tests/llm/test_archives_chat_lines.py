@@ -73,6 +73,19 @@ def test_many_archives_and_no_pages(spark, monkeypatch):
     assert {r.page_id for r in op1.read_records(archives).collect()} == set(range(20))
 
 
+def test_reading_tasks_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op1, "TASK_BYTES", 2000)
+    monkeypatch.setattr(op1, "READ_BYTES", 500)
+    rng = random.Random(3)
+    frame = pages(spark, [row(i, "u", "".join(rng.choices("abcdefgh", k=400))) for i in range(60)])
+    archives = op1.write_archives(frame, fresh_path(spark, "warc"))
+    total = op1.index_of(archives).agg({"length": "sum"}).first()[0]
+    records = op1.read_records(archives)
+    assert records.rdd.getNumPartitions() == -(-total // 2000) > 8
+    tasks = {r.at for r in records.selectExpr("spark_partition_id() at").collect()}
+    assert len(tasks) > 4 and records.count() == 60
+
+
 def in_memory(data: bytes):
     return pa.BufferReader(data)
 
