@@ -4,12 +4,14 @@ A seed is a window of ``SPAN`` words of which a mask selects some; the others ma
 few substituted words don't hide a passage. The hashes of all windows of all documents, under each mask, are
 joined with those of the benchmark. Hits of a document and an item with the same distance between their
 places lie on one diagonal. On each, the two texts are compared once, word by word, as far as both
-reach: a match counts ``MATCH``, a substitution ``-MISS``, and the best run of words must reach ``MIN_SCORE``.
+reach: a match counts ``MATCH``, a substitution ``-MISS``, and the best run of words must reach ``MIN_SCORE``,
+or ``ITEM_PERCENT`` percent of what the whole item would score. Items with fewer than ``SPAN`` words have one
+seed of all their words, so they are found where a document holds them word by word.
 
 Words are runs of letters and digits, lower-cased. All of it is built-in functions on rows of
 ``documents``: windows are numbered by a sequence, hashes are picked from the document's array of
-word hashes, and only verified hits are shuffled. Nulls count as empty. Texts and items with fewer than ``SPAN`` words
-have no seed and give no row, nor do documents or items without an id. Repeated rows give the
+word hashes, and only verified hits are shuffled. Nulls count as empty. Texts and items without a word
+give no row, nor do documents or items without an id. Repeated rows give the
 same pairs once.
 """
 
@@ -25,25 +27,54 @@ from runscope.llm.tables import measured, without
 SPAN = 12
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 7, 9, 10, 11), (0, 1, 3, 4, 6, 8, 10, 11), (0, 2, 3, 5, 6, 7, 9, 11))
 MATCH, MISS, MIN_SCORE = 2, 3, 24
+#: Share, in percent, of the score of a whole item that is enough where that is below MIN_SCORE.
+ITEM_PERCENT = 80
 
 
 def word_hashes(text: str) -> Column:
     """64-bit hashes of the words of a column, in order."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    words = F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(hashes: Column, at: Column, mask: Sequence[int], number: int) -> Column:
-    return F.xxhash64(F.lit(number), *[F.get(hashes, at + k) for k in mask])
+def _hashed(texts: DataFrame) -> DataFrame:
+    """``texts(doc_id, text)`` → ``(doc_id, words, row)``."""
+    return texts.select("doc_id", word_hashes("text").alias("words")).withColumn("row", F.xxhash64("words"))
 
 
-def seeds(texts: DataFrame, masks: Sequence[Sequence[int]] = MASKS, span: int = SPAN) -> DataFrame:
-    """``texts(…, words)`` → a row per window and mask, with ``at`` and ``seed`` added."""
-    windows = texts.where(F.size("words") >= span).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.size("words") - span))
+#: A seed's shape: how many words it spans, and which of them count.
+Shape = tuple[int, tuple[int, ...]]
+
+
+def shapes(items: DataFrame, masks: Sequence[Sequence[int]] = MASKS, span: int = SPAN) -> list[Shape]:
+    """The masks, and one shape of all words for each length below ``span`` that an item has."""
+    short = items.where(F.size("words") < span).select(F.size("words").alias("n")).distinct().orderBy("n").collect()  # below span rows
+    return [(span, tuple(mask)) for mask in masks] + [(r["n"], tuple(range(r["n"]))) for r in short]
+
+
+def _seed(hashes: Column, at: Column, shape: Shape) -> Column:
+    words = [F.get(hashes, at + k) for k in shape[1]]
+    return F.when(at + shape[0] <= F.size(hashes), F.xxhash64(F.lit(",".join(map(str, shape))), *words))
+
+
+def seeds(texts: DataFrame, every: Sequence[Shape], own: bool = False) -> DataFrame:
+    """``texts(…, words)`` → a row per window and shape, with ``at`` and ``seed`` added.
+
+    With ``own``, texts shorter than the masks have one seed only, that of all their words.
+    """
+    least, widest = min(n for n, _ in every), max(n for n, _ in every)
+    windows = texts.where(F.size("words") >= least).withColumn(
+        "at", F.explode(F.sequence(F.lit(0), F.size("words") - least))
     )
-    every = F.array(*[_seed(F.col("words"), F.col("at"), mask, i) for i, mask in enumerate(masks)])
-    return windows.withColumn("seed", F.explode(every))
+    size = F.size("words")
+    of_shape = [
+        F.when((size == n) if n < widest else (size >= n), _seed(F.col("words"), F.col("at"), (n, mask)))
+        if own
+        else _seed(F.col("words"), F.col("at"), (n, mask))
+        for n, mask in every
+    ]
+    return windows.withColumn("seed", F.explode(F.array_compact(F.array(*of_shape))))
 
 
 def _best_run(words: Column, item_words: Column, diagonal: Column) -> Column:
@@ -86,25 +117,32 @@ def overlaps(
     are small when written, else joined by shuffle.
     """
     items = measured(
-        benchmark.where("item_id is not null").select("item_id", word_hashes("text").alias("words")).distinct(), "items"
+        benchmark.where("item_id is not null")
+        .select("item_id", word_hashes("text").alias("words"))
+        .where(F.size("words") > 0)
+        .distinct(),
+        "items",
     )
+    every = shapes(items, masks, span)
     items = items.withColumn("item_row", F.xxhash64("words"))
-    known = measured(seeds(items, masks, span).select("seed", "item_id", "item_row", F.col("at").alias("item_at")).distinct(), "seeds")
+    known = measured(seeds(items, every, own=True).select("seed", "item_id", "item_row", F.col("at").alias("item_at")).distinct(), "seeds")
     item_words = items.select("item_id", "item_row", F.col("words").alias("item_words"))
     # repeated seeds and masks that hit the same diagonal of a row are one comparison
-    texts = docs.where("doc_id is not null").select("doc_id", word_hashes("text").alias("words"))
-    texts = texts.withColumn("row", F.xxhash64("words"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
     hits = (
-        seeds(texts, masks, span)
+        seeds(_hashed(texts), every)
         .join(known, "seed")
         .select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("diagonal"))
         .distinct()
     )
     hits = measured(hits, "diagonals")
-    best = texts.join(hits, ["doc_id", "row"]).join(item_words, ["item_id", "item_row"]).select(
-        "doc_id", "item_id", _best_run(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("run")
+    # words are worked out again of documents with a hit only
+    again = _hashed(texts.join(hits.select("doc_id"), "doc_id", "left_semi"))
+    best = again.join(hits, ["doc_id", "row"]).join(item_words, ["item_id", "item_row"]).select(
+        "doc_id", "item_id", F.size("item_words").alias("n"), _best_run(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("run")
     )
-    found = best.select("doc_id", "item_id", "run.*").where(F.col("score") >= min_score)
+    enough = (F.col("score") >= min_score) | (F.col("score") * 100 >= F.col("n") * MATCH * ITEM_PERCENT)
+    found = best.select("doc_id", "item_id", "n", "run.*").where(enough)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.min("begin").alias("begin"), F.max("end").alias("end")
     )

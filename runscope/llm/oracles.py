@@ -37,9 +37,13 @@ dw AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 12)) AS i FROM d WHE
 bw AS (SELECT item_id, w AS bw, unnest(generate_series(0, len(w) - 12)) AS j FROM b WHERE len(w) >= 12),
 ds AS (SELECT dw.*, mask, list_transform(ks, lambda k: w[i + k + 1]) AS seed FROM dw, m),
 bs AS (SELECT bw.*, mask, list_transform(ks, lambda k: bw[j + k + 1]) AS seed FROM bw, m),
-hits AS (SELECT DISTINCT doc_id, item_id, i - j AS diagonal, w, bw FROM ds JOIN bs USING (mask, seed)),
+short AS (SELECT item_id, w AS bw, len(w) AS n FROM b WHERE len(w) < 12 AND w[1] <> ''),
+sw AS (SELECT doc_id, w, n, unnest(generate_series(0, len(w) - n)) AS i FROM d, (SELECT DISTINCT n FROM short) WHERE len(w) >= n),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, i - j AS diagonal, w, bw FROM ds JOIN bs USING (mask, seed)
+  UNION SELECT doc_id, item_id, i, w, bw FROM sw JOIN short ON sw.n = short.n AND w[i + 1:i + sw.n] = bw),
 cells AS (
-  SELECT doc_id, item_id, diagonal, w, pos, CASE WHEN w[pos + diagonal + 1] = bw[pos + 1] THEN 2 ELSE -3 END AS s
+  SELECT doc_id, item_id, diagonal, w, len(bw) AS n, pos, CASE WHEN w[pos + diagonal + 1] = bw[pos + 1] THEN 2 ELSE -3 END AS s
   FROM (SELECT *, unnest(generate_series(greatest(0, -diagonal), least(len(bw), len(w) - diagonal) - 1)) AS pos FROM hits)),
 sums AS (
   SELECT *, sum(s) OVER (PARTITION BY doc_id, item_id, diagonal, w ORDER BY pos) AS upto FROM cells),
@@ -47,7 +51,7 @@ best AS (
   SELECT *, upto - least(0, min(upto) OVER (PARTITION BY doc_id, item_id, diagonal, w ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS score FROM sums)
 SELECT doc_id, item_id, CAST(max(coalesce(score, s)) AS INTEGER) AS score
-FROM best GROUP BY doc_id, item_id HAVING max(coalesce(score, s)) >= 24
+FROM best WHERE coalesce(score, s) >= 24 OR coalesce(score, s) * 100 >= n * 2 * 80 GROUP BY doc_id, item_id
 """
 
 #: Leaves with a template of their own, then templates on lines of 20 documents or more.

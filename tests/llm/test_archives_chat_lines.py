@@ -221,15 +221,42 @@ def test_overlaps_survive_substitutions(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, words string")
     bench = spark.createDataFrame([(70, " ".join(item)), (71, None), (72, "w1 w2 w3"), (None, "x"), (70, " ".join(item))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in op4.overlaps(frame, bench).collect()}
-    assert set(got) == {(d, 70) for d in (1, 2, 3, 9)}
+    assert set(got) == {*((d, 70) for d in (1, 2, 3, 9)), *((d, 72) for d in (1, 2, 4, 9))}
     assert got[1, 70].score == 80 and (got[1, 70].begin, got[1, 70].end) == (30, 70)
     assert got[2, 70].score == 2 * 36 - 3 * 4
     kept = op4.decontaminate(frame, bench)
     assert kept.columns == frame.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [4, 5, 6, 7, 8, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [5, 6, 7, 8, None]
     assert op4.overlaps(frame.limit(0), bench).collect() == [] and op4.overlaps(frame, bench.limit(0)).collect() == []
 
 
+def test_short_items_are_found(spark):
+    """Below 12 words whole, from 12 on with words changed; equal to the SQL."""
+    from runscope.llm.oracles import ORACLES
+
+    words = [f"w{i}" for i in range(40)]
+    bench = [(1, " ".join(words[:11])), (2, " ".join(words[:13])), (3, "w30"), (4, ""), (5, None), (6, "w20 w21"), (7, ",.;"), (8, "w20 w21")]
+    docs = [
+        (1, " ".join(["a", *words[:11], "b"])), (2, " ".join(["a", *words[:5], "x", *words[6:13], "b"])),
+        (3, " ".join(["a", *words[:5], "x", *words[6:11], "b"])), (4, "W30"), (5, "w20, w21"), (6, ""), (7, None),
+        (8, "w21 w20"), (9, "w20 w20 w21 w20 w21"), (10, "w3"), (11, " ".join(words)), (12, " ".join(words[1:12])),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in op4.overlaps(frame, items).collect()}
+    assert got == {
+        (1, 1, 22), (2, 2, 21), (4, 3, 2), (5, 6, 4), (5, 8, 4), (9, 6, 4), (9, 8, 4),
+        *((11, i, s) for i, s in ((1, 22), (2, 26), (3, 2), (6, 4), (8, 4))),
+    }
+    import duckdb
+
+    own = duckdb.connect()
+    for name, data, key in (("documents", docs, "doc_id"), ("benchmark", bench, "item_id")):
+        own.execute(f"create table {name} ({key} bigint, text varchar)")
+        own.executemany(f"insert into {name} values (?, ?)", data)
+    assert set(own.execute(ORACLES["op4_decontamination"]).fetchall()) == got
+
+
 def test_the_plan_without_broadcast_gives_the_same(spark, monkeypatch):
     import runscope.llm.tables as tables
 
