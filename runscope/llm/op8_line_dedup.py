@@ -2,8 +2,8 @@
 
 A line's tokens (split at white space) are masked where they hold a digit. The tree has a fixed
 depth: a leaf is the token count and the first ``DEPTH`` tokens. In a leaf, the token that most
-lines have at a place stands in the leaf's template if at least half of the lines have it; else the place is a
-variable field. A line follows its leaf's template if it agrees with it in at least ``SIMILAR``
+different lines have at a place stands in the leaf's template if at least half of them have it; else the place is a
+variable field. Copies of a line count once there, so that one that is copied often hides no family of others. A line follows its leaf's template if it agrees with it in at least ``SIMILAR``
 percent of the tokens; else its own masked tokens are its template. A template on
 lines of ``MIN_DOCS`` or more documents recurs: all its lines are dropped but the first, that of the
 smallest document, so that what it says is not lost. A line of ``LONG_WORDS`` tokens or more can't be
@@ -67,19 +67,19 @@ def leaf_templates(lines: DataFrame, tokens_of: DataFrame, min_docs: int) -> Dat
     # only leaves of several different lines and enough documents can have a template of their own
     weight = written(lines.groupBy("leaf", "line").agg(F.count("*").alias("weight")), "line-weights")
     leaves = weight.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
-    leaves = measured(leaves.where((F.col("n") > 1) & (F.col("total") >= min_docs)).select("leaf", "total"), "leaves")
+    leaves = measured(leaves.where((F.col("n") > 1) & (F.col("total") >= min_docs)).select("leaf", F.col("n").alias("kinds")), "leaves")
     tokens = (
         tokens_of.join(leaves.select("leaf"), "leaf", "left_semi")
         .groupBy("line", "leaf")
         .agg(F.first("tokens").alias("tokens"))
     )
-    tokens = written(tokens.join(weight, ["leaf", "line"]), "leaf-lines")
-    places = tokens.select("leaf", "line", "weight", F.posexplode("tokens").alias("place", "token"))
-    counted = places.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("n"))
+    tokens = written(tokens, "leaf-lines")
+    places = tokens.select("leaf", "line", F.posexplode("tokens").alias("place", "token"))
+    counted = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     top = counted.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"))
     constant = (
         top.join(leaves, "leaf")
-        .where((F.col("top.n") * 2 >= F.col("total")) & (F.col("top.token") != VARIABLE))
+        .where((F.col("top.n") * 2 >= F.col("kinds")) & (F.col("top.token") != VARIABLE))
         .select("leaf", "place", F.col("top.token").alias("token"))
     )
     agreeing = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"))

@@ -65,11 +65,11 @@ t AS (
 line AS (
   SELECT *, {'n': len(tokens), 'first': tokens[1:3]} AS leaf FROM t WHERE tokens[1] <> ''),
 kinds AS (SELECT leaf, tokens, count(*) AS weight FROM line GROUP BY leaf, tokens),
-leaves AS (SELECT leaf, sum(weight) AS total FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(weight) >= 20),
+leaves AS (SELECT leaf, count(*) AS total FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(weight) >= 20),
 places AS (
-  SELECT k.leaf, k.tokens, weight, total, unnest(k.tokens) AS token, generate_subscripts(k.tokens, 1) AS place
+  SELECT k.leaf, k.tokens, total, unnest(k.tokens) AS token, generate_subscripts(k.tokens, 1) AS place
   FROM kinds k JOIN leaves USING (leaf)),
-counted AS (SELECT leaf, place, token, any_value(total) AS total, sum(weight) AS n FROM places GROUP BY leaf, place, token),
+counted AS (SELECT leaf, place, token, any_value(total) AS total, count(*) AS n FROM places GROUP BY leaf, place, token),
 constant AS (
   SELECT leaf, place, token FROM counted
   QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1 AND n * 2 >= total AND token <> '<*>'),

@@ -194,6 +194,13 @@ def test_lines_of_recurring_templates_go_but_the_first(spark):
     assert op8.line_report(frame.limit(0)).collect() == []
 
 
+def test_copies_of_another_line_hide_no_family(spark):
+    family = [(i, f"posted in the main forum by user {chr(97 + i % 26) * (1 + i // 26)} today") for i in range(60)]
+    copies = [(100 + i, "posted in the middle of nowhere last night again") for i in range(200)]
+    got = {r.doc_id: r.n_dropped for r in op8.line_report(spark.createDataFrame(family + copies, "doc_id long, text string"), long_words=None).collect()}
+    assert sum(got[d] for d, _ in family) == 59 and sum(got[d] for d, _ in copies) == 199
+
+
 def test_unlike_lines_of_one_leaf_stay(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
