@@ -32,10 +32,9 @@ ITEM_PERCENT = 80
 
 
 def word_hashes(text: str) -> Column:
-    """64-bit hashes of the words of a column, in order."""
+    """64-bit hashes of the words of a column, in order; that of the empty string alone if there is no word."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    words = F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
@@ -54,27 +53,29 @@ def shapes(items: DataFrame, masks: Sequence[Sequence[int]] = MASKS, span: int =
 
 
 def _seed(hashes: Column, at: Column, shape: Shape) -> Column:
-    words = [F.get(hashes, at + k) for k in shape[1]]
-    return F.when(at + shape[0] <= F.size(hashes), F.xxhash64(F.lit(",".join(map(str, shape))), *words))
+    return F.xxhash64(F.lit(",".join(map(str, shape))), *[F.get(hashes, at + k) for k in shape[1]])
 
 
-def seeds(texts: DataFrame, every: Sequence[Shape], own: bool = False) -> DataFrame:
-    """``texts(…, words)`` → a row per window and shape, with ``at`` and ``seed`` added.
-
-    With ``own``, texts shorter than the masks have one seed only, that of all their words.
-    """
-    least, widest = min(n for n, _ in every), max(n for n, _ in every)
-    windows = texts.where(F.size("words") >= least).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.size("words") - least))
-    )
-    size = F.size("words")
+def seeds(texts: DataFrame, every: Sequence[Shape]) -> DataFrame:
+    """``texts(…, words)`` → a row per window and shape, with ``at`` and ``seed`` added; null where it doesn't fit."""
+    least, size = min(n for n, _ in every), F.size("words")
+    windows = texts.where(size >= least).withColumn("at", F.explode(F.sequence(F.lit(0), size - least)))
+    at = F.col("at")
     of_shape = [
-        F.when((size == n) if n < widest else (size >= n), _seed(F.col("words"), F.col("at"), (n, mask)))
-        if own
-        else _seed(F.col("words"), F.col("at"), (n, mask))
-        for n, mask in every
+        _seed(F.col("words"), at, shape) if shape[0] == least else F.when(at + shape[0] <= size, _seed(F.col("words"), at, shape))
+        for shape in every
     ]
-    return windows.withColumn("seed", F.explode(F.array_compact(F.array(*of_shape))))
+    return windows.withColumn("seed", F.explode(F.array(*of_shape)))
+
+
+def item_seeds(items: DataFrame, every: Sequence[Shape], span: int) -> DataFrame:
+    """The seeds of items: under the masks, or of all words of an item that is shorter than they span."""
+    long = [shape for shape in every if shape[0] == span]
+    own = seeds(items.where(F.size("words") >= span), long)
+    for shape in every:
+        if shape[0] < span:
+            own = own.unionByName(seeds(items.where(F.size("words") == shape[0]), [shape]))
+    return own
 
 
 def _best_run(words: Column, item_words: Column, diagonal: Column) -> Column:
@@ -119,13 +120,13 @@ def overlaps(
     items = measured(
         benchmark.where("item_id is not null")
         .select("item_id", word_hashes("text").alias("words"))
-        .where(F.size("words") > 0)
+        .where(F.get("words", F.lit(0)) != F.xxhash64(F.lit("")))
         .distinct(),
         "items",
     )
     every = shapes(items, masks, span)
     items = items.withColumn("item_row", F.xxhash64("words"))
-    known = measured(seeds(items, every, own=True).select("seed", "item_id", "item_row", F.col("at").alias("item_at")).distinct(), "seeds")
+    known = measured(item_seeds(items, every, span).select("seed", "item_id", "item_row", F.col("at").alias("item_at")).distinct(), "seeds")
     item_words = items.select("item_id", "item_row", F.col("words").alias("item_words"))
     # repeated seeds and masks that hit the same diagonal of a row are one comparison
     texts = docs.where("doc_id is not null").select("doc_id", "text")
