@@ -3,12 +3,18 @@
 A line's tokens (split at white space) are masked where they hold a digit. The tree has a fixed
 depth: a leaf is the token count and the first ``DEPTH`` tokens. In a leaf, the token that most
 different lines have at a place stands in the leaf's template if at least half of them have it; else the place is a
-variable field. Copies of a line count once there, so that one that is copied often hides no family of others. A line follows its leaf's template if it agrees with it in at least ``SIMILAR``
-percent of the tokens; else its own masked tokens are its template. A template on
-lines of ``MIN_DOCS`` or more documents recurs: all its lines are dropped but the first, that of the
+variable field. Copies of a line count once there, so that one that is copied often hides no family of others. A line
+follows its leaf's template if it agrees with it in at least ``SIMILAR`` percent of the tokens.
+
+The lines of a leaf that don't follow get a template among themselves, again until none follows. Then they
+are parted at the place with the token that most of them, but not all, have, among
+tokens that could recur: each such token gets a branch, and all other tokens of the place share one. A branch is treated as
+a leaf, until its lines follow, can't be parted or are too few to recur. So a leaf may hold any number of
+families. A line that follows nothing is its own template.
+
+A template on lines of ``MIN_DOCS`` or more documents recurs: all its lines are dropped but the first, that of the
 smallest document, so that what it says is not lost. A line of ``LONG_WORDS`` tokens or more can't be
-shared by chance: its own masked tokens recur from ``LONG_DOCS`` documents on. The op8 query, as its SQL
-twin, does without that.
+shared by chance: its own masked tokens recur from ``LONG_DOCS`` documents on.
 
 Lines are told apart by the 64-bit hash of their masked tokens. Lines end at a newline; blank lines
 are never dropped. Null texts stay null, empty ones empty. Documents without an id count as one
@@ -40,7 +46,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = docs.where("text is not null").select(
         "doc_id", _row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
     )
-    tokens = lines.select("doc_id", "row", "line_no", _tokens(F.col("raw")).alias("tokens")).where("tokens[0] <> ''")
+    # a test of the line itself: one of its tokens would split every line once more
+    lines = lines.where(F.col("raw").rlike(r"[^ \t\x0B\f\r]"))
+    tokens = lines.select("doc_id", "row", "line_no", _tokens(F.col("raw")).alias("tokens"))
     return tokens.withColumns(
         {
             "line": F.xxhash64("tokens"),
@@ -59,38 +67,80 @@ def _distinct_docs(lines: DataFrame, key: str) -> DataFrame:
     return lines.select(key, "doc_id").distinct().groupBy(key).agg(F.count("*").alias("docs"))
 
 
-def leaf_templates(lines: DataFrame, tokens_of: DataFrame, min_docs: int) -> DataFrame:
-    """``(line, template)``: lines that follow the template of their leaf, where it could recur.
+def _groups(lines: DataFrame, min_docs: int) -> DataFrame:
+    """``(group, kinds)``: groups of several different lines, on enough lines for a template of their own."""
+    groups = lines.groupBy("group").agg(F.count("*").alias("kinds"), F.sum("weight").alias("total"))
+    return groups.where((F.col("kinds") > 1) & (F.col("total") >= min_docs)).select("group", "kinds")
 
-    ``lines(doc_id, line, leaf)`` of all lines; ``tokens_of(line, leaf, tokens)`` may repeat lines.
-    """
-    # only leaves of several different lines and enough documents can have a template of their own
-    weight = written(lines.groupBy("leaf", "line").agg(F.count("*").alias("weight")), "line-weights")
-    leaves = weight.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
-    leaves = measured(leaves.where((F.col("n") > 1) & (F.col("total") >= min_docs)).select("leaf", F.col("n").alias("kinds")), "leaves")
-    tokens = (
-        tokens_of.join(leaves.select("leaf"), "leaf", "left_semi")
-        .groupBy("line", "leaf")
-        .agg(F.first("tokens").alias("tokens"))
-    )
-    tokens = written(tokens, "leaf-lines")
-    places = tokens.select("leaf", "line", F.posexplode("tokens").alias("place", "token"))
-    counted = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    top = counted.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"))
+
+def _places(lines: DataFrame) -> DataFrame:
+    return lines.select("group", "line", "weight", F.posexplode("tokens").alias("place", "token"))
+
+
+def _following(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(line, template)``: lines that follow the one template that their group's majorities make."""
+    places = _places(lines)
+    counted = places.groupBy("group", "place", "token").agg(F.count("*").alias("n"))
+    top = counted.groupBy("group", "place").agg(F.max(F.struct("n", "token")).alias("top"))
     constant = (
-        top.join(leaves, "leaf")
+        top.join(groups, "group")
         .where((F.col("top.n") * 2 >= F.col("kinds")) & (F.col("top.token") != VARIABLE))
-        .select("leaf", "place", F.col("top.token").alias("token"))
+        .select("group", "place", F.col("top.token").alias("token"))
     )
-    agreeing = places.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"))
-    sizes = tokens.select("leaf", "line", F.size("tokens").alias("size"), F.size(F.filter("tokens", lambda t: t == VARIABLE)).alias("masked"))
+    agreeing = places.join(constant, ["group", "place", "token"]).groupBy("group", "line").agg(F.count("*").alias("same"))
+    sizes = lines.select("group", "line", F.size("tokens").alias("size"), F.size(F.filter("tokens", lambda t: t == VARIABLE)).alias("masked"))
     return (
-        sizes.join(agreeing, ["leaf", "line"])
+        sizes.join(agreeing, ["group", "line"])
         .where((F.col("same") + F.col("masked")) * 100 >= F.col("size") * SIMILAR)
-        .select("line", F.col("leaf").alias("template"))
+        .select("line", F.col("group").alias("template"))
     )
 
 
+def _parted(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Lines of groups that have no template, in smaller groups; without those that can't be parted.
+
+    Every branch is smaller than its group, as the token that it is parted by is not that of all.
+    """
+    groups = measured(_groups(lines, min_docs), "leaf-groups")
+    lines = lines.join(groups.select("group"), "group", "left_semi")
+    counted = _places(lines).groupBy("group", "place", "token").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
+    common = counted.where((F.col("total") >= min_docs) & (F.col("token") != VARIABLE)).join(groups, "group")
+    common = written(common.where("n < kinds").select("group", "place", "token", "n"), "leaf-tokens")
+    at = common.groupBy("group").agg(F.max(F.struct("n", (-F.col("place")).alias("back"))).alias("best"))
+    at = measured(at.select("group", (-F.col("best.back")).alias("place")), "leaf-places")
+    branches = measured(common.join(at, ["group", "place"]).select("group", "token", F.lit(True).alias("common")), "branches")
+    branch = F.when(F.col("common"), F.col("token"))  # null: any other token
+    return (
+        lines.join(at, "group")
+        .withColumn("token", F.get("tokens", F.col("place")))
+        .join(branches, ["group", "token"], "left")
+        .select("line", "tokens", "weight", F.xxhash64("group", "place", branch, branch.isNull()).alias("group"))
+    )
+
+
+def leaf_templates(lines: DataFrame, tokens_of: DataFrame, min_docs: int) -> DataFrame:
+    """``(line, template)``: lines that follow a template of their leaf, where it could recur.
+
+    ``lines(doc_id, line, leaf)`` of all lines; ``tokens_of(line, leaf, tokens)`` of the same ones.
+    """
+    weight = lines.groupBy("leaf", "line").agg(F.count("*").alias("weight"))
+    leaves = measured(_groups(weight.withColumnRenamed("leaf", "group"), min_docs), "leaves")
+    rest = tokens_of.join(leaves.select(F.col("group").alias("leaf")), "leaf", "left_semi").groupBy("line", F.col("leaf").alias("group"))
+    rest = written(rest.agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight")), "leaf-lines")
+    found, groups = None, leaves
+    while True:
+        following = measured(_following(rest, groups), "following")
+        found = following if found is None else found.unionByName(following)
+        rest = written(rest.join(following.select("line"), "line", "left_anti"), "leaf-rest")
+        followed = measured(following.select(F.col("template").alias("group")).distinct(), "followed-groups")
+        again = rest.join(followed, "group", "left_semi").withColumn("group", F.xxhash64("group", F.lit("rest")))
+        rest = written(again.unionByName(_parted(rest.join(followed, "group", "left_anti"), min_docs)), "leaf-lines")
+        groups = measured(_groups(rest, min_docs), "leaves")
+        if groups.isEmpty():
+            return found
+        rest = rest.join(groups.select("group"), "group", "left_semi")
+
+
 def _later(own: DataFrame, min_docs: int) -> DataFrame:
     """``(row, line_no)`` of all lines of templates that recur, but the first of each."""
     recurring = measured(_distinct_docs(own, "template").where(F.col("docs") >= min_docs).select("template"), "recurring")

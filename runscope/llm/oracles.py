@@ -56,31 +56,53 @@ FROM best WHERE coalesce(score, s) >= 24 OR coalesce(score, s) * 100 >= n * 2 *
 
 #: Leaves with a template of their own, then templates on lines of 20 documents or more.
 OP8_LINES = r"""
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT doc_id, coalesce(text, chr(0)) AS text, unnest(string_split(text, chr(10))) AS raw,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 t AS (
   SELECT doc_id, text, line_no, list_transform(string_split_regex(trim(raw, e' \t\x0b\f\r'), '[ \t\x0B\f\r]+'),
     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l),
 line AS (
-  SELECT *, {'n': len(tokens), 'first': tokens[1:3]} AS leaf FROM t WHERE tokens[1] <> ''),
-kinds AS (SELECT leaf, tokens, count(*) AS weight FROM line GROUP BY leaf, tokens),
-leaves AS (SELECT leaf, count(*) AS total FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(weight) >= 20),
-places AS (
-  SELECT k.leaf, k.tokens, total, unnest(k.tokens) AS token, generate_subscripts(k.tokens, 1) AS place
-  FROM kinds k JOIN leaves USING (leaf)),
-counted AS (SELECT leaf, place, token, any_value(total) AS total, count(*) AS n FROM places GROUP BY leaf, place, token),
-constant AS (
-  SELECT leaf, place, token FROM counted
-  QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1 AND n * 2 >= total AND token <> '<*>'),
-following AS (
-  SELECT p.leaf, p.tokens FROM places p LEFT JOIN constant c USING (leaf, place, token)
-  GROUP BY p.leaf, p.tokens
-  HAVING count(c.place) > 0 AND (count(c.place) + count(*) FILTER (p.token = '<*>')) * 100 >= len(p.tokens) * 70),
+  SELECT *, list_concat([CAST(len(tokens) AS VARCHAR)], tokens[1:3]) AS leaf FROM t WHERE tokens[1] <> ''),
+step AS (
+  SELECT 0 AS round, leaf AS grp, tokens, CAST(count(*) AS HUGEINT) AS weight, false AS follows FROM line GROUP BY leaf, tokens
+  UNION ALL
+  (WITH groups AS (
+    SELECT grp, count(*) FILTER (NOT follows) AS kinds, bool_or(follows OR round = 0) AS again FROM step
+    GROUP BY grp HAVING count(*) FILTER (NOT follows) > 1 AND sum(weight) FILTER (NOT follows) >= 20),
+  rest AS (SELECT s.*, kinds, again FROM step s JOIN groups USING (grp) WHERE NOT follows),
+  place AS (SELECT grp, weight, kinds, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM rest WHERE NOT again),
+  common AS (
+    SELECT grp, place, token, count(*) AS n FROM place GROUP BY grp, place, token
+    HAVING sum(weight) >= 20 AND count(*) < any_value(kinds) AND token <> '<*>'),
+  best AS (SELECT grp, place AS spot FROM common QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, place) = 1),
+  parted AS (
+    SELECT round + 1 AS round, tokens, weight, CASE WHEN again THEN list_concat(r.grp, ['rest'])
+      ELSE list_concat(r.grp, [CAST(spot AS VARCHAR), coalesce(c.token, ''), CAST(c.token IS NULL AS VARCHAR)]) END AS grp
+    FROM rest r LEFT JOIN best b ON r.grp = b.grp
+    LEFT JOIN common c ON r.grp = c.grp AND c.place = spot AND c.token = r.tokens[spot]
+    WHERE again OR spot IS NOT NULL),
+  sizes AS (SELECT grp, count(*) AS kinds FROM parted GROUP BY grp HAVING count(*) > 1 AND sum(weight) >= 20),
+  now AS (SELECT p.*, kinds FROM parted p JOIN sizes USING (grp)),
+  places AS (SELECT grp, tokens, kinds, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM now),
+  counted AS (SELECT grp, place, token, any_value(kinds) AS kinds, count(*) AS n FROM places GROUP BY grp, place, token),
+  constant AS (
+    SELECT grp, place, token FROM counted
+    QUALIFY row_number() OVER (PARTITION BY grp, place ORDER BY n DESC, token DESC) = 1 AND n * 2 >= kinds AND token <> '<*>'),
+  agreeing AS (
+    SELECT p.grp, p.tokens FROM places p LEFT JOIN constant c ON p.grp = c.grp AND p.place = c.place AND p.token = c.token
+    GROUP BY p.grp, p.tokens
+    HAVING count(c.place) > 0 AND (count(c.place) + count(*) FILTER (p.token = '<*>')) * 100 >= len(p.tokens) * 70)
+  SELECT round, n.grp, n.tokens, weight, a.grp IS NOT NULL AS follows
+  FROM now n LEFT JOIN agreeing a ON n.grp = a.grp AND n.tokens = a.tokens)),
+following AS (SELECT grp, tokens FROM step WHERE follows),
 own AS (
-  SELECT doc_id, text, line_no, {'leaf': line.leaf, 'tokens': CASE WHEN f.leaf IS NULL THEN line.tokens END} AS template
-  FROM line LEFT JOIN following f ON line.leaf = f.leaf AND line.tokens = f.tokens),
-recurring AS (SELECT template, min((doc_id, line_no)) AS first FROM own GROUP BY template HAVING count(DISTINCT doc_id) >= 20),
+  SELECT doc_id, text, line_no, {'rule': 'leaf', 'grp': f.grp, 'tokens': CASE WHEN f.grp IS NULL THEN line.tokens END} AS template, 20 AS least
+  FROM line LEFT JOIN following f ON line.tokens = f.tokens
+  UNION ALL
+  SELECT doc_id, text, line_no, {'rule': 'long', 'grp': NULL, 'tokens': tokens}, 2 FROM line WHERE len(tokens) >= 10),
+recurring AS (
+  SELECT template, min((doc_id, line_no)) AS first FROM own GROUP BY template, least HAVING count(DISTINCT doc_id) >= least),
 gone AS (
   SELECT DISTINCT doc_id, text, line_no FROM own JOIN recurring ON own.template = recurring.template
   WHERE (doc_id, line_no) <> first),

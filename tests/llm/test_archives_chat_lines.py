@@ -201,6 +201,36 @@ def test_copies_of_another_line_hide_no_family(spark):
     assert sum(got[d] for d, _ in family) == 59 and sum(got[d] for d, _ in copies) == 199
 
 
+def name(n):
+    return "".join(chr(97 + int(d)) for d in str(n))
+
+
+FAMILIES = [
+    "shown to all by {} from the reading room tonight",
+    "shown to all members of {} at the front desk",
+    "shown to all who wrote {} in the last week",
+]
+
+
+def test_several_families_of_one_leaf(spark):
+    """None of three has half of the lines; a fourth with fewer documents stays; equal to the SQL."""
+    import duckdb
+    from runscope.llm.oracles import ORACLES
+
+    docs = [(f, f * 100 + k, text.format(name(k))) for f, text in enumerate(FAMILIES) for k in range(30 + 5 * f)]
+    docs += [(3, 900 + k, f"shown to all of us but {name(k)} once more yet") for k in range(19)]
+    docs += [(4, 1000 + k, f"shown to all {' '.join(name(11 * k + i * 3571) for i in range(7))}") for k in range(50)]
+    assert {len(t.split()) for _, _, t in docs} == {10}
+    frame = spark.createDataFrame([d[1:] for d in docs], "doc_id long, text string").repartition(5)
+    rows = op8.line_report(frame, long_words=None).collect()
+    gone = {r.doc_id for r in rows if r.n_dropped}
+    assert gone == {d for f, d, _ in docs if f < 3 and d % 100}
+    own = duckdb.connect()
+    own.execute("create table documents (doc_id bigint, text varchar)")
+    own.executemany("insert into documents values (?, ?)", [d[1:] for d in docs])
+    assert {d for d, _, n, _ in own.execute(ORACLES["op8_line_templates"]).fetchall() if n} == gone
+
+
 def test_unlike_lines_of_one_leaf_stay(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
