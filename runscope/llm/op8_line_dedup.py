@@ -101,14 +101,14 @@ def _parted(lines: DataFrame, min_docs: int) -> DataFrame:
 
     Every branch is smaller than its group, as the token that it is parted by is not that of all.
     """
-    groups = measured(_groups(lines, min_docs), "leaf-groups")
+    groups = _groups(lines, min_docs)
     lines = lines.join(groups.select("group"), "group", "left_semi")
     counted = _places(lines).groupBy("group", "place", "token").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))
     common = counted.where((F.col("total") >= min_docs) & (F.col("token") != VARIABLE)).join(groups, "group")
     common = written(common.where("n < kinds").select("group", "place", "token", "n"), "leaf-tokens")
     at = common.groupBy("group").agg(F.max(F.struct("n", (-F.col("place")).alias("back"))).alias("best"))
-    at = measured(at.select("group", (-F.col("best.back")).alias("place")), "leaf-places")
-    branches = measured(common.join(at, ["group", "place"]).select("group", "token", F.lit(True).alias("common")), "branches")
+    at = at.select("group", (-F.col("best.back")).alias("place"))
+    branches = common.join(at, ["group", "place"]).select("group", "token", F.lit(True).alias("common"))
     branch = F.when(F.col("common"), F.col("token"))  # null: any other token
     return (
         lines.join(at, "group")
@@ -129,13 +129,13 @@ def leaf_templates(lines: DataFrame, tokens_of: DataFrame, min_docs: int) -> Dat
     rest = written(rest.agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight")), "leaf-lines")
     found, groups = None, leaves
     while True:
-        following = measured(_following(rest, groups), "following")
+        following = written(_following(rest, groups), "following")
         found = following if found is None else found.unionByName(following)
         rest = written(rest.join(following.select("line"), "line", "left_anti"), "leaf-rest")
-        followed = measured(following.select(F.col("template").alias("group")).distinct(), "followed-groups")
+        followed = following.select(F.col("template").alias("group")).distinct()
         again = rest.join(followed, "group", "left_semi").withColumn("group", F.xxhash64("group", F.lit("rest")))
         rest = written(again.unionByName(_parted(rest.join(followed, "group", "left_anti"), min_docs)), "leaf-lines")
-        groups = measured(_groups(rest, min_docs), "leaves")
+        groups = _groups(rest, min_docs)
         if groups.isEmpty():
             return found
         rest = rest.join(groups.select("group"), "group", "left_semi")
