@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runscope.functions.labels import parse_stamp
-from runscope.sources.listing import hash_files, list_files
+from runscope.sources.listing import found_files, hash_files, list_files
 
 # directory "<run name><stamp>", the stamp with or without a dash before the time of day
 _STAMP = r"(\d{4}-\d\d-\d\d-?\d{6})(?:/|\z)"
@@ -27,16 +27,10 @@ def read_artifacts(spark: SparkSession, paths: str | Sequence[str], value_bytes:
     fits = files.where(F.col("length") <= value_bytes).select(F.col("path").alias("artifact_id"), "content")
     larger = files.where(F.col("length") > value_bytes)
     found = fits.unionByName(larger.select(F.col("path").alias("artifact_id"), F.lit(None).cast("binary").alias("content")))
-    empty = _below_or_at(spark, paths).where("length = 0").select(_plain("path").alias("artifact_id"))
+    empty = found_files(spark, [paths] if isinstance(paths, str) else [*paths])[0].where("length = 0").select(_plain("path").alias("artifact_id"))
     return found.unionByName(empty.withColumn("content", F.lit("").cast("binary")))
 
 
-def _below_or_at(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files that match, and those in directories that do, as Spark's file sources take them."""
-    globs = [paths] if isinstance(paths, str) else [*paths]
-    return list_files(spark, [g for p in globs for g in (p.rstrip("/"), f"{p.rstrip('/')}/*")])
-
-
 def _plain(path: str) -> Column:
     """A listed URL as Spark's binary source writes paths: not encoded, and one slash after ``file:``."""
     decoded = F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
@@ -45,7 +39,7 @@ def _plain(path: str) -> Column:
 
 def read_artifact_hashes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Content hash of artifact files, ``(artifact_id, md5)``, of any size: executors read them in pieces."""
-    hashed = hash_files(_below_or_at(spark, paths))
+    hashed = hash_files(found_files(spark, [paths] if isinstance(paths, str) else [*paths])[0])
     return hashed.select(_plain("artifact_id").alias("artifact_id"), "md5")
 
 
