@@ -35,7 +35,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from runscope.llm.common import pieces, text_column, window_hash, words_of
+from runscope.llm.common import column_bytes, pieces, text_column, window_hash, words_of
 from runscope.llm.components import components
 from runscope.llm.tables import measured, without, written
 
@@ -47,6 +47,8 @@ SKETCH_BITS, SEGMENT_BITS = 20, 14
 BINS, BITS = 16, 512
 #: Postings of a shingle up to which all of its pairs are looked at, to drop postings without any.
 PARTNERS = 256
+#: Postings of a shingle up to which a round looks at all of its pairs, too, and pairs that are looked at at a time.
+FEW, PAIRS = 12, 200_000
 #: Bytes of text that a task works on at a time.
 PIECE_BYTES = 2 << 20
 #: Rounds that verify one pair per class. Postings of a shingle that are compared with one hub.
@@ -67,7 +69,9 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
         text.append(those)
         value.append(window_hash(hashes, short, short)[words.first[those]])
     text, value = np.concatenate(text), np.concatenate(value)
-    order = np.lexsort((value, text))
+    order = np.argsort(value)
+    # numbers of up to 16 bits are sorted in linear time
+    order = order[np.argsort(text[order].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
     text, value = text[order], value[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
@@ -80,8 +84,16 @@ def _sketch_place(value: np.ndarray) -> np.ndarray:
 
 def _rows_of(table: np.ndarray) -> pa.Array:
     """Each row of a table of bytes as one binary value."""
-    data, width = table.tobytes(), table.shape[1]
-    return pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())
+    n, width = table.shape
+    ends = np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(table.tobytes())])
+
+
+def _table_of(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of a table of bytes."""
+    column = column.cast(pa.large_binary())
+    data, ends = column_bytes(column)
+    return data.reshape(len(column), int(ends[1]))
 
 
 def _sketches(text: np.ndarray, value: np.ndarray, n: int) -> list[bytes | None]:
@@ -185,8 +197,8 @@ def _postings(counts, percent: int, width: int):
             text, value = shingle_sets(text_column(piece), width)
             if not len(text):
                 continue
-            order = np.lexsort((value, common[_sketch_place(value)], text))
-            value = value[order]
+            # by text and commonness; ties stay by value
+            value = value[np.argsort(text.astype(np.uint64) << np.uint64(32) | common[_sketch_place(value)], kind="stable")]
             size = np.bincount(text, minlength=piece.num_rows)
             start = np.cumsum(size) - size
             place = np.arange(len(text)) - start[text]
@@ -223,14 +235,18 @@ def prefix_filters(
     need = _least_overlap(size, other, percent)
     length = np.minimum(size, other) * 100 >= percent * np.maximum(size, other)
     position = np.minimum(i, j) + np.minimum(size - i, other - j) >= need
-    suffix = np.abs(rest[a].astype(np.int16) - rest[b]).sum(axis=1, dtype=np.int64)
-    apart = suffix + np.abs(i - j)
     allowed = size + other - 2 * need
-    return length & position & (apart <= allowed), apart, allowed
+    apart = np.abs(i - j)
+    left = np.flatnonzero(length & position & (apart <= allowed))
+    x, y = rest[a[left]], rest[b[left]]
+    apart[left] += (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    fits = np.zeros(len(a), bool)
+    fits[left] = apart[left] <= allowed[left]
+    return fits, apart, allowed
 
 
 class Postings:
-    """Postings of one shingle, by size: what the filters say about pairs of them."""
+    """Postings of one shingle, by size, or of several: what the filters say about pairs of them."""
 
     def __init__(self, columns: list[np.ndarray], percent: int) -> None:
         self.node, self.n, self.place, self.rest, bitmap, self.label = columns
@@ -238,12 +254,14 @@ class Postings:
         self.percent = percent
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """At least so many shingles differ, or -1 if the pair can't be similar enough."""
+        """At least so many shingles differ, or -1 if the pair can't be similar enough or is known to be connected."""
+        out = np.full(len(a), -1)
+        new = np.flatnonzero(self.label[a] != self.label[b])
+        a, b = a[new], b[new]
         fits, apart, allowed = prefix_filters(self.n, self.place, self.rest, a, b, self.percent)
-        left = np.flatnonzero(fits & (self.label[a] != self.label[b]))
+        left = np.flatnonzero(fits)
         whole = np.bitwise_count(self.bitmap[a[left]] ^ self.bitmap[b[left]]).sum(axis=1, dtype=np.int64)
-        out = np.full(len(a), -1)
-        out[left] = np.where(whole <= allowed[left], np.maximum(whole, apart[left]), -1)
+        out[new[left]] = np.where(whole <= allowed[left], np.maximum(whole, apart[left]), -1)
         return out
 
     def nearest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,46 +293,62 @@ class Postings:
                     yield mine[d >= 0], others[d >= 0], d[d >= 0]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of rows with several nodes under one token, as arrays; rows come ordered by token."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Rows of tokens that several rows have, as arrays, and where each token's begin; rows come ordered by token."""
     held: list[np.ndarray] | None = None
 
-    def several(columns: list[np.ndarray], edges: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if end - begin > 1:
-                yield tuple(c[begin:end] for c in columns)
+    def several(columns: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        token = columns[0]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(begin, len(token)))
+        shared = size > 1
+        if shared.any():
+            size, keep = size[shared], np.repeat(shared, size)
+            yield [c[keep] for c in columns], np.append(0, np.cumsum(size))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [
-            np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
-            for c in batch.columns
-        ]
+        columns = [_table_of(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
             columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-        token = columns[0]
-        last = int(np.searchsorted(token, token[-1]))
-        edges = np.append(np.flatnonzero(np.append(True, token[1:last] != token[: max(0, last - 1)])) if last else np.zeros(0, np.int64), last)
-        yield from several(columns, edges.astype(np.int64))
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if last:
+            yield from several([c[:last] for c in columns])
         held = [c[last:] for c in columns]
     if held is not None:
-        yield from several(held, np.array([0, len(held[0])]))
-
-
-def _partnered(group: tuple[np.ndarray, ...], percent: int) -> tuple[np.ndarray, ...] | None:
-    """The postings of a shingle that pass the filters with another; all of them if there are many."""
-    _, node, n, place, rest = group
-    if len(node) > PARTNERS:
-        return group if (node != node[0]).any() else None
-    a, b = np.triu_indices(len(node), 1)
-    fits, _, _ = prefix_filters(n.astype(np.int64), place.astype(np.int64), rest, a, b, percent)
-    fits &= node[a] != node[b]
-    if not fits.any():
-        return None
+        yield from several(held)
+
+
+def _pairs_within(edges: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the groups that have up to ``most`` rows, many groups and up to about ``PAIRS`` pairs at a time."""
+    size = np.diff(edges)
+    row = np.arange(edges[0], edges[-1])
+    others = np.repeat(np.where(size <= most, edges[1:], 0), size) - row - 1  # rows of the group behind each
+    row, others = row[others > 0], others[others > 0]
+    total = np.cumsum(others)
+    begin = 0
+    while begin < len(row):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - others[begin] + PAIRS, "right")))
+        a = np.repeat(row[begin:end], others[begin:end])
+        nth = np.arange(len(a)) - np.repeat(np.cumsum(others[begin:end]) - others[begin:end], others[begin:end])
+        yield a, a + 1 + nth
+        begin = end
+
+
+def _partnered(columns: list[np.ndarray], edges: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The postings that pass the filters with another of their shingle; all of a shingle with many."""
+    _, node, n, place, rest = columns
+    n, place, size = n.astype(np.int64), place.astype(np.int64), np.diff(edges)
     keep = np.zeros(len(node), bool)
-    keep[a[fits]] = keep[b[fits]] = True
-    return tuple(c[keep] for c in group)
+    for begin, end in zip(edges[:-1][size > PARTNERS].tolist(), edges[1:][size > PARTNERS].tolist(), strict=True):
+        keep[begin:end] = (node[begin:end] != node[begin]).any()
+    for a, b in _pairs_within(edges, PARTNERS):
+        other = np.flatnonzero(node[a] != node[b])
+        a, b = a[other], b[other]
+        fits, _, _ = prefix_filters(n, place, rest, a, b, percent)
+        keep[a[fits]] = keep[b[fits]] = True
+    return [c[keep] for c in columns]
 
 
 def _shared_only(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -323,26 +357,32 @@ def _shared_only(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    kept: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        token, node, n, place, rest = (np.concatenate(c) for c in zip(*kept, strict=True))
-        return pa.record_batch([pa.array(token), pa.array(node), pa.array(n), pa.array(place), _rows_of(rest)], POSTING)
-
-    for rows in _groups(batches):
-        group = _partnered(rows, percent)
-        if group is not None:
-            kept.append(group)
-            size += len(group[0])
-            if size >= 20_000:
-                yield out()
-                kept, size = [], 0
-    if kept:
-        yield out()
+    for columns, edges in _groups(batches):
+        token, node, n, place, rest = _partnered(columns, edges, percent)
+        if len(token):
+            yield pa.record_batch([pa.array(token), pa.array(node), pa.array(n), pa.array(place), _rows_of(rest)], POSTING)
 
 
 def _candidates(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    # shingles with few postings are looked at many at a time, all pairs of them
+    few = PARTNERS if every else FEW
+
+    def found(columns: list[np.ndarray], edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, node, n, place, rest, bitmap, label = columns
+        columns = [node, n.astype(np.int64), place.astype(np.int64), rest, bitmap, label]
+        together = Postings(columns, percent)
+        for a, b in _pairs_within(edges, few):
+            d = together.distance(a, b)
+            yield node[a[d >= 0]], node[b[d >= 0]], d[d >= 0]
+        many = np.diff(edges) > few
+        for begin, end in zip(edges[:-1][many].tolist(), edges[1:][many].tolist(), strict=True):
+            mine = [c[begin:end] for c in columns]
+            if (mine[-1] == mine[-1][0]).all():
+                continue
+            postings = Postings(mine, percent)
+            for a, b, d in postings.every() if every else [postings.nearest()]:
+                yield mine[0][a], mine[0][b], d
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -351,13 +391,10 @@ def _candidates(percent: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]
             a, b, d = (np.concatenate(c) for c in zip(*kept, strict=True))
             return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "apart"])
 
-        for _, node, n, place, rest, bitmap, label in _groups(batches):
-            if (label == label[0]).all():
-                continue
-            postings = Postings([node, n.astype(np.int64), place.astype(np.int64), rest, bitmap, label], percent)
-            for a, b, d in postings.every() if every else [postings.nearest()]:
+        for columns, edges in _groups(batches):
+            for a, b, d in found(columns, edges):
                 if len(a):
-                    kept.append((node[a], node[b], d))
+                    kept.append((a, b, d))
                     size += len(a)
                     if size >= 20_000:
                         yield out()

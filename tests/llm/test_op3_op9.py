@@ -193,3 +193,37 @@ def test_sketches_never_say_more_than_differs(n, m, common, seed):
     a, b = (op9._sketches(np.zeros(len(s), np.int64), s, 1)[0] for s in (x, y))
     assert op9.sketch_distance(a, b) == op9.sketch_distance(b, a) <= len(np.setxor1d(x, y))
     assert op9.sketch_distance(a, a) == 0 and len(a) * 8 >= len(x)
+
+
+def test_shingles_with_few_postings_are_filtered_many_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from runscope.llm import op9_jaccard_join as op9
+
+    rng, k = np.random.default_rng(5), 3000
+    token, node = np.sort(rng.integers(0, 900, k)), rng.integers(0, 800, k)
+    n, place = rng.integers(20, 40, k).astype(np.int32), rng.integers(0, 5, k).astype(np.int32)
+    order = np.lexsort((n, token))
+    n, rest, bitmap = n[order], rng.integers(0, 2, (k, op9.BINS)).astype(np.uint8), rng.integers(0, 1 << 6, (k, 64)).astype(np.uint8)
+    calls, real = [], op9.prefix_filters
+    monkeypatch.setattr(op9, "prefix_filters", lambda *args: calls.append(1) or real(*args))
+    columns = [pa.array(token), pa.array(node), pa.array(n), pa.array(place), op9._rows_of(rest)]
+    batch = pa.record_batch(columns, op9.POSTING)
+    got = [r for b in op9._shared(iter([batch.slice(0, 1000), batch.slice(1000)]), 60) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(calls) < 10
+    a, b = np.triu_indices(k, 1)
+    same = (token[a] == token[b]) & (node[a] != node[b])
+    a, b = a[same], b[same]
+    fits = real(n.astype(np.int64), place.astype(np.int64), rest, a, b, 60)[0]
+    keep = np.unique(np.concatenate([a[fits], b[fits]]))
+    assert got == list(zip(*(c.take(pa.array(keep)).to_pylist() for c in columns), strict=True)) and 0 < len(got) < k
+
+    wide = pa.record_batch([*columns, op9._rows_of(bitmap), pa.array(node // 2)], [*op9.POSTING, "bitmap", "label"])
+    calls.clear()
+    found = {r for b in op9._candidates(60, True)(iter([wide])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert len(calls) < 10
+    postings = op9.Postings([node, n.astype(np.int64), place.astype(np.int64), rest, bitmap, node // 2], 60)
+    d = postings.distance(a, b)
+    ends = np.sort(np.stack([node[a], node[b]]), axis=0)
+    assert found == set(zip(*ends[:, d >= 0].tolist(), d[d >= 0].tolist(), strict=True))
