@@ -437,3 +437,15 @@ def test_checked_broadcast(spark):
             assert joined.count() == 100 and joined.where("x = 1").count() == 72
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_of_common_length_are_dealt_out_once(spark):
+    rows = [(r, f"k{i % 7}") for r in (1, 2, None) for i in range(20)]
+    got = traces.trace_histogram(spark.createDataFrame(rows, "run_id bigint, key string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(run_id") == 1 and "Exchange hashpartitioning(run_id, key" not in plan
+    assert sorted((r.run_id or 0, r.key, r.n, r["rank"]) for r in got.collect() if r["rank"] < 2) == [(0, "k0", 3, 1), (1, "k0", 3, 1), (2, "k0", 3, 1)]
+    # longer runs, one of them without an id, take the other way to the same result
+    split = traces.trace_histogram(spark.createDataFrame(rows + [(5, "x")], "run_id bigint, key string"), keys_per_task=19)
+    as_set = lambda df: {tuple(r) for r in df.where("run_id is null or run_id < 5").collect()}
+    assert as_set(split) == as_set(got) and split.where("run_id = 5").count() == 1
