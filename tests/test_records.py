@@ -97,3 +97,19 @@ def test_no_sample_is_shuffled_between_the_parser_and_its_deltas(spark):
     for frame in (series.counter_delta(samples), series.delta_table(samples, runs, broadcast_bytes=1 << 20)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hash" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_cells_are_worked_out_once_and_not_in_filters(spark, tmp_path):
+    fx.counter_files(spark, "/root/testdata/sf0.001", notes=True).limit(3).write.parquet(f"{tmp_path}/files")
+    plan = series.steps(counters.counter_lines(spark.read.parquet(f"{tmp_path}/files")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3  # records, header, cells
+    assert not [line for line in plan.splitlines() if line.strip(" +-:").startswith("Filter") and "lambda" in line]
+
+
+def test_a_file_without_a_header_has_no_steps(spark):
+    files = spark.createDataFrame([(1, f"a\nb\nc\n{CYCLES},k\nt\nw\naw\n10,1\n20,x\n"), (2, "a\nb"), (3, ""), (4, None)], "run_id int, value string")
+    got = sorted(map(tuple, series.steps(counters.counter_lines(files)).collect()))
+    assert [r[:5] for r in got] == [(1, 0, 10, CYCLES, 10), (1, 0, 10, "k", 1), (1, 1, 20, CYCLES, 20), (1, 1, 20, "k", None)]
+    # neither where samples are said to begin before the header
+    late = series.steps(counters.counter_lines(files, header_line=3, data_line=0))
+    assert {r.run_id for r in late.collect()} == {1}
