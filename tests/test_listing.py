@@ -109,3 +109,14 @@ def test_many_directories(spark, tmp_path):
         (tmp_path / f"d{i}" / "f").write_text("x" * (i % 3))
     got = listing.list_files(spark, f"{tmp_path}/*/f")
     assert got.agg(F.count("*"), F.sum("length")).first()[:] == (400, sum(i % 3 for i in range(400)))
+
+
+def test_tasks_by_number_and_bytes_of_the_work(spark, monkeypatch):
+    def tasks(n, length):
+        return listing.dealt(spark.range(n).select(F.col("id").alias("path"), F.lit(length).alias("length")), ["path"]).rdd.getNumPartitions()
+
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks(1, 1) == 1
+    assert tasks(5000, 1) == max(3, min(cores, 40))
+    assert tasks(40 * listing.TASK_ROWS, 1) == max(40, cores)  # 320 tasks before, of which most time was their start
+    assert tasks(90, listing.TASK_BYTES) == max(90, 1)
