@@ -113,3 +113,12 @@ def test_a_file_without_a_header_has_no_steps(spark):
     # neither where samples are said to begin before the header
     late = series.steps(counters.counter_lines(files, header_line=3, data_line=0))
     assert {r.run_id for r in late.collect()} == {1}
+
+
+def test_joined_records_are_worked_out_once(spark):
+    lines = [("f", i // 9, i, v) for i, v in enumerate(["k,description", '1,"x', 'y"', '2,"', '"', "3,z"])]
+    frame = spark.createDataFrame(lines, "path string, block int, seq long, value string")
+    found = counters.counter_scan_lines(frame, header_line=0, data_line=1)
+    assert sorted((r.sample_idx, r.counter, r.value) for r in found.collect()) == [(0, "k", 1), (1, "k", 2), (2, "k", 3)]
+    # the plan reads the records, in which lines are joined, and joins none again
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
