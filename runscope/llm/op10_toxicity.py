@@ -34,7 +34,8 @@ SAMPLE = 3000
 BITS, MIN_ERRORS = 18, 4.0
 L2, SWAP_PENALTY, STEPS, RATE = 1e-4, 1.0, 800, 0.05
 THRESHOLD = 0.7
-PIECE_BYTES = 2 << 20
+#: Bytes of text that are scored at a time; features take some 40 times as much.
+PIECE_BYTES = 512 << 10
 NOTHING = np.zeros(0, np.int64)
 #: Terms that name a group, by kind; within a kind any may stand for any other.
 SWAPS: tuple[tuple[str, ...], ...] = (
@@ -213,14 +214,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return train(text, np.concatenate(x).astype(np.int64), label, swaps)
 
 
+def scored(
+    batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, float] | None
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows in small pieces, each with the scores of its texts."""
+    for piece in pieces(batches, limit=PIECE_BYTES):
+        texts = [t or "" for t in piece.column("text").to_pylist()]
+        yield piece, score_texts(texts, *model) if model else np.zeros(len(texts))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs(doc_id, text)`` → ``(doc_id, score, predicted)``, a row per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=PIECE_BYTES):
-            texts = [t or "" for t in piece.column("text").to_pylist()]
-            scores = score_texts(texts, *shared.value) if shared.value else np.zeros(len(texts))
+        for piece, scores in scored(batches, shared.value):
             yield pa.record_batch(
                 [piece.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"],
@@ -235,11 +243,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=PIECE_BYTES):
-            if shared.value:
-                scores = score_texts([t or "" for t in piece.column("text").to_pylist()], *shared.value)
-                piece = piece.filter(pa.array(scores < threshold))
-            yield piece
+        for piece, scores in scored(batches, shared.value):
+            yield piece.filter(pa.array(scores < threshold)) if shared.value else piece
 
     return docs.mapInArrow(run, docs.schema)
 

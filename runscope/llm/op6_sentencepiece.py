@@ -35,8 +35,8 @@ KEPT_PARTS = 100_000
 KEPT_LENGTH = 64
 #: Pairs of tokens whose compatibility a worker keeps.
 KEPT_PAIRS = 300_000
-#: Bytes of text that are encoded at a time.
-PIECE_BYTES = 2 << 20
+#: Bytes of text that are encoded at a time. Few, as a worker keeps the memory of its largest piece for all later tasks.
+PIECE_BYTES = 512 << 10
 
 
 class PrefixTableBpe:
@@ -294,30 +294,30 @@ def encode_column(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
+def digest_rows(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    bpe = encoder(model)
+    for piece in pieces(batches, limit=PIECE_BYTES):
+        rows = []
+        for ids in bpe.encode([t or "" for t in piece.column("text").to_pylist()]):
+            rows.append(
+                (
+                    len(ids),
+                    hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(),
+                    hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
+                )
+            )
+        n, ids_hex, text_hex = zip(*rows, strict=True)
+        yield pa.record_batch(
+            [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
 def token_digests(docs: DataFrame, model: str) -> DataFrame:
     """Per document the number of ids and digests of the ids and of the decoded text.
 
     The same encoder and decoder as :func:`encode_column`, without shipping ids out of the task.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(model)
-        for piece in pieces(batches, limit=PIECE_BYTES):
-            rows = []
-            for ids in bpe.encode([t or "" for t in piece.column("text").to_pylist()]):
-                rows.append(
-                    (
-                        len(ids),
-                        hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(),
-                        hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
-                    )
-                )
-            n, ids_hex, text_hex = zip(*rows, strict=True)
-            yield pa.record_batch(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        lambda batches: digest_rows(batches, model), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -307,3 +308,27 @@ def test_ids_and_text_come_back_as_columns(spark, library):
     got = op6.encode_column(docs, tokenizer_model()).collect()
     assert sorted(map(tuple, got), key=str) == sorted(((d, library.encode(t or "", add_eos=True), t or "") for d, t, _ in rows), key=str)
     assert op6.token_digests(docs.limit(0), tokenizer_model()).collect() == []
+
+
+# ---- memory of a task
+
+
+@pytest.mark.parametrize(
+    "work, most_mb",
+    [
+        pytest.param(lambda batches: op10.scored(batches, (np.zeros(1 << op10.BITS, np.float32), 0.0)), 50, id="toxicity"),
+        pytest.param(lambda batches: op6.digest_rows(batches, tokenizer_model()), 35, id="sentencepiece"),
+    ],
+)
+def test_a_large_batch_is_worked_on_in_little_memory(work, most_mb):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1200)]  # 3 MB in one batch
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for _ in work(iter([batch.slice(0, 5)])):
+        pass  # tables of the worker
+    tracemalloc.start()
+    rows = sum(1 for _ in work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 1 and peak < most_mb * 1e6
