@@ -6,6 +6,9 @@ the last returns what the encoder says of each document that is left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runscope.llm import op4_decontaminate, op6_sentencepiece, op8_line_dedup, op9_jaccard_join, op10_toxicity
@@ -18,8 +21,24 @@ NEAR_PERCENT, NEAR_WIDTH = 80, 5
 #: What a text without any line holds.
 BLANK = " \t\n\x0b\x0c\r"
 ROW = "__near_duplicates_row"
+#: Bytes of the batches that go to Python and back. Each is held several times over, by every task and its worker.
+BATCH_BYTES = "4m"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session that sends ``BATCH_BYTES`` to Python at a time; it stays so, as rows are read later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic; the model learns from the labels of two folds of three."""
     return op10_toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
@@ -31,6 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select([F.length("text").cast(kind).alias(c) if c == "n_chars" else f"`{c}`" for c, kind in docs.dtypes])
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of near-duplicates: wider shingles and less alike than the op9 query's.
 
@@ -57,6 +77,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return op4_decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digests of the tokens of each document."""
     return op6_sentencepiece.token_digests(docs, tokenizer_model())

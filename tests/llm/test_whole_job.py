@@ -1,5 +1,6 @@
 """What the pipeline's stages leave, where thinner settings would leave more."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -104,3 +105,19 @@ def test_a_long_overlap_scores_whole(spark):
     bench = spark.createDataFrame([(70, " ".join(item)), (71, "z " * 30)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in op4.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 70): (600, 2, 302), (2, 70): (400, 0, 200), (3, 70): (595, 0, 300)}
+
+
+def test_the_pipeline_sends_small_batches_to_python(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["bytes"])
+
+    monkeypatch.setattr(corpus_pipeline.op6_sentencepiece, "token_digests", lambda docs, _: docs.mapInArrow(sizes, "bytes long"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('a word ', 500) as text")  # 10 MB in one task
+    try:
+        found = [r.bytes for r in dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, "").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(found) > 10_000_000 and max(found) < 5_000_000
