@@ -99,8 +99,18 @@ def _write_version(df: DataFrame, root: str, by: Sequence[str], fmt: str) -> str
     return version
 
 
-def _version_rows(spark: SparkSession, root: str, version: str, like: DataFrame, fmt: str) -> DataFrame:
-    return spark.read.schema(like.schema).format(fmt).option("header", "true").load(f"{root}/{VERSION}={version}")
+def _listed_places(spark: SparkSession, root: str, versions: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The places that versions have files of, with the version: from the files' paths, no row is read.
+
+    So ``by`` can't have a name that Spark's listing of files has, as ``path`` or ``length``.
+    """
+    names, folders = [*by, VERSION], [f"{root}/{VERSION}={v}" for v in versions]
+    listing = spark.read.format("binaryFile").option("basePath", root)
+    found = listing.load(folders)
+    if not set(by) <= set(found.columns):  # a version without any row has no places
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
+    schema = StructType([f for f in found.schema.fields if f.name not in names] + [StructField(c, StringType()) for c in names])
+    return _as_places(listing.schema(schema).load(folders), names)
 
 
 def replace_places(
@@ -109,7 +119,7 @@ def replace_places(
     """Replace the places that ``df`` has rows of, and empty those of ``places`` that it has none of."""
     spark = df.sparkSession
     version = _write_version(df, root, by, fmt)
-    written = _as_places(_version_rows(spark, root, version, df, fmt), by)
+    written = _listed_places(spark, root, [version], by).select(*by)
     touched = written if places is None else written.unionByName(_as_places(places, by)).distinct()
     while True:
         number, manifest = current(spark, root, by)
@@ -139,7 +149,7 @@ def merge_rows(
             rows = mine.unionByName(new)
         version = _write_version(merge(rows).select(*[f"`{c}`" for c in new.columns]), root, by, fmt)
         kept = manifest.join(touched, list(by), "left_anti")
-        written = _as_places(_version_rows(spark, root, version, new, fmt), by)
+        written = _listed_places(spark, root, [version], by).select(*by)
         try:
             if _commit(spark, root, by, number, kept.unionByName(written.withColumn(VERSION, F.lit(version)))) > MAX_VERSIONS:
                 compact(spark, root, by, new, fmt)
@@ -183,12 +193,16 @@ def read_places(
     if like is not None:
         reader = reader.schema(StructType([*like.schema.fields, StructField(VERSION, StringType())]))
     rows = reader.option("basePath", root).load(folders)
+    out = [f"`{c}`" for c in (rows.columns if like is None else like.columns) if c != VERSION]
+    known = manifest.select(*by, VERSION)
+    if _listed_places(spark, root, versions, by).join(known, [*by, VERSION], "left_anti").isEmpty():
+        return rows.select(*out)  # nothing there has been replaced
     keys = [f"__{c}" for c in by]
     tagged = rows.withColumn("__version", F.col(VERSION).cast("string"))
     tagged = tagged.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, by, strict=True)})
-    known = manifest.select(*[F.col(c).alias(k) for k, c in zip(keys, by, strict=True)], F.col(VERSION).alias("__version"))
+    known = known.toDF(*keys, "__version")
     found = join_per_key(tagged, known, [*keys, "__version"], broadcast_bytes=BROADCAST_BYTES)
-    return found.select(*[f"`{c}`" for c in (rows.columns if like is None else like.columns) if c != VERSION])
+    return found.select(*out)
 
 
 def read_current(spark: SparkSession, root: str, by: Sequence[str], like: DataFrame | None = None, fmt: str = "parquet") -> DataFrame:

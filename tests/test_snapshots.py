@@ -139,3 +139,16 @@ def test_the_merge_of_pointers_keeps_one_row_per_key(spark, tmp_path):
         merge_rows(spark.createDataFrame(batch, schema), root, BY, keep)
     got = {(r.series, r.name, r.run_id, r.at) for r in read_current(spark, root, BY).collect()}
     assert got == {("s", "n", "b", 5), ("t", "n", "c", 1), (None, "n", "d", 2)}
+
+
+def test_no_row_is_read_to_know_or_check_the_places_written(spark, tmp_path):
+    root = str(tmp_path / "t")
+    replace_places(frame(spark, (1, "a", "x", 1.0), (2, "007", None, 2.0)), root, BY)
+    for file in (tmp_path / "t").glob("version=*/**/*.parquet"):
+        file.write_bytes(b"no rows")
+    places = snapshots._listed_places(spark, root, [r.version for r in current(spark, root, BY)[1].select("version").distinct().collect()], BY)
+    assert sorted(tuple(r)[:2] for r in places.collect()) == [("007", ""), ("a", "x")]
+    plan = read_current(spark, root, BY, frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FileScan" in plan
+    replace_places(frame(spark, (3, "a", "x", 3.0)), root, BY)
+    assert "Join" in read_current(spark, root, BY, frame(spark))._jdf.queryExecution().executedPlan().toString()
