@@ -23,16 +23,23 @@ BLANK = " \t\n\x0b\x0c\r"
 ROW = "__near_duplicates_row"
 #: Bytes of the batches that go to Python and back. Each is held several times over, by every task and its worker.
 BATCH_BYTES = "4m"
+#: Rows of the batches that Parquet files are read in. Spark's 4096 whole texts need arrays of up to 24 MB on the heap, and the heap that
+#: grows for those doesn't shrink until the job's end.
+BATCH_ROWS = 128
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """The stage in a session that sends ``BATCH_BYTES`` to Python at a time; it stays so, as rows are read later."""
+    """The stage in a session that reads ``BATCH_ROWS`` and sends ``BATCH_BYTES`` to Python at a time.
+
+    It stays so, as rows are read later.
+    """
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
         return stage(spark, docs, sf_dir)
 
     return run
@@ -44,6 +51,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of templates that recur; ``n_chars`` follows the text."""
     out = op8_line_dedup.line_dedup(docs)
@@ -72,6 +80,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without(left, found.where("component_id <> doc_id").select("doc_id"), "near-duplicates")
 
 
+@in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't overlap with the benchmark."""
     return op4_decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))

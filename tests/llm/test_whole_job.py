@@ -121,3 +121,21 @@ def test_the_pipeline_sends_small_batches_to_python(spark, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert sum(found) > 10_000_000 and max(found) < 5_000_000
+
+
+def test_pipeline_reads_few_texts_at_a_time(spark, tmp_path):
+    """Each batch of a Parquet file has all of its texts in one array of the JVM's heap."""
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.range(1000).selectExpr("id as doc_id", "repeat('word ', 100) as text").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    spark.conf.unset(rows)
+    try:
+        out = corpus_pipeline.encoding(spark, spark.read.parquet(f"{tmp_path}/docs"), SMALL)
+        assert len(out.collect()) == 1000
+        nodes = [out._jdf.queryExecution().executedPlan()]
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        (reading,) = (n for n in nodes if n.nodeName() == "ColumnarToRow")
+        assert reading.metrics().apply("numInputBatches").value() >= 8  # 1 with as many rows as Spark takes
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.unset(rows)
