@@ -122,3 +122,48 @@ def test_joined_records_are_worked_out_once(spark):
     assert sorted((r.sample_idx, r.counter, r.value) for r in found.collect()) == [(0, "k", 1), (1, "k", 2), (2, "k", 3)]
     # the plan reads the records, in which lines are joined, and joins none again
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def read_both_ways(spark, folder, **options):
+    """Samples of the files below a folder, by line in small splits and whole, sorted."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        return [sorted(map(str, counters.read_counter_samples(spark, f"{folder}/*/c.csv", most, **options).collect())) for most in (0, 10**6)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def long_files(tmp_path, seed):
+    """Files of records of any number of lines, headers among them; in every third a quote stays open."""
+    rng = random.Random(seed)
+    note = lambda: '"' + "\n".join(rng.choice(["", "7", "7,7", ",", '""', "n,n,n"]) for _ in range(rng.randrange(1, 40))) + '"'
+    cell = lambda: str(rng.randrange(1000)) if rng.random() < 0.8 else rng.choice(["", " ", "n/a", note(), note() + "x"])
+    for n in range(9):
+        head = ["description", CYCLES, "k", '"k\nk"'] if n % 2 else ["description", '"' + "a,\n" * 30 + '"', CYCLES, "description", "k"]
+        records = [",".join(rng.choice([[note(), *(cell() for _ in head[1:])], [cell() for _ in head[1:]]])) for _ in range(30)]
+        text = "\n".join(["a", '"b\nb"', "c", ",".join(head), "t", "w", "aw", *records]) + ("\n" + "1," * (len(head) - 1) + '"open\n1,2\n' + "3,4\n" * 20 + "5" if n % 3 == 0 else "")
+        (tmp_path / f"run{n}").mkdir()
+        (tmp_path / f"run{n}" / "c.csv").write_text(text)
+    for run, text in (("only", '"' + "1,2\n" * 50 + "3"), ("header", 'a\nb\nc\n"k,' + "1\n" * 50 + "2")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "c.csv").write_text(text)
+
+
+@pytest.mark.parametrize("record_lines", [2, 12])
+def test_long_records_have_all_their_cells(spark, tmp_path, monkeypatch, record_lines):
+    monkeypatch.setattr(counters, "RECORD_LINES", record_lines)
+    long_files(tmp_path, record_lines)
+    by_line, whole = read_both_ways(spark, tmp_path)
+    assert by_line == whole and len(whole) > 300
+    by_line, whole = read_both_ways(spark, tmp_path, with_steps=True)
+    assert by_line == whole
+
+
+def test_a_record_of_more_lines_than_one_text_may_have(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    note = '"' + "note, 1\n" * (counters.RECORD_LINES + 500) + '"'
+    lines = ["a", "b", "c", f"description,{CYCLES},k", "t", "w", "aw", "x,10,1", f"{note},20,2", f"{note},30", "x,40,4"]
+    (tmp_path / "r" / "c.csv").write_text("\n".join(lines) + "\n")
+    got = counters.read_counter_samples(spark, f"{tmp_path}/*/c.csv", whole_file_bytes=0)
+    assert {(r.sample_idx, r.cycles, r.value) for r in got.where("counter = 'k'").collect()} == {(0, 10, 1), (1, 20, 2), (2, None, None), (3, 40, 4)}
