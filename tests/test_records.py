@@ -167,3 +167,23 @@ def test_a_record_of_more_lines_than_one_text_may_have(spark, tmp_path):
     (tmp_path / "r" / "c.csv").write_text("\n".join(lines) + "\n")
     got = counters.read_counter_samples(spark, f"{tmp_path}/*/c.csv", whole_file_bytes=0)
     assert {(r.sample_idx, r.cycles, r.value) for r in got.where("counter = 'k'").collect()} == {(0, 10, 1), (1, 20, 2), (2, None, None), (3, 40, 4)}
+
+
+@pytest.mark.parametrize("record_lines", [2, 12])
+def test_long_records_tell_their_rejects(spark, tmp_path, monkeypatch, record_lines):
+    monkeypatch.setattr(counters, "RECORD_LINES", record_lines)
+    monkeypatch.setattr(counters, "TEXT_LINES", 3)
+    long_files(tmp_path, record_lines)
+    by_line, whole = read_both_ways(spark, tmp_path, reasons=True)
+    assert by_line == whole and sum("open\\n1,2\\n3,4" in r for r in whole) == 3
+
+
+def test_a_rejected_cell_of_more_lines_than_a_record_of_one_text(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    note = "note, 1\n" * (counters.RECORD_LINES + 500)
+    lines = ["a", "b", "c", f"description,{CYCLES},k", "t", "w", "aw", "x,10,1", f'"{note}",20,n/a', f'x,30,"{note}"', "x,40,4"]
+    (tmp_path / "r" / "c.csv").write_text("\n".join(lines) + "\n")
+    parsed = counters.read_counter_samples(spark, f"{tmp_path}/*/c.csv", whole_file_bytes=0, reasons=True)
+    _, rejects, counts = counters.split_rejects(parsed)
+    assert {(r.sample_idx, r.counter, r.cell, r.reason) for r in rejects.collect()} == {(1, "k", "n/a", "number"), (2, "k", note, "number")}
+    assert counts == {"all": 8, "cells": 0, "empty": 0, "number": 2}
